@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language_id, packing, simhash, token_counts
+from tessera.llm import decontaminate, language_id, packing, simhash, suffix_dedup, token_counts
 from tessera.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -33,5 +33,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontaminate, op4_language_id, op6_packing, op9_simhash)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontaminate, op4_language_id, op6_packing, op9_simhash, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
