@@ -446,7 +446,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     others = [c for c in columns if c != "text"]
-    found = remove_repeats(docs.withColumn("__null", F.col("text").isNull()), [*others, "__null"])
+    found = remove_repeats(docs.withColumn("__null", F.when(F.col("text").isNull(), True)), [*others, "__null"])
     found = found.select("row.*", F.col("n_removed").alias("__removed"), F.col("kept").alias("__kept"))
 
     def decode(batches):
@@ -456,7 +456,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[:-1])
     texts = found.mapInArrow(decode, f"{fields}, `__kept` string")
-    new = {"text": F.when(~F.col("__null"), F.col("__kept"))}
+    new = {"text": F.when(F.col("__null").isNull(), F.col("__kept"))}
     if "n_chars" in columns:
         new["n_chars"] = F.when(F.col("__removed") > 0, F.length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return texts.withColumns(new).select(*[F.col(f"`{c}`") for c in columns])
