@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,35 +31,74 @@ K1, B = 1.2, 0.75
 
 
 class Ids(dict):
-    """Token ids of blank-separated chunks, which this vocabulary's tokenizer treats alone; a bounded memo table over the library."""
+    """Token ids of blank-separated chunks, which this vocabulary's tokenizer treats alone; a bounded memo table over the library.
+
+    Texts are first brought to fewer distinct chunks: ASCII capitals are
+    lowered (the normaliser does so), and a stop or comma that ends a chunk is
+    taken apart from it if a letter precedes (the pre-tokenizer splits there).
+    """
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        pre = str(self.tokenizer.pre_tokenizer)
-        if self.tokenizer.get_vocab_size() > 1 << 16 or "\\s" not in pre:
-            raise ValueError("packing takes a tokenizer of at most 65536 ids that drops white space")
-        self.limit = worker_cache_limit()
+        pre, normal = str(self.tokenizer.pre_tokenizer), str(self.tokenizer.normalizer)
+        if self.tokenizer.get_vocab_size() > 1 << 16 or "\\s" not in pre or "Lowercase" not in normal:
+            raise ValueError("packing takes a tokenizer of at most 65536 ids that lower-cases and drops white space")
+        self.limit = 2 * worker_cache_limit()
+
+    @staticmethod
+    def ends(chunk: str) -> bool:
+        return chunk[-1:] in (".", ",") and len(chunk) > 1 and chunk[-2].isalpha()
 
     def __missing__(self, chunk: str) -> bytes:
+        if self.ends(chunk):
+            return self[chunk[:-1]] + self[chunk[-1]]
         ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
         if len(chunk) <= 48:
             self[chunk] = ids
         return ids
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: list[str]) -> None:
+        """Tokenises the new chunks in few library calls: words of letters, which are one pre-token each, and printable ASCII, where offsets hold."""
+        new = {c[:-1] if self.ends(c) else c for c in chunks}
+        new = [c for c in new if c and c not in self and len(c) <= 48]
+        letters = [c for c in new if c.isalpha()]
+        ascii = [c for c in new if c.isascii() and c.isprintable() and "<|" not in c and not c.isalpha()]
+        for words, by_offset in ((letters, False), (ascii, True)):
+            for i in range(0, len(words), 128):
+                part = words[i : i + 128]
+                e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+                if by_offset:
+                    starts = np.cumsum([0, *(len(c) + 1 for c in part[:-1])])
+                    word = np.searchsorted(starts, [a for a, _ in e.offsets], "right")
+                else:
+                    word = np.array(e.word_ids)
+                edges = (2 * np.flatnonzero(np.diff(word, prepend=-1, append=-1))).tolist()
+                if len(edges) == len(part) + 1:  # else each is tokenised alone when it is met
+                    ids = np.array(e.ids, "<u2").tobytes()
+                    self.update(zip(part, [ids[a:b] for a, b in pairwise(edges)], strict=True))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text.  Chunks are told apart and put together by Arrow; only distinct ones are looked up."""
+        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " ")
+        special = pc.match_substring(texts, "<|")  # such a text may hold a special token
+        lists = pc.split_pattern(pc.if_else(special, texts, pc.ascii_lower(texts)), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self) > self.limit:
             self.clear()
-        new = [c for c in chunks if c not in self and len(c) <= 48]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, "<u2").tobytes()
-
-    def encode(self, chunks: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, chunks))
+        found = [*map(self.get, words)]
+        missing = [i for i, x in enumerate(found) if x is None]
+        self.learn([words[i] for i in missing])
+        for i in missing:
+            found[i] = self[words[i]]
+        taken = pa.array(found, pa.binary()).take(coded.indices)
+        _, offsets, data = taken.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[taken.offset :][lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        data = memoryview(data) if data is not None else b""
+        return [bytes(data[a:b]) for a, b in pairwise(offsets)]
 
 
 @lru_cache(1)
@@ -73,15 +114,16 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     """doc_id, ids (little-endian 16 bit, with ``end``), and in one row for each task, without doc_id, df: documents by id."""
 
     def run(batches):
-        ids, df = ids_for(tokenizer), np.zeros(1 << 16, np.int64)
+        ids, df, seen = ids_for(tokenizer), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                chunks = [(t or "").replace("\n", " ").split(" ") for t in part.column("text").to_pylist()]
-                ids.learn(set().union(*chunks))
-                out = [ids.encode(c) + np.array([end], "<u2").tobytes() for c in chunks]
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                out = [x + np.array([end], "<u2").tobytes() for x in ids.encode(part.column("text"))]
                 for x in out:
-                    df[np.unique(np.frombuffer(x, "<u2"))] += 1
+                    seen[np.frombuffer(x, "<u2")] = True
+                    own = np.flatnonzero(seen)
+                    df[own] += 1
+                    seen[own] = False
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary()), pa.array([None] * len(out), pa.binary())], ["doc_id", "ids", "df"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([df.tobytes()], pa.binary())], ["doc_id", "ids", "df"])
 
@@ -108,19 +150,21 @@ class Index:
 
     def __init__(self, texts: list[np.ndarray], df: np.ndarray, n_docs: int):
         self.idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-        terms = [np.unique(x, return_counts=True) for x in texts]
-        lengths = np.array([len(x) for x in texts], float)
+        lengths = np.array([len(x) for x in texts])
+        pairs = np.repeat(np.arange(len(texts), dtype=np.int64) << 16, lengths) | np.concatenate(texts)
+        pairs.sort()
+        new = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        tf, pairs = np.diff(np.append(new, len(pairs))).astype(float), pairs[new]
+        doc, term = pairs >> 16, (pairs & 0xFFFF).astype(np.uint16)
         norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1))
-        doc = np.repeat(np.arange(len(texts)), [len(t) for t, _ in terms])
-        term = np.concatenate([t for t, _ in terms]).astype(np.int64)
-        tf = np.concatenate([c for _, c in terms]).astype(float)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], (self.idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order]
         self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
-        self.terms = terms
+        self.own, self.term, self.tf = np.searchsorted(doc, np.arange(len(texts) + 1)), term, tf
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        terms, tf = self.terms[seed]
+        own = slice(self.own[seed], self.own[seed + 1])
+        terms, tf = self.term[own], self.tf[own]
         best = np.argsort(-(self.idf[terms] * tf / (tf + K1)), kind="stable")[:QUERY_TERMS]
         spans = [slice(self.start[t], self.start[t + 1]) for t in terms[best].astype(np.int64)]
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(unused))
