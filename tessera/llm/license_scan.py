@@ -48,6 +48,8 @@ class Index:
         self.words = [words(templates[n].encode()) for n in self.names]
         if any(len(w) < SHINGLE for w in self.words):
             raise ValueError("a template needs at least three words")
+        # half a template at most, so that two copies in a row are two regions
+        self.bands = [min(BAND, (len(w) - 1) // 2) for w in self.words]
         self.places: dict[tuple[bytes, ...], list[tuple[int, int]]] = defaultdict(list)
         for t, w in enumerate(self.words):
             s = _shingles(w)
@@ -68,7 +70,7 @@ class Index:
             diagonals.sort()
             first = last = diagonals[0]
             for d in [*diagonals[1:], None]:
-                if d is None or d - last > BAND or d - first > BAND:
+                if d is None or d - first > self.bands[t]:
                     out.append((t, first, last))
                     first = d
                 last = d
@@ -76,17 +78,17 @@ class Index:
 
     def align(self, t: int, low: int, high: int, w: list[bytes]) -> tuple[int, int, int]:
         """Matched words, start and stop in the document, of the best local alignment within the band."""
-        template = self.words[t]
-        a, b = max(0, low - BAND), min(len(w), high + len(template) + BAND)
-        width = high - low + 2 * BAND + 1
-        # cell k of row i stands for document word low - BAND + i + k; its value: score, matched, start, stop
+        template, band = self.words[t], self.bands[t]
+        a, b = max(0, low - band), min(len(w), high + len(template) + band)
+        width = high - low + 2 * band + 1
+        # cell k of row i stands for document word low - band + i + k; its value: score, matched, start, stop
         score = [0] * width
         state: list[tuple[int, int, int]] = [(0, -1, -1)] * width
         best = (0, 0, 0, 0)
         for i, word in enumerate(template):
             new, fresh = [0] * width, [(0, -1, -1)] * width
             for k in range(width):
-                j = low - BAND + i + k
+                j = low - band + i + k
                 if not a <= j < b:
                     continue
                 same = w[j] == word

@@ -35,12 +35,15 @@ def path(url: Column) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens: host labels, host suffixes, path segments, names of query parameters."""
+    """Distinct tokens: host labels, path segments, names of query parameters."""
     labels = F.filter(F.split(host(url), r"\."), lambda x: x != "")
     segments = F.filter(F.split(path(url), "/"), lambda x: x != "")
     names = F.filter(F.transform(F.split(F.coalesce(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit("")), "&"), lambda x: F.split(x, "=")[0]), lambda x: x != "")
-    parts = ((labels, "host:"), (segments, "path:"), (names, "query:"))
-    return F.array_distinct(F.concat(*[F.transform(a, lambda x, p=p: F.concat(F.lit(p), x)) for a, p in parts]))
+
+    def tagged(tag: str, parts: Column) -> Column:
+        return F.transform(parts, lambda x: F.concat(F.lit(tag), x))
+
+    return F.array_distinct(F.concat(tagged("host:", labels), tagged("path:", segments), tagged("query:", names)))
 
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
