@@ -1,0 +1 @@
+"""Library analytics, transition planning and sequencing on Spark DataFrames."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tessera.plans.oracle import ORACLES as _SQL
+from tessera.plans.queries import QUERIES as _QUERIES
+
 FLAGSHIP = "rank_topk"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES = dict(_QUERIES)
+ORACLES = {k: v for k, v in _SQL.items() if k in QUERIES}
