@@ -132,3 +132,31 @@ def align_beat(start: Column, end: Column, count: Column, downbeat: bool = True,
     snapped = s + F.pmod(-s, F.lit(bar)) if downbeat else s
     inside = F.when(snapped < last, snapped).otherwise(s)
     return F.when(last <= 0, F.lit(0)).when(s >= last, F.when(count > 0, F.least(s, count - 1)).otherwise(F.lit(0))).otherwise(inside)
+
+
+def quantile(x: Column, p: float) -> Column:
+    """Interpolated quantile of an array; null for an empty one."""
+    at = (F.size(x) - 1) * F.lit(p)
+    low = F.floor(at).cast("int")
+
+    def read(s: Column) -> Column:
+        a, b = F.try_element_at(s, low + 1), F.try_element_at(s, F.least(F.size(s), low + 2))
+        return a + (b - a) * (at - low)
+
+    return F.transform(F.array(F.array_sort(x)), read)[0]
+
+
+def unit_by_quantiles(x: Column, low: float, high: float) -> Column:
+    """An array on its own quantile scale, clipped to [0, 1]; zeros where the span is nothing."""
+
+    def scale(q: Column) -> Column:
+        span = q["high"] - q["low"]
+        return F.transform(x, lambda v: F.when(span <= 1e-12, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - q["low"]) / F.when(span > 1e-12, span)))))
+
+    bounds = F.struct(quantile(x, low).alias("low"), quantile(x, high).alias("high"))
+    return F.when(F.size(x) > 0, F.transform(F.array(bounds), scale)[0]).otherwise(x)
+
+
+def unit_by_db(x: Column, floor: float, ceiling: float) -> Column:
+    """RMS values on the dB scale between floor and ceiling, clipped to [0, 1]."""
+    return F.transform(x, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (20 * F.log10(F.greatest(v, F.lit(1e-12))) - floor) / (ceiling - floor))))
