@@ -193,6 +193,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component: that with the smallest doc_id (of rows equal in it, any one).  Columns as they are."""
     columns = docs.columns
     found = near_duplicates(docs.where("doc_id is not null"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").select(*columns)
-    return rows.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null").select(*columns))
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n")).withColumnRenamed("doc_id", "__id")
+    # a hash join by the small side: texts are shuffled once and not sorted
+    rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"))
+    one, more = rows.where("__n = 1").select(*columns), rows.where("__n > 1").select(*columns)
+    return one.unionByName(more.dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null").select(*columns))
