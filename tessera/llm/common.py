@@ -6,12 +6,16 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SLICE_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,16 +41,51 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]]) -> DataFrame:
+#: Memo tables that outlive a task in their worker process.
+_KEPT: list = []
+
+
+def kept_in_worker(make):
+    """``make``, called once for each worker process: its result serves many tasks, until a task of another kind frees it."""
+    cached = lru_cache(1)(make)
+    _KEPT.append(cached)
+    return cached
+
+
+def release(keep=None) -> None:
+    """At the start of a task: frees what tasks of other kinds have left in this worker."""
+    for cached in _KEPT:
+        if cached is not keep:
+            cached.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``size`` bytes, so that Python never holds all its texts as objects."""
+    rows = max(1, batch.num_rows * size // max(size, batch.nbytes))
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Smaller Arrow batches than Spark's 10000 rows, which are many MB where rows are texts; a setting of the user's stays."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
+def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], keep=None) -> DataFrame:
     """``make`` runs once per task; what it returns handles one Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keep)
         handle = make()
         for batch in batches:
-            if batch.num_rows:
-                yield from handle(batch)
+            for part in slices(batch):
+                yield from handle(part)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
@@ -66,4 +105,4 @@ def cores(spark: SparkSession) -> int:
 
 def worker_cache_limit() -> int:
     """Entries that a worker's memo table may hold before it is emptied."""
-    return int(os.environ.get("TESSERA_CACHE_ENTRIES", "600000"))
+    return int(os.environ.get("TESSERA_CACHE_ENTRIES", "700000"))

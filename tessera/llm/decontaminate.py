@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, raw_texts, written
+from tessera.llm.common import bounded, map_batches, raw_texts, release, slices, written
 
 #: Benchmark bytes in a broadcast block.
 BLOCK_BYTES = 4 << 20
@@ -57,18 +57,19 @@ def rarity(docs: DataFrame, vocabulary: set[tuple[bytes, ...]]) -> dict[tuple[by
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
+        release()
         known, total = shared.value, Counter()
         single = any(len(s) == 1 for s in known)
         for batch in batches:
-            for text in raw_texts(batch.column(0)):
-                w = words(text)
-                total.update([p for p in pairwise(w) if p in known])
-                if single:
-                    total.update([(x,) for x in w if (x,) in known])
+            for part in slices(batch):
+                for w in map(words, raw_texts(part.column(0))):
+                    total.update([p for p in pairwise(w) if p in known])
+                    if single:
+                        total.update([(x,) for x in w if (x,) in known])
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([b" ".join(s) for s in total], pa.binary()), pa.array(list(total.values()), pa.int64())], ["shingle", "n"])
 
-    counted = docs.mapInArrow(run, "shingle binary, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = bounded(docs).mapInArrow(run, "shingle binary, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     return {tuple(bytes(r["shingle"]).split(b" ")): r["n"] for r in counted.collect()}
 
 

@@ -11,7 +11,6 @@ short.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cores, map_batches, worker_cache_limit, written
+from tessera.llm.common import bounded, cores, kept_in_worker, release, slices, worker_cache_limit, written
 
 WINDOW = 4096
 #: Tokens in a shard, about.
@@ -46,26 +45,27 @@ class Ids(dict):
         pre, normal = str(self.tokenizer.pre_tokenizer), str(self.tokenizer.normalizer)
         if self.tokenizer.get_vocab_size() > 1 << 16 or "\\s" not in pre or "Lowercase" not in normal:
             raise ValueError("packing takes a tokenizer of at most 65536 ids that lower-cases and drops white space")
-        self.limit = 2 * worker_cache_limit()
+        self.limit = 5 * worker_cache_limit() // 4
 
     @staticmethod
     def ends(chunk: str) -> bool:
         return chunk[-1:] in (".", ",") and len(chunk) > 1 and chunk[-2].isalpha()
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, raw: bytes) -> bytes:
+        chunk = raw.decode()
         if self.ends(chunk):
-            return self[chunk[:-1]] + self[chunk[-1]]
+            return self[raw[:-1]] + self[raw[-1:]]
         ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-        if len(chunk) <= 48:
-            self[chunk] = ids
+        if len(raw) <= 48:
+            self[raw] = ids
         return ids
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, raws: list[bytes]) -> None:
         """Tokenises the new chunks in few library calls: words of letters, which are one pre-token each, and printable ASCII, where offsets hold."""
-        new = {c[:-1] if self.ends(c) else c for c in chunks}
-        new = [c for c in new if c and c not in self and len(c) <= 48]
-        letters = [c for c in new if c.isalpha()]
-        ascii = [c for c in new if c.isascii() and c.isprintable() and "<|" not in c and not c.isalpha()]
+        chunks = b"\0".join(raws).decode().split("\0")
+        new = {c[:-1] if self.ends(c) else c for c in chunks if len(c) <= 48}
+        letters = [c for c in new if c.isalpha() and c.encode() not in self]
+        ascii = [c for c in new if c.isascii() and c.isprintable() and "<|" not in c and not c.isalpha() and c and c.encode() not in self]
         for words, by_offset in ((letters, False), (ascii, True)):
             for i in range(0, len(words), 128):
                 part = words[i : i + 128]
@@ -78,7 +78,7 @@ class Ids(dict):
                 edges = (2 * np.flatnonzero(np.diff(word, prepend=-1, append=-1))).tolist()
                 if len(edges) == len(part) + 1:  # else each is tokenised alone when it is met
                     ids = np.array(e.ids, "<u2").tobytes()
-                    self.update(zip(part, [ids[a:b] for a, b in pairwise(edges)], strict=True))
+                    self.update(zip(" ".join(part).encode().split(b" "), [ids[a:b] for a, b in pairwise(edges)], strict=True))
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text.  Chunks are told apart and put together by Arrow; only distinct ones are looked up."""
@@ -86,7 +86,7 @@ class Ids(dict):
         special = pc.match_substring(texts, "<|")  # such a text may hold a special token
         lists = pc.split_pattern(pc.if_else(special, texts, pc.ascii_lower(texts)), " ")
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self) > self.limit:
             self.clear()
         found = [*map(self.get, words)]
@@ -101,7 +101,7 @@ class Ids(dict):
         return [bytes(data[a:b]) for a, b in pairwise(offsets)]
 
 
-@lru_cache(1)
+@kept_in_worker
 def ids_for(path: str) -> Ids:
     """One for each worker process, which serves many tasks."""
     import os
@@ -114,10 +114,10 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     """doc_id, ids (little-endian 16 bit, with ``end``), and in one row for each task, without doc_id, df: documents by id."""
 
     def run(batches):
+        release(ids_for)
         ids, df, seen = ids_for(tokenizer), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
         for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
+            for part in slices(batch, 8 << 20):
                 out = [x + np.array([end], "<u2").tobytes() for x in ids.encode(part.column("text"))]
                 for x in out:
                     seen[np.frombuffer(x, "<u2")] = True
@@ -127,7 +127,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary()), pa.array([None] * len(out), pa.binary())], ["doc_id", "ids", "df"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([df.tobytes()], pa.binary())], ["doc_id", "ids", "df"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids binary, df binary")
+    return bounded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, ids binary, df binary")
 
 
 def document_frequencies(tokens: DataFrame) -> np.ndarray:
@@ -226,6 +226,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def one_shard(group: pa.Table) -> pa.Table:
+        release()
         group = group.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         shard = group.column("shard")[0].as_py()
         texts = [np.frombuffer(x, "<u2") for x in group.column("ids").to_pylist()]

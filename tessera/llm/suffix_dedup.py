@@ -38,11 +38,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cores
+from tessera.llm.common import cores, release
 
 LENGTH, W, K = 400, 321, 80
 #: Bytes of text in a run and of anchors or windows in a part, about; positions that are hashed at a time.
-RUN_BYTES, PART_BYTES, SPAN = 2 << 20, 24 << 20, 1 << 21
+RUN_BYTES, PART_BYTES, SPAN = 2 << 20, 24 << 20, 1 << 18
 #: A class with an entry from more runs than this counts as mixed.
 HOT = 512
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -390,10 +390,11 @@ def _cut(texts: list[bytes], answers: pa.Table, class_parts: int) -> list[list[t
     return out
 
 
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """For every row of ``docs``: row (a struct of ``carry``), n_bytes, n_removed, n_spans, kept_sha256, kept, spans.
 
-    ``kept`` holds the remaining bytes.  Null and empty texts, and texts under
+    ``kept`` holds the remaining bytes, or as text, without characters that a
+    cut went through.  Null and empty texts, and texts under
     LENGTH bytes, lose nothing.  Equal rows and equal texts are repeats of one
     another.  An empty table gives no rows.
     """
@@ -406,14 +407,17 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     held = docs.select(F.pmod(F.xxhash64(*carry, "text"), F.lit(runs)).cast("int").alias("run"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("text").cast("binary").alias("text")).repartition(tasks, "run")
 
     def send_classes(group: pa.Table) -> pa.Table:
+        release()
         return _messages(_send_classes(group.column("run")[0].as_py(), _texts(group), class_parts))
 
     def send_candidates(group: pa.Table, judged: pa.Table) -> pa.Table:
+        release()
         if not group.num_rows:
             return _messages([])
         return _messages(_send_candidates(group.column("run")[0].as_py(), _texts(group), _answers(judged, 0), class_parts, parts))
 
     def cut(group: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         texts = _texts(group)
         spans = _cut(texts, answers, class_parts) if texts else []
         kept = []
@@ -426,7 +430,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
             pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()),
             pa.array([len(s) for s in spans], pa.int64()),
             pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-            pa.array(kept, pa.binary()),
+            pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
             pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
         ]
         return pa.table(columns, names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
@@ -435,7 +439,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     sent = held.groupBy("run").cogroup(judged.groupBy("run")).applyInArrow(send_candidates, _MESSAGE)
     compared = sent.groupBy("kind", "part").applyInArrow(_compare, _MESSAGE)
     kind = held.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<struct<start:bigint,stop:bigint>>"
+    schema = f"row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept {'string' if as_text else 'binary'}, spans array<struct<start:bigint,stop:bigint>>"
     return held.groupBy("run").cogroup(judged.unionByName(compared).groupBy("run")).applyInArrow(cut, schema)
 
 
@@ -446,16 +450,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     others = [c for c in columns if c != "text"]
-    found = remove_repeats(docs.withColumn("__null", F.when(F.col("text").isNull(), True)), [*others, "__null"])
-    found = found.select("row.*", F.col("n_removed").alias("__removed"), F.col("kept").alias("__kept"))
-
-    def decode(batches):
-        for batch in batches:
-            kept = [x.decode(errors="ignore") for x in batch.column("__kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kept, pa.string())], batch.schema.names)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[:-1])
-    texts = found.mapInArrow(decode, f"{fields}, `__kept` string")
+    found = remove_repeats(docs.withColumn("__null", F.when(F.col("text").isNull(), True)), [*others, "__null"], as_text=True)
+    texts = found.select("row.*", F.col("n_removed").alias("__removed"), F.col("kept").alias("__kept"))
     new = {"text": F.when(F.col("__null").isNull(), F.col("__kept"))}
     if "n_chars" in columns:
         new["n_chars"] = F.when(F.col("__removed") > 0, F.length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

@@ -22,14 +22,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import map_batches, worker_cache_limit
+from tessera.llm.common import kept_in_worker, map_batches, worker_cache_limit
 
 SPACE = "▁"
 #: Where any entry state leads to the same state: before a run of word marks, and around a line feed.
@@ -202,7 +201,7 @@ class Counter(dict):
         return sum(map(self.__getitem__, marked.split(" ")))
 
 
-@lru_cache(1)
+@kept_in_worker
 def counter_for(model: str) -> Counter:
     """One for each worker process, which serves many tasks."""
     return Counter(vocabulary(model))
@@ -229,4 +228,4 @@ def count_tokens(docs: DataFrame, model: str, over: int, text: str = "text", key
 
         return handle
 
-    return map_batches(small, schema, make)
+    return map_batches(small, schema, make, counter_for)
