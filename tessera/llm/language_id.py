@@ -25,7 +25,7 @@ FEATURES, SAMPLE, SAMPLE_EACH = 4096, 3200, 400
 #: Texts are featurised in pieces of so many bytes, all of them.
 PIECE = 1 << 20
 #: A margin below this between the two best languages flags a text.
-MARGIN = 0.1
+MARGIN = 0.02
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 
