@@ -115,7 +115,8 @@ class Run:
                 first.append(change + s)
                 count.append(np.diff(np.append(change, e - s)))
                 anchor.append(least[change] + s)
-                key.append(h[least[change]])
+                # least hashes are small numbers: mixed anew, so that parts by key are even
+                key.append(_mix(h[least[change]]))
         cat = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.zeros(0, kind)
         #: Per group of windows in a row with one anchor: first window, how many, the anchor, its K-gram's hash.
         self.first, self.count, self.anchor, self.key = cat(first, np.int64), cat(count, np.int64), cat(anchor, np.int64), cat(key, np.uint64)
