@@ -160,3 +160,22 @@ def unit_by_quantiles(x: Column, low: float, high: float) -> Column:
 def unit_by_db(x: Column, floor: float, ceiling: float) -> Column:
     """RMS values on the dB scale between floor and ceiling, clipped to [0, 1]."""
     return F.transform(x, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (20 * F.log10(F.greatest(v, F.lit(1e-12))) - floor) / (ceiling - floor))))
+
+
+def alignment(a: Column, b: Column, hop: int, max_lag: int, rate: int, floor_dbfs: float = -90.0, least: float = 0.1) -> Column:
+    """struct(error_ms, correlation, reason) of two overlaps: the shift of their best-correlated onsets, or why there is none.
+
+    ``max_lag`` is in hops and should stay below half a beat.
+    """
+    floor = 10 ** (floor_dbfs / 20)
+    fields = lambda e, c, r: F.struct(e.cast("double").alias("error_ms"), c.cast("double").alias("correlation"), r.cast("string").alias("reason"))
+    none = F.lit(None)
+
+    def judge(x: Column) -> Column:
+        p, q = x["p"], x["q"]
+        n = F.least(F.size(p), F.size(q))
+        silent = (peak(p) <= floor) | (peak(q) <= floor)
+        found = F.transform(F.array(best_lag(F.filter(lag_scores(p, q, max_lag), lambda s: F.abs(s["lag"]) <= F.floor((n - 1) / 2)))), lambda k: F.when(k["score"] < least, fields(none, k["score"], F.lit("WEAK_CORRELATION"))).otherwise(fields(F.abs(k["lag"]) * hop * 1000.0 / rate, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), k["score"])), none)))[0]
+        return F.when(n < 3, fields(none, none, F.lit("INSUFFICIENT_ONSETS"))).when(silent, fields(none, none, F.lit("SILENT_OR_CONSTANT_OVERLAP"))).otherwise(found)
+
+    return F.transform(F.array(F.struct(onset_envelope(a, hop).alias("p"), onset_envelope(b, hop).alias("q"))), judge)[0]

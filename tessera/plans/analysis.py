@@ -16,6 +16,7 @@ from tessera.config import Settings
 from tessera.functions import frames as A
 from tessera.functions import kernels
 from tessera.operators import beats as B
+from tessera.sources.scratch import checkpointed
 
 _KERNEL = "track_id bigint, seconds double, onset array<double>, fine array<double>, rms array<double>, beats array<double>"
 
@@ -59,14 +60,15 @@ def energy(found: DataFrame, cfg: Settings = Settings()) -> DataFrame:
 def analyze(pcm: DataFrame, cfg: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(tracks, regions).  tracks has one row for each input with its features or a failure_reason."""
     a = cfg.analysis
-    found = signals(pcm, cfg)
+    # the kernel's results are read by many branches: written once, and not made again if an executor is lost
+    found = checkpointed(signals(pcm, cfg))
     raw = found.select("track_id", F.posexplode("beats").alias("beat_index", "beat_time"))
     grids = B.octave_grids(raw)
     chosen = B.choose_octave(B.evaluate_grids(grids, found.select("track_id", F.col("onset").alias("values")), a.frame_hz), a)
     kept = grids.join(chosen.where("failure_reason is null").select("track_id", "grid"), ["track_id", "grid"])
     fine = found.select("track_id", F.col("fine").alias("values"))
     moved = kept.join(fine, "track_id").select("track_id", B.refined(F.col("beat_time"), F.col("values"), a.refine_frame_hz, a.refine_radius).alias("t"))
-    times = moved.groupBy("track_id").agg(F.collect_list("t").alias("t")).select("track_id", B.deduped(F.col("t")).alias("beat_times"))
+    times = checkpointed(moved.groupBy("track_id").agg(F.collect_list("t").alias("t")).select("track_id", B.deduped(F.col("t")).alias("beat_times")))
     beats = times.select("track_id", F.posexplode("beat_times").alias("beat_index", "beat_time"))
     stats = B.tempo_cv(B.intervals(beats))
     locked = B.evaluate_grids(beats.select("track_id", F.lit(0).alias("grid"), F.lit(1.0).alias("factor"), "beat_time", F.col("beat_index").alias("pos")), fine, a.refine_frame_hz).select("track_id", "contrast")
