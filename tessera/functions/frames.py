@@ -89,23 +89,27 @@ def discontinuity_db(x: Column, window: int, floor_dbfs: float = -90.0) -> Colum
 
 def lag_scores(a: Column, b: Column, max_lag: int) -> Column:
     """struct(lag, score) for each lag: normalised correlation of the arrays, centred once over their common length."""
-    n = F.least(F.size(a), F.size(b))
-    a, b = F.slice(a, 1, n), F.slice(b, 1, n)
 
     def centred(x: Column) -> Column:
-        m = total(x) / n
-        return F.transform(x, lambda v: v - m)
+        return F.transform(F.array(total(x) / F.size(x)), lambda m: F.transform(x, lambda v: v - m))[0]
+
+    def scores(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        n = F.size(x)
 
-    x, y = centred(a), centred(b)
+        def score(lag: Column) -> Column:
+            left = F.slice(x, F.greatest(-lag, F.lit(0)) + 1, n - F.abs(lag))
+            right = F.slice(y, F.greatest(lag, F.lit(0)) + 1, n - F.abs(lag))
+            pair = F.zip_with(left, right, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+            sums = F.aggregate(pair, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c")), lambda t, v: F.struct((t["a"] + v["p"] * v["p"]).alias("a"), (t["b"] + v["q"] * v["q"]).alias("b"), (t["c"] + v["p"] * v["q"]).alias("c")), lambda t: F.when((t["a"] > 0) & (t["b"] > 0), t["c"] / F.when((t["a"] > 0) & (t["b"] > 0), F.sqrt(t["a"]) * F.sqrt(t["b"]))).otherwise(0.0))
+            return sums
 
-    def score(lag: Column) -> Column:
-        left = F.slice(x, F.greatest(-lag, F.lit(0)) + 1, n - F.abs(lag))
-        right = F.slice(y, F.greatest(lag, F.lit(0)) + 1, n - F.abs(lag))
-        norm = F.sqrt(total(F.transform(left, lambda v: v * v))) * F.sqrt(total(F.transform(right, lambda v: v * v)))
-        dot = total(F.zip_with(left, right, lambda p, q: p * q))
-        return F.when(norm > 0, dot / F.when(norm > 0, norm)).otherwise(0.0)
+        return F.transform(F.sequence(F.lit(-max_lag), F.lit(max_lag)), lambda lag: F.struct(lag.alias("lag"), score(lag).alias("score")))
 
-    return F.transform(F.sequence(F.lit(-max_lag), F.lit(max_lag)), lambda lag: F.struct(lag.alias("lag"), score(lag).alias("score")))
+    # each array is cut and centred once, not for every lag
+    n = F.least(F.size(a), F.size(b))
+    cut = F.transform(F.array(F.struct(F.slice(a, 1, n).alias("x"), F.slice(b, 1, n).alias("y"))), lambda s: F.struct(centred(s["x"]).alias("x"), centred(s["y"]).alias("y")))
+    return F.transform(cut, scores)[0]
 
 
 def best_lag(scores: Column) -> Column:

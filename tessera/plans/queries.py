@@ -132,7 +132,8 @@ def _open(spark, sf):
 
 @query
 def baseline_nearest_bpm(spark, sf):
-    return select.baseline(_open(spark, sf), "B", k=5).select("seed_id", "rank", "track_id")
+    t = energised(spark, sf)
+    return select.baseline_top(select.seeds_of(t), t, "B", 5, tempo=CFG.tempo).select("seed_id", "rank", "track_id")
 
 
 @query
@@ -142,7 +143,8 @@ def baseline_bpm_energy(spark, sf):
 
 @query
 def baseline_seeded_random(spark, sf):
-    return select.baseline(_open(spark, sf), "A", SEED, k=5).select("seed_id", "rank", "track_id")
+    t = energised(spark, sf)
+    return select.baseline_top(select.seeds_of(t), t, "A", 5, SEED, CFG.tempo).select("seed_id", "rank", "track_id")
 
 
 @query
