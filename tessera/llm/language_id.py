@@ -85,18 +85,20 @@ class Model:
         return best, top, top - second
 
 
-def fit(x: np.ndarray, langs: Sequence[str], steps: int = 300, rate: float = 8.0, ridge: float = 1e-4) -> Model:
+def fit(x: np.ndarray, langs: Sequence[str], steps: int = 150, rate: float = 8.0, ridge: float = 1e-4) -> Model:
     names = sorted(set(langs))
     codes = codewords(len(names))
     target = codes[[names.index(v) for v in langs]]
     share = np.array([1 / (len(names) * langs.count(v)) for v in langs])  # languages count alike
     xb = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = np.zeros((xb.shape[1], codes.shape[1]))
+    # one precision throughout: the samples are not converted in every step
+    target, share = target.astype(np.float32), share.astype(np.float32)
+    w = np.zeros((xb.shape[1], codes.shape[1]), np.float32)
     step = np.zeros_like(w)
     for _ in range(steps):
         margin = np.clip(xb @ w * target, -30, 30)
         slope = -(target / (1 + np.exp(margin))) * share[:, None]
-        step = 0.9 * step - rate * (xb.T @ slope + ridge * w)
+        step = np.float32(0.9) * step - np.float32(rate) * (xb.T @ slope + np.float32(ridge) * w)
         w = w + step
     right = ((xb @ w * target > 0) * share[:, None]).sum(0)
     trust = np.log((right + 1e-3) / (1 - right + 1e-3))
