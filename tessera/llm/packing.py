@@ -211,8 +211,8 @@ def fill(texts: list[np.ndarray], index: Index) -> list[tuple[int, int, int, int
             window, offset, following = window + 1, 0, []
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+def pack(docs: DataFrame, tokenizer: str, end: int = 2, with_ids: bool = True) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, its ids.
 
     Null and empty texts are the end id alone.  Rows with equal ids are
     documents of their own.  An empty table gives no rows.
@@ -223,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
     size = held.agg(F.count("*").alias("n"), F.sum(F.length("ids") / 2).alias("tokens")).first()
     shards = max(1, -(-int(size["tokens"] or 0) // SHARD_TOKENS))
     shared, n_docs = spark.sparkContext.broadcast(document_frequencies(tokens)), size["n"]
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
 
     def one_shard(group: pa.Table) -> pa.Table:
         release()
@@ -231,7 +231,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
         shard = group.column("shard")[0].as_py()
         texts = [np.frombuffer(x, "<u2") for x in group.column("ids").to_pylist()]
         ids = group.column("doc_id").to_pylist()
-        rows = [(ids[d], s, n, zlib.crc32(texts[d][s : s + n].astype("<u4").tobytes()), len(texts[d]), (shard << 32) + w, o, texts[d][s : s + n].tobytes()) for d, s, n, w, o in fill(texts, Index(texts, shared.value, n_docs))]
+        rows = [(ids[d], s, n, zlib.crc32(texts[d][s : s + n].astype("<u4").tobytes()), len(texts[d]), (shard << 32) + w, o, *[texts[d][s : s + n].tobytes()] * with_ids) for d, s, n, w, o in fill(texts, Index(texts, shared.value, n_docs))]
         return pa.table([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(columns, zip(*rows, strict=True), strict=True)], names=columns)
 
     dealt = held.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "ids")
