@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded, map_batches, raw_texts, release, slices, written
 
 #: Benchmark bytes in a broadcast block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _WORD = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: A-Z to a-z, what is in no word to a space.
 _FOLD = bytes((c if c in _WORD else 0x20) for c in bytes(range(256)).lower())
