@@ -84,3 +84,23 @@ def aggregations(spark: SparkSession, settings: Settings = Settings()) -> DataFr
         part = analysis.energy(found, replace(settings, energy=replace(settings.energy, aggregation=a))).select(F.lit(a).alias("aggregation"), "track_id", "energy_scalar")
         out = part if out is None else out.unionByName(part)
     return out.groupBy("aggregation").pivot("track_id", [0, 1]).agg(F.first("energy_scalar")).withColumnsRenamed({"0": "plain", "1": "loud_ends"})
+
+
+def with_clicks(samples: np.ndarray, times: np.ndarray, rate: int, level: float = 0.5) -> np.ndarray:
+    """Mono audio with a short tick at each beat time, for listening to a grid; within full scale."""
+    out = np.array(samples, np.float32)
+    tick = level * np.sin(2 * np.pi * 1000 * np.arange(int(0.02 * rate)) / rate) * np.exp(-np.arange(int(0.02 * rate)) / (0.004 * rate))
+    for t in np.asarray(times, float):
+        i = int(np.rint(t * rate))
+        if 0 <= i < len(out):
+            n = min(len(tick), len(out) - i)
+            out[i : i + n] += tick[:n]
+    return np.clip(out, -1, 1)
+
+
+def confidence_report(tracks: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Each analysed track's regularity, contrast and confidence against their floors, the least certain first."""
+    a = settings.analysis
+    regularity = F.greatest(F.lit(0.0), 1 - F.col("ibi_cv") / a.max_ibi_cv)
+    rows = tracks.where("native_bpm is not null").select("track_id", "native_bpm", regularity.alias("regularity"), F.col("onset_contrast").alias("contrast"), F.col("analysis_confidence").alias("confidence"))
+    return rows.withColumn("margin", F.col("confidence") - a.min_confidence).orderBy("confidence", "track_id")
