@@ -106,7 +106,7 @@ def test_experiments(spark):
 
 
 def test_diagnostics(spark):
-    y = experiments.with_clicks(np.zeros(1000), [0.1, 0.5, 9.0], 1000)
-    assert len(y) == 1000 and np.abs(y[100:120]).max() > 0.1 and not y[:100].any() and np.abs(y).max() <= 1
+    y = experiments.with_clicks(np.zeros(8000), [0.1, 0.5, 9.0], 8000)
+    assert len(y) == 8000 and np.abs(y[800:960]).max() > 0.1 and not y[:800].any() and np.abs(y).max() <= 1
     t = spark.createDataFrame([(1, 120.0, 0.01, 0.6, 0.55), (2, 121.0, 0.05, 0.5, 0.29), (3, None, None, None, None)], "track_id long, native_bpm double, ibi_cv double, onset_contrast double, analysis_confidence double")
     assert [r.track_id for r in experiments.confidence_report(t).collect()] == [2, 1]
