@@ -10,6 +10,7 @@ short.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from itertools import pairwise
 
@@ -49,7 +50,11 @@ class Ids(dict):
 
     @staticmethod
     def ends(chunk: str) -> bool:
-        return chunk[-1:] in (".", ",") and len(chunk) > 1 and chunk[-2].isalpha()
+        """In a stop or comma after what is still a letter when it is normalised (a dotted I leaves a combining dot)."""
+        if chunk[-1:] not in (".", ",") or len(chunk) < 2:
+            return False
+        before = chunk[-2]
+        return before.isalpha() if before.isascii() else unicodedata.normalize("NFC", before).lower()[-1].isalpha()
 
     def __missing__(self, raw: bytes) -> bytes:
         chunk = raw.decode()
