@@ -25,11 +25,15 @@ and of these only those whose K-gram is an anchor twice (a class).
 
 All exchanged blocks are smaller than what they were made from, a key adds at
 most one entry for each run to a part, and the text is shuffled once.
+
+Repeats can also be measured in words (runs without white space): every word is
+then coded in CODE bytes, and the same is done with the codes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from itertools import pairwise
 
 import numpy as np
@@ -38,9 +42,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cores, release
+from tessera.llm.common import cores, release, written
 
-LENGTH, W, K = 400, 321, 80
+LENGTH = 400
+#: Bytes of a word's code: a chance collision of two windows that differ in one word has 2^-48.
+CODE = 6
 #: Bytes of text in a run and of anchors or windows in a part, about; positions that are hashed at a time.
 RUN_BYTES, PART_BYTES, SPAN = 2 << 20, 24 << 20, 1 << 18
 #: A class with an entry from more runs than this counts as mixed.
@@ -92,7 +98,10 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 class Run:
     """Texts of one run in a buffer, in the order of their bytes; anchors and what the windows belong to."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], length: int = LENGTH):
+        #: a window's bytes, its places for an anchor, and the bytes of an anchor's gram
+        self.length, k = length, length // 5
+        w = length - k + 1
         self.order = sorted(range(len(texts)), key=texts.__getitem__)
         self.texts = [texts[i] for i in self.order]
         self.buffer = b"".join(self.texts)
@@ -101,16 +110,16 @@ class Run:
         self.ends, n = ends, len(self.data)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
         self.starts = starts
-        # windows: all starts with LENGTH bytes left in their document, as spans
-        full = ends - starts >= LENGTH
-        self.spans = list(zip(starts[full].tolist(), (ends[full] - LENGTH + 1).tolist(), strict=True))
+        # windows: all starts with ``length`` bytes left in their document, as spans
+        full = ends - starts >= length
+        self.spans = list(zip(starts[full].tolist(), (ends[full] - length + 1).tolist(), strict=True))
         first, count, anchor, key = [], [], [], []
         for a, b in self.spans:
             for s in range(a, b, SPAN):
                 e = min(b, s + SPAN)
-                (h,) = gram_hashes(self.data[s : e + W - 1 + K - 1], (K,))
+                (h,) = gram_hashes(self.data[s : e + w - 1 + k - 1], (k,))
                 tagged = (h & np.uint64(_MASK ^ 0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
-                least = (sliding_least(tagged, W) & np.uint64(0xFFFFFF)).astype(np.int64)
+                least = (sliding_least(tagged, w) & np.uint64(0xFFFFFF)).astype(np.int64)
                 change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
                 first.append(change + s)
                 count.append(np.diff(np.append(change, e - s)))
@@ -139,8 +148,8 @@ class Run:
         return self.ends[np.searchsorted(self.ends, at, "right")]
 
     def suffixes(self, groups: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Distinct suffixes of the groups' anchors cut at LENGTH bytes, in order; group -> suffix; whether one is there twice."""
-        at, stop = self.anchor[groups], np.minimum(self.anchor[groups] + LENGTH, self.end_of(self.anchor[groups]))
+        """Distinct suffixes of the groups' anchors cut at ``length`` bytes, in order; group -> suffix; whether one is there twice."""
+        at, stop = self.anchor[groups], np.minimum(self.anchor[groups] + self.length, self.end_of(self.anchor[groups]))
         strings = [self.buffer[a:b] for a, b in zip(at.tolist(), stop.tolist(), strict=True)]
         sites: dict[bytes, set[int]] = {}
         for s, a in zip(strings, at.tolist(), strict=True):
@@ -157,7 +166,7 @@ class Run:
             stop = int(np.searchsorted(p, s + SPAN))
             if stop > done:
                 a, b = int(p[done]), int(p[stop - 1])
-                (h,) = gram_hashes(self.data[a : b + LENGTH], (LENGTH,))
+                (h,) = gram_hashes(self.data[a : b + self.length], (self.length,))
                 out[done:stop] = h[p[done:stop] - a]
                 done = stop
         return p, out
@@ -291,8 +300,8 @@ def _slices(part: np.ndarray) -> list[tuple[int, slice]]:
     return [(int(part[a]), slice(int(a), int(b))) for a, b in pairwise(edges.tolist())]
 
 
-def _send_classes(run: int, texts: list[bytes], parts: int) -> list[tuple[int, int, int, bytes]]:
-    keys, low, flags, _ = Run(texts).classes()
+def _send_classes(run: int, texts: list[bytes], parts: int, length: int = LENGTH) -> list[tuple[int, int, int, bytes]]:
+    keys, low, flags, _ = Run(texts, length).classes()
     return [(0, p, run, np.uint32(s.stop - s.start).tobytes() + keys[s].tobytes() + low[s].tobytes() + flags[s].tobytes()) for p, s in _slices(part_of(keys, parts))]
 
 
@@ -351,17 +360,17 @@ class Candidates:
         best = np.where(self.twice, [len(s) for s in self.suffixes], best) if len(best) else best
         reach = best[self.place]
         groups = self.groups
-        # window p of the anchor q: the prefix must reach LENGTH - (q - p) bytes
+        # window p of the anchor q: the prefix must reach ``length`` - (q - p) bytes
         first = run.first[groups]
-        last = np.minimum(first + run.count[groups] - 1, run.anchor[groups] + reach - LENGTH)
+        last = np.minimum(first + run.count[groups] - 1, run.anchor[groups] + reach - run.length)
         n = np.maximum(last - first + 1, 0)
         by_suffix = np.repeat(first, n) + _ramp(n)
         again = self.many | (np.frombuffer(seen, np.uint8) > 0) if len(self.windows) else self.many
         return np.concatenate([by_suffix, self.at[again[self.window]]]) if len(self.at) else by_suffix
 
 
-def _send_candidates(run: int, texts: list[bytes], judged: bytes, class_parts: int, parts: int) -> list[tuple[int, int, int, bytes]]:
-    return Candidates(Run(texts), judged, class_parts).send(run, parts)
+def _send_candidates(run: int, texts: list[bytes], judged: bytes, class_parts: int, parts: int, length: int = LENGTH) -> list[tuple[int, int, int, bytes]]:
+    return Candidates(Run(texts, length), judged, class_parts).send(run, parts)
 
 
 def _compare(group: pa.Table) -> pa.Table:
@@ -376,27 +385,63 @@ def _compare(group: pa.Table) -> pa.Table:
     return _messages([(2, part, r, x.tobytes()) for r, x in zip(runs, np.split(seen, np.cumsum([len(b) // 8 for b in blocks])[:-1]), strict=True)])
 
 
-def _cut(texts: list[bytes], answers: pa.Table, class_parts: int) -> list[list[tuple[int, int]]]:
+def _cut(texts: list[bytes], answers: pa.Table, class_parts: int, length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """Removed spans of each text."""
-    run = Run(texts)
+    run = Run(texts, length)
     found = Candidates(run, _answers(answers, 0), class_parts).hits(_answers(answers, 1), _answers(answers, 2))
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     if len(found):
         p = np.unique(found)
         doc = np.searchsorted(run.ends, p, "right")
-        new = np.concatenate([[True], (np.diff(p) > LENGTH) | (np.diff(doc) > 0)])
-        starts, stops = p[new], p[np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)] + LENGTH
+        new = np.concatenate([[True], (np.diff(p) > length) | (np.diff(doc) > 0)])
+        starts, stops = p[new], p[np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)] + length
         for d, a, b in zip(doc[new].tolist(), (starts - run.starts[doc[new]]).tolist(), (stops - run.starts[doc[new]]).tolist(), strict=True):
             out[run.order[d]].append((a, b))
     return out
 
 
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def coded(texts: list[bytes]) -> list[bytes]:
+    """Each word of each text as the first CODE bytes of its hash."""
+    codes: dict[bytes, bytes] = {}
+    out = []
+    for t in texts:
+        w = t.split()
+        for x in set(w).difference(codes):
+            codes[x] = xxhash.xxh64_digest(x)[:CODE]
+        out.append(b"".join(map(codes.__getitem__, w)))
+        if len(codes) > 1 << 17:
+            codes.clear()
+    return out
+
+
+def uncoded(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Bytes of the words that spans of codes stand for, with the blanks between them."""
+    if not spans:
+        return []
+    at = [m.span() for m in re.finditer(rb"\S+", text)]
+    return [(at[-(-a // CODE)][0], at[b // CODE - 1][1]) for a, b in spans]
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, as_text: bool = False, length: int = LENGTH, words: int | None = None, besides: str | None = None, whole: bool = False) -> DataFrame:
     """For every row of ``docs``: row (a struct of ``carry``), n_bytes, n_removed, n_spans, kept_sha256, kept, spans.
 
     ``kept`` holds the remaining bytes, or as text, without characters that a
     cut went through.  Null and empty texts, and texts under
-    LENGTH bytes, lose nothing.  Equal rows and equal texts are repeats of one
+    ``length`` bytes, lose nothing.  With ``words``, a repeat is that many words
+    in a row instead.  ``besides`` names a carried column with spans of the text
+    that go in any case; they do not hide repeats.  If ``whole``, the spans are
+    found and ``kept`` is the text as it was.  Equal rows and equal texts are repeats of one
     another.  An empty table gives no rows.
     """
     carry = carry or ["doc_id"]
@@ -407,28 +452,38 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, as_text: boo
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs // 8))
     held = docs.select(F.pmod(F.xxhash64(*carry, "text"), F.lit(runs)).cast("int").alias("run"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("text").cast("binary").alias("text")).repartition(tasks, "run")
 
+    length = length if words is None else words * CODE
+
+    def units(texts: list[bytes]) -> list[bytes]:
+        return texts if words is None else coded(texts)
+
     def send_classes(group: pa.Table) -> pa.Table:
         release()
-        return _messages(_send_classes(group.column("run")[0].as_py(), _texts(group), class_parts))
+        return _messages(_send_classes(group.column("run")[0].as_py(), units(_texts(group)), class_parts, length))
 
     def send_candidates(group: pa.Table, judged: pa.Table) -> pa.Table:
         release()
         if not group.num_rows:
             return _messages([])
-        return _messages(_send_candidates(group.column("run")[0].as_py(), _texts(group), _answers(judged, 0), class_parts, parts))
+        return _messages(_send_candidates(group.column("run")[0].as_py(), units(_texts(group)), _answers(judged, 0), class_parts, parts, length))
 
     def cut(group: pa.Table, answers: pa.Table) -> pa.Table:
         release()
         texts = _texts(group)
-        spans = _cut(texts, answers, class_parts) if texts else []
+        spans = _cut(units(texts), answers, class_parts, length) if texts else []
+        if words is not None:
+            spans = [uncoded(t, s) for t, s in zip(texts, spans, strict=True)]
+        if besides is not None:
+            given = group.column("row").combine_chunks().field(carry.index(besides)).to_pylist()
+            spans = [united([*s, *((x["start"], x["stop"]) for x in g or ())]) for s, g in zip(spans, given, strict=True)]
         kept = []
         for t, s in zip(texts, spans, strict=True):
             edges = [0, *(x for ab in s for x in ab), len(t)]
-            kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            kept.append(t if whole else b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
         columns = [
             group.column("row"),
             pa.array([len(t) for t in texts], pa.int64()),
-            pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()),
+            pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
             pa.array([len(s) for s in spans], pa.int64()),
             pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
             pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
@@ -444,14 +499,21 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, as_text: boo
     return held.groupBy("run").cogroup(judged.unionByName(compared).groupBy("run")).applyInArrow(cut, schema)
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
+def cut_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
     """All rows of ``docs`` with the repeated bytes cut from text and n_chars counted anew; other columns as they are.
 
-    Bytes of a character that a cut went through go with it.  A null text stays null.
+    With ``words``, repeats of that many words are cut as well, both as they
+    are in the whole texts.  Bytes of a character that a cut went through go with it.  A null text stays null.
     """
     columns = docs.columns
     others = [c for c in columns if c != "text"]
-    found = remove_repeats(docs.withColumn("__null", F.when(F.col("text").isNull(), True)), [*others, "__null"], as_text=True)
+    marked, carry, besides = docs.withColumn("__null", F.when(F.col("text").isNull(), True)), [*others, "__null"], None
+    if words is not None:
+        besides = "__spans"
+        by_word = remove_repeats(marked, carry, as_text=True, words=words, whole=True)
+        # a null text is empty from here on; __null has it
+        marked, carry = written(by_word.select("row.*", F.col("kept").alias("text"), F.col("spans").alias(besides)), "spans"), [*carry, besides]
+    found = remove_repeats(marked, carry, as_text=True, besides=besides)
     texts = found.select("row.*", F.col("n_removed").alias("__removed"), F.col("kept").alias("__kept"))
     new = {"text": F.when(F.col("__null").isNull(), F.col("__kept"))}
     if "n_chars" in columns:

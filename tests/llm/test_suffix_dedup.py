@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -114,3 +115,41 @@ def test_gram_hashes_are_those_of_the_strings():
         for s, x in zip(strings, h.tolist(), strict=True):
             assert first.setdefault(s, x) == x
         assert len(set(first.values())) == len(first)
+
+
+def prose(seed, n, letters="bcdfg"):
+    rng = random.Random(seed)
+    return [f"{rng.choice(letters)}{rng.randrange(10**5)}" for _ in range(n)]
+
+
+def test_a_passage_of_51_words_goes_whatever_its_bytes(spark):
+    passage, short, mixed = ["a", *prose(1, 50)], prose(2, 50), prose(8, 60)
+    texts = [[*prose(3, 70), *passage, *prose(4, 20), *short], [*passage, *prose(5, 80)], [*short, *prose(6, 60)], mixed, [*prose(7, 9), *mixed[:40], "odd", *mixed[41:]]]
+    texts = [" ".join(t) for t in texts]
+    assert 51 < len(" ".join(passage)) < S.LENGTH and len(" ".join(short)) < S.LENGTH
+    docs = fixtures.documents(spark, texts, False)
+    want = list(texts)
+    for i in (0, 1):
+        want[i] = want[i].replace(" ".join(passage), "")
+    assert [r.text for r in sorted(S.cut_repeats(docs, 51).collect())] == want
+    assert [r.text for r in sorted(S.cut_repeats(docs).collect())] == texts
+
+
+def test_word_windows_and_byte_windows_together(spark, monkeypatch):
+    texts = [t.replace("\n", " ") for t in planted(4, 40)]
+    docs = fixtures.documents(spark, texts, False)
+    raws, out = [t.encode() for t in texts], []
+    words = Counter(tuple(w[i : i + 51]) for w in map(bytes.split, raws) for i in range(len(w) - 50))
+    strings = Counter(t[i : i + S.LENGTH] for t in raws for i in range(len(t) - S.LENGTH + 1))
+    for t in raws:
+        w, at, gone = t.split(), [m.span() for m in re.finditer(rb"\S+", t)], np.zeros(len(t), bool)
+        for i in range(len(w) - 50):
+            if words[tuple(w[i : i + 51])] > 1:
+                gone[at[i][0] : at[i + 50][1]] = True
+        for i in range(len(t) - S.LENGTH + 1):
+            if strings[t[i : i + S.LENGTH]] > 1:
+                gone[i : i + S.LENGTH] = True
+        out.append(bytes(np.frombuffer(t, np.uint8)[~gone]).decode(errors="ignore"))
+    for run in (2 << 20, 3000):
+        monkeypatch.setattr(S, "RUN_BYTES", run)
+        assert [r.text for r in sorted(S.cut_repeats(docs, 51).collect(), key=lambda r: r.doc_id)] == out
