@@ -16,6 +16,14 @@ verified pair by pair; in a larger one every fingerprint is joined with the 65
 words within one bit of it, and fingerprints that meet at such a word are at
 most two bits apart: the same links up to reachability, linear in the bucket,
 and no group has more than 65 rows.
+
+Near copies by Jaccard similarity (``similar``) are too far apart for such
+keys: at 0.8 the 64 bits differ in up to about eleven.  Candidates there share
+one of BANDS groups of ROWS least hashes (a pair at 0.8 is missed with a chance
+of 5e-6, a closer one with less), and each is verified on the shingles.  A
+bucket of up to SMALL shingle sets is compared pair by pair; in a larger one
+all are compared with HUBS of them, and then what is not in the bucket's
+largest component with all that are not in its own component.
 """
 
 from __future__ import annotations
@@ -30,6 +38,8 @@ from tessera.llm.common import map_batches, raw_texts, written
 
 SEED, SHINGLE, BITS = 42, 3, 2
 SMALL = 32
+#: Of ``similar``: words of a shingle, least similarity, groups of least hashes, hashes in a group, sets that a large bucket is compared with first.
+WIDTH, SIMILARITY, BANDS, ROWS, HUBS = 5, 0.8, 40, 6, 4
 #: Generator polynomial of the binary Golay code, its length, its dimension.
 GENERATOR, LENGTH, DIMENSION = 0b101011100011, 23, 12
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -69,20 +79,25 @@ class Golay:
         return self.decode((words.astype(np.uint32)[:, None] ^ near).ravel()).reshape(-1, LENGTH + 1)
 
 
-def fingerprint(text: bytes) -> int:
-    """Bits set in over half the XXH64 hashes of the text's shingles; 0 without words."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of every ``width`` words in a row; of all words if they are fewer; none without words."""
     w = text.translate(_SPACE).split(b" ")
     w = [x for x in w if x]
     if not w:
-        return 0
-    joined, n = b" ".join(w), max(1, len(w) - SHINGLE + 1)
+        return np.zeros(0, "<u8")
+    joined, n = b" ".join(w), max(1, len(w) - width + 1)
     digest = xxhash.xxh64_intdigest
-    if len(w) <= SHINGLE:
-        return digest(joined, SEED)
+    if len(w) <= width:
+        return np.array([digest(joined, SEED)], "<u8")
     ends = np.cumsum([len(x) + 1 for x in w])
     starts = [0, *ends[: n - 1].tolist()]
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)], "<u8")
-    total = np.zeros(64, np.int64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], "<u8")
+
+
+def fingerprint(text: bytes) -> int:
+    """Bits set in over half the XXH64 hashes of the text's shingles; 0 without words."""
+    h = shingle_hashes(text, SHINGLE)
+    n, total = len(h), np.zeros(64, np.int64)
     for i in range(0, n, 1 << 15):
         total += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
@@ -189,10 +204,102 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return fps.join(by_fp, "fp", "left").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component: that with the smallest doc_id (of rows equal in it, any one).  Columns as they are."""
+_SALTS = np.random.default_rng(BITS).integers(1, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """Keys of a set of hashes: each of ROWS least hashes, under functions of their own."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(h), 512):
+        np.minimum(least, ((h[None, i : i + 512] ^ _SALTS[0]) * (_SALTS[1] | np.uint64(1))).min(axis=1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64)
+
+
+def sketches(docs: DataFrame, key: str, width: int) -> DataFrame:
+    """key, and of the row's shingle set: sid (a hash of it), n (its size), bands (none for the empty set), hashes in order."""
+    small = docs.select(F.col(key), F.col("text"))
+
+    def make():
+        def handle(batch: pa.RecordBatch):
+            sets = [np.unique(shingle_hashes(t, width)) for t in raw_texts(batch.column("text"))]
+            sid = pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64))
+            keys = pa.array([bands(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), sid, pa.array([len(h) for h in sets], pa.int64()), keys, pa.array([h.tobytes() for h in sets], pa.binary())], [key, "sid", "n", "bands", "hashes"])
+
+        return handle
+
+    return map_batches(small, f"`{key}` {small.schema[key].dataType.simpleString()}, sid bigint, n bigint, bands array<bigint>, hashes binary", make)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are as similar as ``least``."""
+
+    def make():
+        def handle(batch: pa.RecordBatch):
+            close = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                close.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
+
+        return handle
+
+    found = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
+    return map_batches(found.select("a", "b", "x", "y"), "a bigint, b bigint", make)
+
+
+def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+    """key and component_id (smallest key reachable over texts whose shingle sets have a Jaccard similarity of ``least`` or more) of every row.
+
+    Words are those of the fingerprint; a text of fewer than ``width`` words has
+    them as its one shingle, and texts without words are alike.
+    """
+    rows = written(sketches(docs, key, width), "sketches")
+    keyed = rows.select("sid", "n", F.explode("bands").alias("band")).distinct()
+    keyed = written(keyed, "bands")
+    more = keyed.join(keyed.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band")
+    more = written(more, "bucketed")
+    sets = written(rows.join(more.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.any_value("hashes").alias("hashes")), "sets")
+
+    def pairs(one: DataFrame, other: DataFrame) -> DataFrame:
+        """Sets of one bucket that differ, in sizes that allow the similarity."""
+        met = one.toDF(*[f"{c}_1" for c in one.columns]).join(other.toDF(*[f"{c}_2" for c in other.columns]), F.col("band_1") == F.col("band_2"))
+        return met.where(F.col("sid_1") != F.col("sid_2")).where(F.least("n_1", "n_2") >= F.greatest("n_1", "n_2") * F.lit(least) - F.lit(1e-9))
+
+    def ends(met: DataFrame) -> DataFrame:
+        return met.select(F.least("sid_1", "sid_2").alias("a"), F.greatest("sid_1", "sid_2").alias("b"))
+
+    few, many = more.where(F.col("m") <= SMALL).drop("m"), more.where(F.col("m") > SMALL).drop("m")
+    own = F.struct("sid", "n")
+    hubs = many.groupBy("band").agg(F.array_distinct(F.array(*[F.min_by(own, F.xxhash64("band", "sid", F.lit(i))) for i in range(HUBS)])).alias("hubs"))
+    hubs = hubs.select("band", F.explode("hubs").alias("hub")).select("band", "hub.sid", "hub.n")
+    # in a small bucket each pair once
+    first = ends(pairs(few, few).where("sid_1 < sid_2")).unionByName(ends(pairs(many, hubs))).distinct()
+    links = written(verified(first, sets, least), "links")
+    if not many.isEmpty():
+        linked = written(components(links), "components")
+        rooted = many.join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("band", "sid", "n", F.coalesce("root", "sid").alias("root"))
+        rooted = written(rooted, "rooted")
+        largest = rooted.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
+        apart = rooted.join(largest, "band").where("root <> largest").drop("largest")
+        second = ends(pairs(apart, rooted).where("root_1 <> root_2")).distinct().join(first, ["a", "b"], "left_anti")
+        links = written(links.unionByName(verified(second, sets, least)), "links")
+    linked = written(components(links), "components")
+    by_set = rows.groupBy("sid").agg(F.min(key).alias("own")).join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "own", F.coalesce("root", "sid").alias("root"))
+    ids = by_set.groupBy("root").agg(F.min("own").alias("component_id"))
+    return rows.select(key, "sid").join(by_set.join(ids, "root").select("sid", "component_id"), "sid").select(key, "component_id")
+
+
+def keep_one(docs: DataFrame, width: int | None = None, least: float = SIMILARITY) -> DataFrame:
+    """One row of each component: that with the smallest doc_id (of rows equal in it, any one).  Columns as they are.
+
+    With ``width``, components are those of ``similar`` shingles of so many words; else of near fingerprints.
+    """
     columns = docs.columns
-    found = near_duplicates(docs.where("doc_id is not null"))
+    known = docs.where("doc_id is not null")
+    found = near_duplicates(known) if width is None else similar(known, "doc_id", width, least)
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n")).withColumnRenamed("doc_id", "__id")
     # a hash join by the small side: texts are shuffled once and not sorted
     rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"))

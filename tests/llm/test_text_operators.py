@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -271,6 +272,70 @@ def test_keep_one_of_each_group(spark):
         assert sorted(x for x in ids if x is not None) == sorted({r.component_id for r in simhash.near_duplicates(docs.where("doc_id is not null")).collect()})
 
 
+def brute_similar(rows, width=5, least=0.8):
+    """Smallest id reachable over Jaccard similarity of word shingles."""
+    def shingles(text):
+        w = [x for x in bytes(0x20 if 9 <= c <= 13 else c for c in (text or "").encode().lower()).split(b" ") if x]
+        return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if (x == y or (min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) >= least * len(x | y))) and top(i) != top(j):
+                root[top(i)] = top(j)
+    least_of = {}
+    for i, (d, _) in enumerate(rows):
+        least_of[top(i)] = min(d, least_of.get(top(i), d))
+    return sorted((d, least_of[top(i)]) for i, (d, _) in enumerate(rows))
+
+
+def edited(seed=3):
+    """Texts with near copies of every degree, a large group of near copies and a chain of them."""
+    rng = random.Random(seed)
+    prose = lambda n: [rng.choice("bcdfgh") + str(rng.randrange(3000)) for _ in range(n)]
+    texts = []
+    for n in (30, 60, 120, 300):
+        base = prose(n)
+        texts.append(base)
+        for edits in range(1, 12):
+            t = list(base)
+            for _ in range(edits):
+                t[rng.randrange(n)] = "odd"
+            texts.append(t)
+    base = prose(200)
+    for _ in range(60):
+        t = list(base)
+        for _ in range(4):
+            t[rng.randrange(200)] = prose(1)[0]
+        texts.append(t)
+    for _ in range(8):
+        base = list(base)
+        for _ in range(4):
+            base[rng.randrange(200)] = prose(1)[0]
+        texts.append(base)
+    return [" ".join(t) for t in texts]
+
+
+def test_near_copies_equal_brute_force(spark, sf, monkeypatch):
+    made = fixtures.documents(spark, edited(), False)
+    rows = [(r.doc_id, r.text) for r in made.collect()]
+    want = brute_similar(rows)
+    assert len({c for _, c in want}) < len({r.component_id for r in simhash.near_duplicates(made).collect()})
+    for small in (32, 4):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        assert sorted((r.doc_id, r.component_id) for r in simhash.similar(made).collect()) == want
+    for docs in (fixtures.documents(spark, extra_null_row=False), fixtures.sample(spark, sf).where("doc_id is not null")):
+        want = brute_similar([(r.doc_id, r.text) for r in docs.collect()])
+        assert sorted((r.doc_id, r.component_id) for r in simhash.similar(docs).collect()) == want
+        assert sorted(r.doc_id for r in simhash.keep_one(docs, 5).collect()) == sorted({c for _, c in want})
+
+
 def test_queries_have_the_contract_columns(spark, sf):
     want = {"op1_token_counts": {"doc_id", "n_bytes", "n_tokens", "over_limit"}, "op3_decontaminate": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"}, "op9_simhash": {"doc_id", "fingerprint", "component_id"}}
     for name, columns in want.items():
