@@ -1,9 +1,13 @@
 """Lexical retrieval packing.
 
-Documents are tokenised once and dealt by a hash of their id over shards of
-bounded size.  Each shard has a BM25 inverted index over token ids, whose
+Documents are tokenised once and dealt by a lexical key over shards of bounded
+size: the first of their terms in a random order that favours rare ones (a
+weighted MinHash, carried on to the next terms), so that documents with rare
+terms in common meet, and a key with many documents is cut by its next terms.
+Each shard has a BM25 inverted index over token ids, whose
 document frequencies are counted over all documents.  A seed document opens a
-window; its best-scoring unused neighbours fill it in turn, and what does not
+window; its best-scoring unused neighbours, by all its terms, fill it in turn until none
+has a term of it, and what does not
 fit of the last one opens the next window.  Only a shard's last window can be
 short.
 """
@@ -25,8 +29,8 @@ from tessera.llm.common import bounded, cores, kept_in_worker, release, slices,
 WINDOW = 4096
 #: Tokens in a shard, about.
 SHARD_TOKENS = 1_200_000
-#: Terms of a seed that are looked up (its rarest weighted by frequency), neighbours that are asked for at a time.
-QUERY_TERMS, NEIGHBOURS = 24, 64
+#: Neighbours that are asked for at a time, terms in a lexical key, documents whose keys give the shards' bounds, about.
+NEIGHBOURS, KEY_TERMS, SAMPLE = 64, 4, 200_000
 K1, B = 1.2, 0.75
 
 
@@ -115,24 +119,41 @@ def ids_for(path: str) -> Ids:
     return Ids(path)
 
 
+def term_order(end: int) -> np.ndarray:
+    """Place of each id in a random order in which an id comes early in proportion to the log of its rank, as its idf by Zipf's law (vocabularies are made by frequency)."""
+    race = np.random.default_rng(KEY_TERMS).exponential(size=1 << 16) / np.log(2 + np.arange(1 << 16))
+    race[end] = np.inf
+    place = np.empty(1 << 16, np.uint64)
+    place[np.argsort(race)] = np.arange(1 << 16, dtype=np.uint64)
+    return place
+
+
+def lexical_key(places: np.ndarray) -> int:
+    """The first places, packed so that the signed number has their order."""
+    first = [*np.sort(places)[:KEY_TERMS].tolist(), *[0xFFFF] * KEY_TERMS][:KEY_TERMS]
+    return (first[0] << 48 | first[1] << 32 | first[2] << 16 | first[3]) - (1 << 63)
+
+
 def tokenised(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """doc_id, ids (little-endian 16 bit, with ``end``), and in one row for each task, without doc_id, df: documents by id."""
+    """doc_id, ids (little-endian 16 bit, with ``end``), lexical key, and in one row for each task, without doc_id, df: documents by id."""
 
     def run(batches):
         release(ids_for)
-        ids, df, seen = ids_for(tokenizer), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
+        ids, df, seen, place = ids_for(tokenizer), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool), term_order(end)
         for batch in batches:
             for part in slices(batch, 8 << 20):
                 out = [x + np.array([end], "<u2").tobytes() for x in ids.encode(part.column("text"))]
+                keys = []
                 for x in out:
                     seen[np.frombuffer(x, "<u2")] = True
                     own = np.flatnonzero(seen)
                     df[own] += 1
                     seen[own] = False
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary()), pa.array([None] * len(out), pa.binary())], ["doc_id", "ids", "df"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([df.tobytes()], pa.binary())], ["doc_id", "ids", "df"])
+                    keys.append(lexical_key(place[own]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary()), pa.array(keys, pa.int64()), pa.array([None] * len(out), pa.binary())], ["doc_id", "ids", "lexical", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.int64()), pa.array([df.tobytes()], pa.binary())], ["doc_id", "ids", "lexical", "df"])
 
-    return bounded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, ids binary, df binary")
+    return bounded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, ids binary, lexical bigint, df binary")
 
 
 def document_frequencies(tokens: DataFrame) -> np.ndarray:
@@ -165,13 +186,18 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], (self.idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order]
         self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
-        self.own, self.term, self.tf = np.searchsorted(doc, np.arange(len(texts) + 1)), term, tf
+        self.own, self.term, self.indexed = np.searchsorted(doc, np.arange(len(texts) + 1)), term.astype(np.int64), len(texts)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        own = slice(self.own[seed], self.own[seed + 1])
-        terms, tf = self.term[own], self.tf[own]
-        best = np.argsort(-(self.idf[terms] * tf / (tf + K1)), kind="stable")[:QUERY_TERMS]
-        spans = [slice(self.start[t], self.start[t + 1]) for t in terms[best].astype(np.int64)]
+        left = int(unused.sum())
+        if 2 * left < self.indexed:  # used documents leave the index
+            keep = unused[self.doc]
+            self.start = np.concatenate([[0], np.cumsum(keep)])[self.start]
+            self.doc, self.weight, self.indexed = self.doc[keep], self.weight[keep], left
+        terms = self.term[self.own[seed] : self.own[seed + 1]]
+        spans = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True) if a < b]
+        if not spans:
+            return []
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(unused))
         score[~unused] = 0
         at = np.flatnonzero(score)
@@ -184,6 +210,7 @@ def fill(texts: list[np.ndarray], index: Index) -> list[tuple[int, int, int, int
     """(document, start, length, window, offset) of every piece."""
     unused, pieces, window, offset, following, next_seed = np.ones(len(texts), bool), [], 0, 0, [], 0
     rest: tuple[int, int] | None = None
+    more = False  # the seed may have neighbours that were not asked for yet
     while True:
         if rest is not None:
             (doc, start), rest = rest, None
@@ -192,8 +219,10 @@ def fill(texts: list[np.ndarray], index: Index) -> list[tuple[int, int, int, int
         else:
             if following is None:
                 following = index.neighbours(doc_seed, unused)
-            while following and not unused[following[0]]:
-                following.pop(0)
+                more = len(following) >= NEIGHBOURS
+            if not following and more:  # all that were asked for are in the window
+                following = index.neighbours(doc_seed, unused)
+                more = len(following) >= NEIGHBOURS
             if following:
                 doc = following.pop(0)
             else:
@@ -213,7 +242,20 @@ def fill(texts: list[np.ndarray], index: Index) -> list[tuple[int, int, int, int
         if start + n < len(texts[doc]):
             rest = (doc, start + n)
         if offset == WINDOW:
-            window, offset, following = window + 1, 0, []
+            window, offset, following, more = window + 1, 0, [], False
+
+
+def shard_bounds(held: DataFrame, n: int, shards: int) -> np.ndarray:
+    """Keys between which the shards lie, of about as many tokens each, by a sample of bounded size."""
+    if shards == 1:
+        return np.zeros(0, np.int64)
+    every = -(-n // max(SAMPLE, 50 * shards))
+    rows = held.select("lexical", (F.length("ids") / 2).alias("tokens"), F.xxhash64("doc_id", "lexical").alias("salt"))
+    found = rows.where(F.pmod("salt", F.lit(every)) == 0).groupBy("lexical").agg(F.sum("tokens").alias("tokens")).toArrow().sort_by("lexical")
+    upto = np.cumsum(found.column("tokens").to_numpy())
+    if not len(upto):
+        return np.zeros(0, np.int64)
+    return found.column("lexical").to_numpy()[np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards)]
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int = 2, with_ids: bool = True) -> DataFrame:
@@ -239,6 +281,15 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, with_ids: bool = True) -
         rows = [(ids[d], s, n, zlib.crc32(texts[d][s : s + n].astype("<u4").tobytes()), len(texts[d]), (shard << 32) + w, o, *[texts[d][s : s + n].tobytes()] * with_ids) for d, s, n, w, o in fill(texts, Index(texts, shared.value, n_docs))]
         return pa.table([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(columns, zip(*rows, strict=True), strict=True)], names=columns)
 
-    dealt = held.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "ids")
+    bounds = shard_bounds(held, size["n"], shards)
+
+    @F.arrow_udf("int")
+    def shard_of(lexical: pa.Array, salt: pa.Array) -> pa.Array:
+        # a key that takes several shards is dealt over them
+        x, salt = lexical.to_numpy(zero_copy_only=False), salt.to_numpy(zero_copy_only=False).view(np.uint64)
+        first, last = np.searchsorted(bounds, x, "left"), np.searchsorted(bounds, x, "right")
+        return pa.array(first + (salt % (last - first + 1).astype(np.uint64)).astype(np.int64), pa.int32())
+
+    dealt = held.select(shard_of("lexical", F.xxhash64("doc_id", F.length("ids"))).cast("bigint").alias("shard"), "doc_id", "ids")
     dealt = dealt.repartition(max(min(shards, 4096), cores(spark)), "shard")
     return dealt.groupBy("shard").applyInArrow(one_shard, ", ".join(f"{k} {'binary' if k == 'ids' else 'bigint'}" for k in columns))

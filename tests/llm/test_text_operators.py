@@ -184,6 +184,37 @@ def test_packing_prefers_lexical_neighbours():
     assert same > 0.8
 
 
+def test_neighbours_meet_across_many_shards(spark, monkeypatch):
+    rng = random.Random(1)
+    vocabulary = [w for w in ("anchor basket candle dragon engine feather garden hammer island jacket kettle lantern magnet needle orchard pepper quarry ribbon saddle tunnel umbrella velvet window yellow zipper bishop copper dinner effort flower guitar helmet insect jungle kidney ladder mirror napkin oyster pirate rabbit salmon temple vessel walnut").split()]
+    topics = [rng.sample(vocabulary, 12) for _ in range(40)]
+    rows = [" ".join(rng.choice(topics[i % 40]) for _ in range(150)) for i in range(800)]
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 8000)
+    found = packing.pack(fixtures.documents(spark, rows, False), WORDS, with_ids=False).collect()
+    shards = defaultdict(list)
+    for i, shard in {(r.doc_id, r.sequence_id >> 32) for r in found}:
+        shards[shard].append(i)
+    assert len(shards) > 8 and {i for s in shards.values() for i in s} == set(range(800))
+    # of all pairs of one topic, how many share a shard: about 1 in 15 if dealt at random
+    together = sum(1 for s in shards.values() for i in s for j in s if i < j and i % 40 == j % 40)
+    assert together > 0.4 * 40 * 190
+    loads = defaultdict(int)
+    for r in found:
+        loads[r.sequence_id >> 32] += r.length
+    assert max(loads.values()) < 3 * packing.SHARD_TOKENS
+
+
+def test_a_seed_is_asked_for_until_none_scores():
+    texts = [np.array([7, *[k] * 8, 2], "<u2") for k in (10, 11)]
+    texts = [texts[0], *[np.array([i, 2], "<u2") for i in range(100, 300)], *[np.array([7, i, 2], "<u2") for i in range(300, 500)]]
+    df = np.zeros(1 << 16, np.int64)
+    for x in texts:
+        df[np.unique(x)] += 1
+    index = packing.Index([x[:-1] for x in texts], df, len(texts))
+    order = [p[0] for p in packing.fill([x[:-1] for x in texts], index)]
+    assert sorted(order[1:201]) == list(range(201, 401))
+
+
 # --- simhash ----------------------------------------------------------------
 
 
