@@ -20,7 +20,7 @@ and no group has more than 65 rows.
 Near copies by Jaccard similarity (``similar``) are too far apart for such
 keys: at 0.8 the 64 bits differ in up to about eleven.  Candidates there share
 one of BANDS groups of ROWS least hashes (a pair at 0.8 is missed with a chance
-of 5e-6, a closer one with less), and each is verified on the shingles.  A
+of 7e-6, a closer one with less), and each is verified on the shingles.  A
 bucket of up to SMALL shingle sets is compared pair by pair; in a larger one
 all are compared with HUBS of them, and then what is not in the bucket's
 largest component with all that are not in its own component.
@@ -39,7 +39,7 @@ from tessera.llm.common import map_batches, raw_texts, written
 SEED, SHINGLE, BITS = 42, 3, 2
 SMALL = 32
 #: Of ``similar``: words of a shingle, least similarity, groups of least hashes, hashes in a group, sets that a large bucket is compared with first.
-WIDTH, SIMILARITY, BANDS, ROWS, HUBS = 5, 0.8, 40, 6, 4
+WIDTH, SIMILARITY, BANDS, ROWS, HUBS = 5, 0.8, 30, 5, 4
 #: Generator polynomial of the binary Golay code, its length, its dimension.
 GENERATOR, LENGTH, DIMENSION = 0b101011100011, 23, 12
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -217,19 +217,42 @@ def bands(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str, width: int) -> DataFrame:
-    """key, and of the row's shingle set: sid (a hash of it), n (its size), bands (none for the empty set), hashes in order."""
+    """key, and of the row's shingle set: sid (a hash of it), n (its size), bands (none for the empty set)."""
     small = docs.select(F.col(key), F.col("text"))
 
     def make():
         def handle(batch: pa.RecordBatch):
             sets = [np.unique(shingle_hashes(t, width)) for t in raw_texts(batch.column("text"))]
-            sid = pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64))
+            sid = pa.array(np.array([set_id(h) for h in sets], np.uint64).view(np.int64))
             keys = pa.array([bands(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(key), sid, pa.array([len(h) for h in sets], pa.int64()), keys, pa.array([h.tobytes() for h in sets], pa.binary())], [key, "sid", "n", "bands", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), sid, pa.array([len(h) for h in sets], pa.int64()), keys], [key, "sid", "n", "bands"])
 
         return handle
 
-    return map_batches(small, f"`{key}` {small.schema[key].dataType.simpleString()}, sid bigint, n bigint, bands array<bigint>, hashes binary", make)
+    return map_batches(small, f"`{key}` {small.schema[key].dataType.simpleString()}, sid bigint, n bigint, bands array<bigint>", make)
+
+
+def set_id(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED)
+
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, sids: DataFrame, key: str, width: int) -> DataFrame:
+    """sid and hashes (in order) of the sets that are asked for.  Only texts of these are hashed again; they are shuffled once and not written whole."""
+    chosen = rows.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min(key).alias("__id")).withColumnRenamed("sid", "__sid")
+    texts = docs.select(F.col(key), "text").join(chosen.hint("shuffle_hash"), F.col(key) == F.col("__id")).select("__sid", "text")
+
+    def make():
+        def handle(batch: pa.RecordBatch):
+            out = []
+            for sid, text in zip(batch.column("__sid").to_pylist(), raw_texts(batch.column("text")), strict=True):
+                h = np.unique(shingle_hashes(text, width))
+                if set_id(h) == sid % (1 << 64):  # rows of one key may differ in text
+                    out.append((sid, h.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["sid", "hashes"])
+
+        return handle
+
+    return map_batches(texts, "sid bigint, hashes binary", make).groupBy("sid").agg(F.any_value("hashes").alias("hashes"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -257,11 +280,9 @@ def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: flo
     them as its one shingle, and texts without words are alike.
     """
     rows = written(sketches(docs, key, width), "sketches")
-    keyed = rows.select("sid", "n", F.explode("bands").alias("band")).distinct()
-    keyed = written(keyed, "bands")
-    more = keyed.join(keyed.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band")
-    more = written(more, "bucketed")
-    sets = written(rows.join(more.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.any_value("hashes").alias("hashes")), "sets")
+    by_sid = rows.groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    keyed = by_sid.select("sid", "n", F.explode("bands").alias("band"))
+    more = written(keyed.join(keyed.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band"), "bucketed")
 
     def pairs(one: DataFrame, other: DataFrame) -> DataFrame:
         """Sets of one bucket that differ, in sizes that allow the similarity."""
@@ -271,13 +292,18 @@ def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: flo
     def ends(met: DataFrame) -> DataFrame:
         return met.select(F.least("sid_1", "sid_2").alias("a"), F.greatest("sid_1", "sid_2").alias("b"))
 
+    def verify(found: DataFrame) -> DataFrame:
+        sids = found.select(F.col("a").alias("sid")).union(found.select("b")).distinct()
+        return verified(found, written(shingle_sets(docs, rows, sids, key, width), "sets"), least)
+
     few, many = more.where(F.col("m") <= SMALL).drop("m"), more.where(F.col("m") > SMALL).drop("m")
     own = F.struct("sid", "n")
     hubs = many.groupBy("band").agg(F.array_distinct(F.array(*[F.min_by(own, F.xxhash64("band", "sid", F.lit(i))) for i in range(HUBS)])).alias("hubs"))
     hubs = hubs.select("band", F.explode("hubs").alias("hub")).select("band", "hub.sid", "hub.n")
     # in a small bucket each pair once
     first = ends(pairs(few, few).where("sid_1 < sid_2")).unionByName(ends(pairs(many, hubs))).distinct()
-    links = written(verified(first, sets, least), "links")
+    first = written(first, "pairs")
+    links = written(verify(first), "links")
     if not many.isEmpty():
         linked = written(components(links), "components")
         rooted = many.join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("band", "sid", "n", F.coalesce("root", "sid").alias("root"))
@@ -285,7 +311,7 @@ def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: flo
         largest = rooted.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
         apart = rooted.join(largest, "band").where("root <> largest").drop("largest")
         second = ends(pairs(apart, rooted).where("root_1 <> root_2")).distinct().join(first, ["a", "b"], "left_anti")
-        links = written(links.unionByName(verified(second, sets, least)), "links")
+        links = written(links.unionByName(verify(written(second, "pairs"))), "links")
     linked = written(components(links), "components")
     by_set = rows.groupBy("sid").agg(F.min(key).alias("own")).join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "own", F.coalesce("root", "sid").alias("root"))
     ids = by_set.groupBy("root").agg(F.min("own").alias("component_id"))
