@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 SLICE_BYTES, BATCH_ROWS = 4 << 20, 2000
@@ -75,7 +76,50 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], keep=None) -> DataFrame:
+def loose(kind: T.DataType) -> T.DataType:
+    """The type with every part nullable, as the results of Python functions are declared."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, loose(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(loose(kind.elementType))
+    return T.MapType(loose(kind.keyType), loose(kind.valueType)) if isinstance(kind, T.MapType) else kind
+
+
+def _loose(kind: pa.DataType) -> pa.DataType:
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _loose(f.type), True, f.metadata) for f in kind.fields])
+    if pa.types.is_map(kind):
+        return pa.map_(_loose(kind.key_type), _loose(kind.item_type))
+    return pa.list_(_loose(kind.value_type)) if pa.types.is_list(kind) else kind
+
+
+def returned(df: DataFrame, names: Iterable[str], more: str) -> T.StructType:
+    """Schema of a Python function's result: columns of ``df`` and then ``more``."""
+    return T.StructType([*(T.StructField(n, loose(df.schema[n].dataType)) for n in names), *T.StructType.fromDDL(more).fields])
+
+
+def relaxed(column):
+    """An Arrow column with every part nullable."""
+    kind = _loose(column.type)
+    return column if kind == column.type else column.cast(kind)
+
+
+def named(column: str) -> Column:
+    """A top-level column, whatever its name."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, **more) -> DataFrame:
+    """All columns as one struct, ``row``, so that they clash with no name of an operator; ``more`` beside it."""
+    return docs.select(F.struct(*map(named, docs.columns)).alias("row"), *[v.alias(k) for k, v in more.items()])
+
+
+def unpacked(rows: DataFrame, like: DataFrame, **new) -> DataFrame:
+    """The columns of ``like`` from ``row``, some of them given anew."""
+    return rows.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in like.columns])
+
+
+def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], keep=None) -> DataFrame:
     """``make`` runs once per task; what it returns handles one Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +127,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
         handle = make()
         for batch in batches:
             for part in slices(batch):
-                yield from handle(part)
+                for found in handle(part):
+                    yield pa.RecordBatch.from_arrays([relaxed(c) for c in found.columns], names=found.schema.names)
 
     return bounded(df).mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, map_batches, raw_texts, release, slices, written
+from tessera.llm.common import bounded, map_batches, packed, raw_texts, release, returned, slices, unpacked, written
 
 #: Benchmark bytes in a broadcast block.
 BLOCK_BYTES = 1 << 20
@@ -112,7 +112,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: s
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
     size = bench.agg(F.sum(F.length("text") + 64).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    sc, kind = docs.sparkSession.sparkContext, small.schema[key].dataType.simpleString()
+    sc = docs.sparkSession.sparkContext
     state = small.withColumns({"hits": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
     for k in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
@@ -146,7 +146,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: s
 
             return handle
 
-        schema = f"`{key}` {kind}, " + ("n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>" if last else f"text {small.schema['text'].dataType.simpleString()}, hits binary, items array<string>")
+        schema = returned(small, [key], "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>") if last else returned(small, [key, "text"], "hits binary, items array<string>")
         state = map_batches(state, schema, make)
         if not last:
             state = written(state, "decontaminate")
@@ -155,5 +155,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: s
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, columns as they are."""
-    keep = decontaminate(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), benchmark, width, key="__row")
-    return keep.where("not contaminated").select("__row.*")
+    return unpacked(decontaminate(packed(docs, text=F.col("text")), benchmark, width, key="row").where("not contaminated"), docs)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches
+from tessera.llm.common import map_batches, packed, returned, unpacked
 
 #: Hashed n-gram features; labelled rows in the sample that the classifiers are fitted to, for all languages together and for one.
 FEATURES, SAMPLE, SAMPLE_EACH = 4096, 3200, 400
@@ -160,7 +160,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataFr
 
         return handle
 
-    return map_batches(small, f"`{key}` {small.schema[key].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean", make)
+    return map_batches(small, returned(small, [key], "lang_pred string, score double, ambiguous boolean"), make)
 
 
 def held_out(key: str = "doc_id"):
@@ -176,5 +176,4 @@ def identify(docs: DataFrame) -> DataFrame:
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """The rows whose language is found: not ``und``, not ambiguous.  Columns as they are."""
     model = train(docs.select("doc_id", "text", "lang").where(~held_out()))
-    whole = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return predict(whole, model, key="__row").where("lang_pred <> 'und' and not ambiguous").select("__row.*")
+    return unpacked(predict(packed(docs, text=F.col("text")), model, key="row").where("lang_pred <> 'und' and not ambiguous"), docs)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, raw_texts
+from tessera.llm.common import map_batches, raw_texts, returned
 from tessera.llm.decontaminate import words
 from tessera.llm.license_templates import TEMPLATES
 
@@ -141,4 +141,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
 
         return handle
 
-    return map_batches(small, f"`{key}` {small.schema[key].dataType.simpleString()}, license string, n_matched bigint, coverage double, start_word bigint, stop_word bigint", make)
+    return map_batches(small, returned(small, [key], "license string, n_matched bigint, coverage double, start_word bigint, stop_word bigint"), make)

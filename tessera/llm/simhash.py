@@ -22,24 +22,32 @@ keys: at 0.8 the 64 bits differ in up to about eleven.  Candidates there share
 one of BANDS groups of ROWS least hashes (a pair at 0.8 is missed with a chance
 of 7e-6, a closer one with less), and each is verified on the shingles.  A
 bucket of up to SMALL shingle sets is compared pair by pair; in a larger one
-all are compared with HUBS of them, and then what is not in the bucket's
+all are compared with HUBS of them (the same ones in all buckets that they are
+in, so that a pair is met once), and then what is not in the bucket's
 largest component with all that are not in its own component.
+
+Very long texts are hashed whole, in spans; ties (equal fingerprints, equal
+shingle sets) fall together, and the smallest key names a component.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, raw_texts, written
+from tessera.llm.common import map_batches, packed, raw_texts, returned, unpacked, written
 
 SEED, SHINGLE, BITS = 42, 3, 2
 SMALL = 32
 #: Of ``similar``: words of a shingle, least similarity, groups of least hashes, hashes in a group, sets that a large bucket is compared with first.
-WIDTH, SIMILARITY, BANDS, ROWS, HUBS = 5, 0.8, 30, 5, 4
+WIDTH, SIMILARITY, BANDS, ROWS, HUBS = 5, 0.8, 30, 5, 2
+#: Bytes of a text whose words are hashed at a time.
+SPAN = 1 << 20
 #: Generator polynomial of the binary Golay code, its length, its dimension.
 GENERATOR, LENGTH, DIMENSION = 0b101011100011, 23, 12
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -114,7 +122,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
         return handle
 
-    return map_batches(small, f"`{key}` {small.schema[key].dataType.simpleString()}, fp bigint", make)
+    return map_batches(small, returned(small, [key], "fp bigint"), make)
 
 
 def golay_keys(distinct: DataFrame) -> DataFrame:
@@ -222,14 +230,58 @@ def sketches(docs: DataFrame, key: str, width: int) -> DataFrame:
 
     def make():
         def handle(batch: pa.RecordBatch):
-            sets = [np.unique(shingle_hashes(t, width)) for t in raw_texts(batch.column("text"))]
+            sets = [shingle_set(t, width) for t in raw_texts(batch.column("text"))]
             sid = pa.array(np.array([set_id(h) for h in sets], np.uint64).view(np.int64))
             keys = pa.array([bands(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(key), sid, pa.array([len(h) for h in sets], pa.int64()), keys], [key, "sid", "n", "bands"])
 
         return handle
 
-    return map_batches(small, f"`{key}` {small.schema[key].dataType.simpleString()}, sid bigint, n bigint, bands array<bigint>", make)
+    return map_batches(small, returned(small, [key], "sid bigint, n bigint, bands array<bigint>"), make)
+
+
+_ODD = 0x9E3779B97F4A7C15
+_LETTER = np.random.default_rng(WIDTH).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse."""
+    up = np.cumprod(np.full(SPAN + 1, _ODD, np.uint64))
+    return up, np.cumprod(np.full(SPAN + 1, pow(_ODD, -1, 1 << 64), np.uint64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word, all words of a span at once: differences of the prefix sums of a polynomial."""
+    text, out, at = text.translate(_SPACE), [], 0
+    up, down = _powers()
+    while at < len(text):
+        stop = len(text) if len(text) - at <= SPAN else text.rfind(b" ", at, at + SPAN)
+        if stop < at:  # a word that is longer than a span
+            stop = len(text) if (stop := text.find(b" ", at)) < 0 else stop
+            out.append(np.array([xxhash.xxh64_intdigest(text[at:stop], SEED)], np.uint64))
+        else:
+            data = np.frombuffer(text[at:stop], np.uint8)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * up[: len(data)])])
+            edges = np.flatnonzero(np.diff(data != 0x20, prepend=False, append=False))
+            out.append(_mixed((sums[edges[1::2]] - sums[edges[::2]]) * down[edges[::2]]))
+        at = stop + 1
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Distinct hashes, in order, of every ``width`` words in a row; of all words if they are fewer; none without words."""
+    h = word_hashes(text)
+    n = max(1, len(h) - width + 1)
+    total = h[:n]
+    for i in range(1, min(width, len(h))):
+        total = _mixed(total * np.uint64(_ODD) + h[i : i + n])
+    return np.unique(total)
 
 
 def set_id(h: np.ndarray) -> int:
@@ -245,7 +297,7 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, sids: DataFrame, key: str, wi
         def handle(batch: pa.RecordBatch):
             out = []
             for sid, text in zip(batch.column("__sid").to_pylist(), raw_texts(batch.column("text")), strict=True):
-                h = np.unique(shingle_hashes(text, width))
+                h = shingle_set(text, width)
                 if set_id(h) == sid % (1 << 64):  # rows of one key may differ in text
                     out.append((sid, h.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["sid", "hashes"])
@@ -298,7 +350,7 @@ def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: flo
 
     few, many = more.where(F.col("m") <= SMALL).drop("m"), more.where(F.col("m") > SMALL).drop("m")
     own = F.struct("sid", "n")
-    hubs = many.groupBy("band").agg(F.array_distinct(F.array(*[F.min_by(own, F.xxhash64("band", "sid", F.lit(i))) for i in range(HUBS)])).alias("hubs"))
+    hubs = many.groupBy("band").agg(F.array_distinct(F.array(*[F.min_by(own, F.xxhash64("sid", F.lit(i))) for i in range(HUBS)])).alias("hubs"))
     hubs = hubs.select("band", F.explode("hubs").alias("hub")).select("band", "hub.sid", "hub.n")
     # in a small bucket each pair once
     first = ends(pairs(few, few).where("sid_1 < sid_2")).unionByName(ends(pairs(many, hubs))).distinct()
@@ -319,15 +371,17 @@ def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: flo
 
 
 def keep_one(docs: DataFrame, width: int | None = None, least: float = SIMILARITY) -> DataFrame:
-    """One row of each component: that with the smallest doc_id (of rows equal in it, any one).  Columns as they are.
+    """One row of each component: that with the smallest doc_id, null last (of rows with one id and different texts, any one of the texts; of equal rows, any one).
 
     With ``width``, components are those of ``similar`` shingles of so many words; else of near fingerprints.
+    Columns as they are, whatever their names.  Rows without id take part like others.
     """
-    columns = docs.columns
-    known = docs.where("doc_id is not null")
-    found = near_duplicates(known) if width is None else similar(known, "doc_id", width, least)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n")).withColumnRenamed("doc_id", "__id")
+    # the key of a row: its id and a hash of its text, in one struct that sorts ids without value last
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"))
+    known = docs.select(own.alias("key"), "text")
+    found = near_duplicates(known, "key") if width is None else similar(known, "key", width, least)
+    kept = found.where("key = component_id").groupBy("key").agg(F.count("*").alias("rows"))
     # a hash join by the small side: texts are shuffled once and not sorted
-    rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"))
-    one, more = rows.where("__n = 1").select(*columns), rows.where("__n > 1").select(*columns)
-    return one.unionByName(more.dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null").select(*columns))
+    rows = packed(docs, key=own).join(kept.hint("shuffle_hash"), "key")
+    one, more = rows.where("rows = 1"), rows.where("rows > 1")
+    return unpacked(one.unionByName(more.dropDuplicates(["key"])), docs)

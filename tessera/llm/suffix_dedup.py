@@ -6,23 +6,27 @@ hashed K-gram among its first W places.  Equal windows have equal anchors, so
 only suffixes that start at an anchor (one in about 160 bytes) need sorting,
 and of these only those whose K-gram is an anchor twice (a class).
 
-1. Documents are dealt by hash over runs of bounded size.  A run's classes,
-   with a hash of the bytes that each anchor's windows take in before it, go
-   to parts by class; a part answers which classes repeat, and which are mixed
-   (bytes before the anchor differ among members, or very many members).
-2. A run sorts the suffixes of its repeated, unmixed anchors, cut at LENGTH
-   bytes, collapses equal ones, front-codes the order (bytes shared with the
-   one before, and the rest) and exchanges it by class.  A part merges its
-   runs with a loser tree that carries common-prefix lengths: a comparison
-   starts behind the prefix that is known to be shared, and none is needed
-   where the known lengths differ.  The merged lengths give, for each suffix,
-   the longest prefix that occurs elsewhere; as the bytes before are the same
-   throughout the class, this decides all windows of the anchor.
-3. The windows of mixed classes are compared one by one: as 64-bit hashes,
-   made distinct in the run, and counted by hash.  A class of any size is so
-   spread over all parts.
+1. Documents are dealt by hash over runs of bounded size.  A run's classes go
+   to parts by class; a part answers which classes repeat.
+2. A run sorts, for the anchors of repeated classes, the bytes from the anchor
+   on and, read backwards, the bytes that the anchor's windows take in before
+   it; front-codes both orders (bytes shared with the one before, and the
+   rest) and exchanges them by class.  A part merges its runs with loser trees
+   that carry common-prefix lengths: a comparison starts behind the prefix
+   that is known to be shared, and none is needed where the known lengths
+   differ.  The window that starts d bytes before an anchor is that of another
+   anchor exactly if they share d bytes before and LENGTH - d bytes behind: in
+   each order a group of neighbours whose common prefixes are as long.  For
+   each d, anchors with both groups in common are counted.
+3. A class that comes from more than ``hot`` runs, or in as many anchors as
+   fill a part, would be too much for one part.  Its windows are compared one
+   by one: as 128-bit digests, made distinct in the run, spread over all parts
+   by digest, and counted.
 4. A run marks its hit windows and cuts the bytes that they cover.
 
+The decisions of 2 rest on the bytes themselves; those of 3 on digests that
+two unlike windows share with a chance of 2^-128.
+
 All exchanged blocks are smaller than what they were made from, a key adds at
 most one entry for each run to a part, and the text is shuffled once.
 
@@ -42,18 +46,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cores, release, written
+from tessera.llm.common import cores, named, relaxed, release, returned, unpacked
 
 LENGTH = 400
 #: Bytes of a word's code: a chance collision of two windows that differ in one word has 2^-48.
 CODE = 6
 #: Bytes of text in a run and of anchors or windows in a part, about; positions that are hashed at a time.
-RUN_BYTES, PART_BYTES, SPAN = 2 << 20, 24 << 20, 1 << 18
-#: A class with an entry from more runs than this counts as mixed.
-HOT = 512
+RUN_BYTES, PART_BYTES, SPAN = 2 << 20, 12 << 20, 1 << 18
+#: Runs that a class may come from, and anchors for each of them, before it is hot.
+HOT, HOT_ANCHORS = 512, 32
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_BYTES = np.random.default_rng(400).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTES = np.random.default_rng(400).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _NONE = np.uint64(_MASK)
 
 
@@ -66,11 +70,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def gram_hashes(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
-    """Hashes of all substrings of each length, by doubling; each result is as long as there are starts."""
+def gram_hashes(data: np.ndarray, lengths: tuple[int, ...], kind: int = 0) -> list[np.ndarray]:
+    """Hashes, of one of two kinds, of all substrings of each length, by doubling; each result is as long as there are starts."""
     found: list[np.ndarray | None] = [None] * len(lengths)
     done = [0] * len(lengths)
-    h, size = _BYTES[data], 1
+    h, size = _BYTES[kind][data], 1
     while size <= max(lengths):
         for i, n in enumerate(lengths):
             if n & size:
@@ -131,43 +135,28 @@ class Run:
         self.first, self.count, self.anchor, self.key = cat(first, np.int64), cat(count, np.int64), cat(anchor, np.int64), cat(key, np.uint64)
         self.n = n
 
-    def before(self) -> np.ndarray:
-        """Hash of the bytes from a group's first window to its anchor."""
-        digest, buffer = xxhash.xxh64_intdigest, memoryview(self.buffer)
-        return np.array([digest(buffer[p:q]) for p, q in zip(self.first.tolist(), self.anchor.tolist(), strict=True)], np.uint64)
-
-    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys in order, a hash of the bytes before, 1 if repeated here plus 2 if mixed here; group -> key."""
+    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, how many anchors each has here (up to 65535), group -> key."""
         keys, back, n = np.unique(self.key, return_inverse=True, return_counts=True)
-        before, low, high = self.before(), np.full(len(keys), _NONE), np.zeros(len(keys), np.uint64)
-        np.minimum.at(low, back, before)
-        np.maximum.at(high, back, before)
-        return keys, low, ((n > 1) + 2 * (low != high)).astype(np.uint8), back
-
-    def end_of(self, at: np.ndarray) -> np.ndarray:
-        return self.ends[np.searchsorted(self.ends, at, "right")]
-
-    def suffixes(self, groups: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Distinct suffixes of the groups' anchors cut at ``length`` bytes, in order; group -> suffix; whether one is there twice."""
-        at, stop = self.anchor[groups], np.minimum(self.anchor[groups] + self.length, self.end_of(self.anchor[groups]))
-        strings = [self.buffer[a:b] for a, b in zip(at.tolist(), stop.tolist(), strict=True)]
-        sites: dict[bytes, set[int]] = {}
-        for s, a in zip(strings, at.tolist(), strict=True):
-            sites.setdefault(s, set()).add(a)
-        ordered = sorted(sites)
-        place = {s: i for i, s in enumerate(ordered)}
-        return ordered, np.array([place[s] for s in strings], np.int64), np.array([len(sites[s]) > 1 for s in ordered], bool)
-
-    def window_hashes(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of all windows of the groups, and their hashes."""
+        return keys, np.minimum(n, 0xFFFF).astype("<u2"), back
+
+    def sides(self, groups: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """Of each group, what its windows take in from the anchor on, and before it read backwards."""
+        first, at, last = self.first[groups], self.anchor[groups], self.first[groups] + self.count[groups] - 1
+        after = [self.buffer[q:e] for q, e in zip(at.tolist(), (last + self.length).tolist(), strict=True)]
+        return after, [self.buffer[p:q][::-1] for p, q in zip(first.tolist(), at.tolist(), strict=True)]
+
+    def window_digests(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all windows of the groups, and their digests in two columns."""
         p = np.repeat(self.first[groups], self.count[groups]) + _ramp(self.count[groups])
-        out, done = np.zeros(len(p), np.uint64), 0
+        out, done = np.zeros((len(p), 2), np.uint64), 0
         for s in range(0, self.n, SPAN):
             stop = int(np.searchsorted(p, s + SPAN))
             if stop > done:
                 a, b = int(p[done]), int(p[stop - 1])
-                (h,) = gram_hashes(self.data[a : b + self.length], (self.length,))
-                out[done:stop] = h[p[done:stop] - a]
+                for kind in (0, 1):
+                    (h,) = gram_hashes(self.data[a : b + self.length], (self.length,), kind)
+                    out[done:stop, kind] = h[p[done:stop] - a]
                 done = stop
         return p, out
 
@@ -254,7 +243,7 @@ class LoserTree:
         return b, a
 
     def __iter__(self):
-        """(run, common prefix with the output before)."""
+        """(run, common prefix with the output before), in order."""
         while self.heads[self.winner] is not None:
             w = self.winner
             yield w, self.known[w]
@@ -266,20 +255,32 @@ class LoserTree:
             self.winner = w
 
 
-def merge(blocks: list[bytes]) -> list[np.ndarray]:
-    """For each suffix of each run, the longest prefix that a suffix of another run or its neighbour in the run shares."""
-    out = [np.zeros(int(np.frombuffer(b, "<u4", 1)[0]), "<u2") for b in blocks]
-    at = [0] * len(blocks)
-    before: tuple[int, int] | None = None
-    for run, shared in LoserTree([front_decoded(b) for b in blocks]):
-        i = at[run]
+def merge(blocks: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Place of each string of each run in the merged order, and the prefix that each place shares with the one before."""
+    place = [np.zeros(int(np.frombuffer(b, "<u4", 1)[0]), np.int64) for b in blocks]
+    at, shared = [0] * len(blocks), []
+    for run, known in LoserTree([front_decoded(b) for b in blocks]):
+        place[run][at[run]] = len(shared)
         at[run] += 1
-        if before is not None:
-            out[run][i] = shared
-            if out[before[0]][before[1]] < shared:
-                out[before[0]][before[1]] = shared
-        before = (run, i)
-    return out
+        shared.append(known)
+    return place, np.array(shared, np.int64)
+
+
+def repeats(after: np.ndarray, after_shared: np.ndarray, before: np.ndarray, before_shared: np.ndarray, least: np.ndarray, most: np.ndarray, length: int) -> np.ndarray:
+    """For each anchor and each d: whether its window that starts d bytes before it is another anchor's too.
+
+    ``after`` and ``before`` are places in the merged orders, ``least`` and
+    ``most`` the d that the anchor has windows for.
+    """
+    found = np.zeros((len(after), int(most.max()) + 1 if len(most) else 0), bool)
+    for d in range(found.shape[1]):
+        own = np.flatnonzero((least <= d) & (d <= most))
+        if len(own) > 1:
+            both = np.cumsum(after_shared < length - d)[after[own]] * (len(before_shared) + 1) + np.cumsum(before_shared < d)[before[own]]
+            order = np.argsort(both, kind="stable")
+            same = np.diff(both[order]) == 0
+            found[own[order], d] = np.append(same, False) | np.insert(same, 0, False)
+    return found
 
 
 _MESSAGE = "kind int, part int, run int, payload binary"
@@ -301,23 +302,20 @@ def _slices(part: np.ndarray) -> list[tuple[int, slice]]:
 
 
 def _send_classes(run: int, texts: list[bytes], parts: int, length: int = LENGTH) -> list[tuple[int, int, int, bytes]]:
-    keys, low, flags, _ = Run(texts, length).classes()
-    return [(0, p, run, np.uint32(s.stop - s.start).tobytes() + keys[s].tobytes() + low[s].tobytes() + flags[s].tobytes()) for p, s in _slices(part_of(keys, parts))]
+    keys, n, _ = Run(texts, length).classes()
+    return [(0, p, run, keys[s].tobytes() + n[s].tobytes()) for p, s in _slices(part_of(keys, parts))]
 
 
-def _judge_classes(group: pa.Table) -> pa.Table:
-    """Answers each run in the order of its keys: 0 once, 1 repeated, 2 repeated and mixed."""
+def _judge_classes(group: pa.Table, hot: int = HOT) -> pa.Table:
+    """Answers each run in the order of its keys: 0 once, 1 repeated, 2 repeated and hot."""
     runs, blocks = group.column("run").to_pylist(), group.column("payload").to_pylist()
-    sizes = [int(np.frombuffer(b, "<u4", 1)[0]) for b in blocks]
-    keys = np.concatenate([np.frombuffer(b, np.uint64, n, 4) for b, n in zip(blocks, sizes, strict=True)])
-    low = np.concatenate([np.frombuffer(b, np.uint64, n, 4 + 8 * n) for b, n in zip(blocks, sizes, strict=True)])
-    flags = np.concatenate([np.frombuffer(b, np.uint8, n, 4 + 16 * n) for b, n in zip(blocks, sizes, strict=True)])
+    sizes = [len(b) // 10 for b in blocks]
+    keys = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blocks, sizes, strict=True)])
+    anchors = np.concatenate([np.frombuffer(b, "<u2", n, 8 * n) for b, n in zip(blocks, sizes, strict=True)]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
     starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-    n = np.diff(np.append(starts, len(keys)))
-    local = np.bitwise_or.reduceat(flags[order], starts)
-    mixed = (np.minimum.reduceat(low[order], starts) != np.maximum.reduceat(low[order], starts)) | (local & 2 > 0) | (n > HOT)
-    answer = np.where((n > 1) | (local & 1 > 0), 1 + mixed, 0).astype(np.uint8)
+    n, total = np.diff(np.append(starts, len(keys))), np.add.reduceat(anchors[order], starts)
+    answer = ((total > 1) + 1 * ((total > 1) & ((n > hot) | (total > HOT_ANCHORS * hot)))).astype(np.uint8)
     back = np.empty(len(keys), np.uint8)
     back[order] = np.repeat(answer, n)
     part = group.column("part")[0].as_py()
@@ -335,54 +333,77 @@ class Candidates:
 
     def __init__(self, run: Run, judged: bytes, parts: int):
         self.run = run
-        keys, _, _, back = run.classes()
+        keys, _, back = run.classes()
         verdict = np.frombuffer(judged, np.uint8)[back] if len(keys) else np.zeros(0, np.uint8)
         self.groups = np.flatnonzero(verdict == 1)
-        ordered, place, twice = run.suffixes(self.groups)
-        # by part of the class, then by bytes
-        part = np.zeros(len(ordered), np.int64)
-        part[place] = part_of(run.key[self.groups], parts)
-        by = np.argsort(part, kind="stable")
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
-        self.suffixes, self.part, self.twice, self.place = [ordered[i] for i in by.tolist()], part[by], twice[by], rank[place]
-        self.at, hashes = run.window_hashes(np.flatnonzero(verdict == 2))
-        self.windows, self.window, n = np.unique(hashes, return_inverse=True, return_counts=True)
-        self.many = n > 1
+        part, sites = part_of(run.key[self.groups], parts).tolist(), {}
+        for i, site in enumerate(zip(part, *run.sides(self.groups), strict=True)):
+            sites.setdefault(site, []).append(i)
+        #: distinct (part, bytes after, bytes before), in order; group -> site
+        self.sites = sorted(sites)
+        self.site, self.many = np.zeros(len(self.groups), np.int64), np.array([len(sites[s]) > 1 for s in self.sites], bool)
+        for i, s in enumerate(self.sites):
+            self.site[sites[s]] = i
+        self.at, digests = run.window_digests(np.flatnonzero(verdict == 2))
+        order = np.lexsort((digests[:, 1], digests[:, 0]))
+        new = np.concatenate([[True], (np.diff(digests[order], axis=0) != 0).any(1)])[: len(order)]
+        self.windows, self.window = digests[order][new], np.zeros(len(order), np.int64)
+        self.window[order] = np.cumsum(new) - 1
+        self.windows_many = np.bincount(self.window, minlength=len(self.windows)) > 1
 
     def send(self, run: int, parts: int) -> list[tuple[int, int, int, bytes]]:
-        out = [(1, p, run, front_code(self.suffixes[s])) for p, s in _slices(self.part)]
-        return out + [(2, p, run, self.windows[s].tobytes()) for p, s in _slices(part_of(self.windows, parts))]
-
-    def hits(self, longest: bytes, seen: bytes) -> np.ndarray:
+        out = []
+        for p, s in _slices(np.array([x[0] for x in self.sites], np.int64)):
+            payload = []
+            for side in (1, 2):
+                strings = [x[side] for x in self.sites[s]]
+                ordered = sorted(set(strings))
+                place = {x: i for i, x in enumerate(ordered)}
+                payload += [np.array([place[x] for x in strings], "<u4").tobytes(), np.array([len(x) for x in strings], "<u2").tobytes(), front_code(ordered)]
+            out.append((1, p, run, np.array([s.stop - s.start, len(payload[2])], "<u4").tobytes() + b"".join(payload)))
+        return out + [(2, p, run, self.windows[s].tobytes()) for p, s in _slices(part_of(self.windows[:, 0], parts))]
+
+    def hits(self, repeated: bytes, seen: bytes) -> np.ndarray:
         """Starts of the windows that occur elsewhere."""
-        run, best = self.run, np.frombuffer(longest, "<u2").astype(np.int64)
-        best = np.where(self.twice, [len(s) for s in self.suffixes], best) if len(best) else best
-        reach = best[self.place]
-        groups = self.groups
-        # window p of the anchor q: the prefix must reach ``length`` - (q - p) bytes
-        first = run.first[groups]
-        last = np.minimum(first + run.count[groups] - 1, run.anchor[groups] + reach - run.length)
-        n = np.maximum(last - first + 1, 0)
-        by_suffix = np.repeat(first, n) + _ramp(n)
-        again = self.many | (np.frombuffer(seen, np.uint8) > 0) if len(self.windows) else self.many
-        return np.concatenate([by_suffix, self.at[again[self.window]]]) if len(self.at) else by_suffix
+        run, groups = self.run, self.groups
+        count = run.count[groups]
+        # a site's answer has a bit for each of its windows, the last one first, in whole bytes
+        by_site = np.zeros(len(self.sites), np.int64)
+        by_site[self.site] = count
+        start = 8 * np.concatenate([[0], np.cumsum(-(-by_site // 8))]).astype(np.int64)
+        bits = np.unpackbits(np.frombuffer(repeated, np.uint8), bitorder="little").astype(bool)
+        t = _ramp(count)
+        again = np.repeat(self.many[self.site], count) | bits[np.repeat(start[self.site] + count - 1, count) - t] if len(groups) else np.zeros(0, bool)
+        by_suffix = (np.repeat(run.first[groups], count) + t)[again]
+        return np.concatenate([by_suffix, self.at[(self.windows_many | (np.frombuffer(seen, np.uint8) > 0))[self.window]]])
 
 
 def _send_candidates(run: int, texts: list[bytes], judged: bytes, class_parts: int, parts: int, length: int = LENGTH) -> list[tuple[int, int, int, bytes]]:
     return Candidates(Run(texts, length), judged, class_parts).send(run, parts)
 
 
-def _compare(group: pa.Table) -> pa.Table:
-    """Merges the suffix runs of a part, or counts its window hashes, and answers each run."""
+def _compare(group: pa.Table, length: int = LENGTH) -> pa.Table:
+    """Merges the sorted runs of a part, or counts its window digests, and answers each run."""
     kind, part = group.column("kind")[0].as_py(), group.column("part")[0].as_py()
     runs, blocks = group.column("run").to_pylist(), group.column("payload").to_pylist()
     if kind == 1:
-        return _messages([(1, part, r, x.tobytes()) for r, x in zip(runs, merge(blocks), strict=True)])
-    hashes = np.concatenate([np.frombuffer(b, np.uint64) for b in blocks])
-    _, back, n = np.unique(hashes, return_inverse=True, return_counts=True)
-    seen = (n > 1)[back].astype(np.uint8)
-    return _messages([(2, part, r, x.tobytes()) for r, x in zip(runs, np.split(seen, np.cumsum([len(b) // 8 for b in blocks])[:-1]), strict=True)])
+        heads = [np.frombuffer(b, "<u4", 2).tolist() for b in blocks]
+        cuts = [(8, 8 + 4 * n, 8 + 6 * n, 8 + 6 * n + size, 8 + 10 * n + size, 8 + 12 * n + size) for n, size in heads]
+        numbers = lambda i, t: np.concatenate([np.frombuffer(b, t, n, c[i]) for b, (n, _), c in zip(blocks, heads, cuts, strict=True)])
+        (after, after_shared), (before, before_shared) = merge([b[c[2] : c[3]] for b, c in zip(blocks, cuts, strict=True)]), merge([b[c[5] :] for b, c in zip(blocks, cuts, strict=True)])
+        placed = lambda i, place: np.concatenate([x[np.frombuffer(b, "<u4", n, c[i])] for x, b, (n, _), c in zip(place, blocks, heads, cuts, strict=True)])
+        least, most = length - numbers(1, "<u2").astype(np.int64), numbers(4, "<u2").astype(np.int64)
+        found = repeats(placed(0, after), after_shared, placed(3, before), before_shared, least, most, length)
+        bits, edges = [], np.cumsum([0, *(n for n, _ in heads)])
+        for a, b in pairwise(edges.tolist()):
+            bits.append(b"".join(np.packbits(found[i, u : v + 1], bitorder="little").tobytes() for i, u, v in zip(range(a, b), least[a:b].tolist(), most[a:b].tolist(), strict=True)))
+        return _messages([(1, part, r, x) for r, x in zip(runs, bits, strict=True)])
+    digests = np.concatenate([np.frombuffer(b, np.uint64).reshape(-1, 2) for b in blocks])
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    same = (np.diff(digests[order], axis=0) == 0).all(1)
+    seen = np.zeros(len(digests), np.uint8)
+    seen[order] = np.append(same, False) | np.insert(same, 0, False)
+    return _messages([(2, part, r, x.tobytes()) for r, x in zip(runs, np.split(seen, np.cumsum([len(b) // 16 for b in blocks])[:-1]), strict=True)])
 
 
 def _cut(texts: list[bytes], answers: pa.Table, class_parts: int, length: int = LENGTH) -> list[list[tuple[int, int]]]:
@@ -422,35 +443,25 @@ def uncoded(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at[-(-a // CODE)][0], at[b // CODE - 1][1]) for a, b in spans]
 
 
-def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans in order, those that overlap or touch as one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None, as_text: bool = False, length: int = LENGTH, words: int | None = None, besides: str | None = None, whole: bool = False) -> DataFrame:
-    """For every row of ``docs``: row (a struct of ``carry``), n_bytes, n_removed, n_spans, kept_sha256, kept, spans.
+def remove_repeats(docs: DataFrame, as_text: bool = False, length: int = LENGTH, words: int | None = None, hot: int = HOT) -> DataFrame:
+    """For every row of ``docs``: row (a struct of all columns but the text), missing (the text is null), n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     ``kept`` holds the remaining bytes, or as text, without characters that a
     cut went through.  Null and empty texts, and texts under
     ``length`` bytes, lose nothing.  With ``words``, a repeat is that many words
-    in a row instead.  ``besides`` names a carried column with spans of the text
-    that go in any case; they do not hide repeats.  If ``whole``, the spans are
-    found and ``kept`` is the text as it was.  Equal rows and equal texts are repeats of one
-    another.  An empty table gives no rows.
+    in a row instead.  Equal rows and equal texts are repeats of one
+    another; which of equal rows comes first doesn't matter, as all copies go.
+    Very long texts are one run each, hashed in spans.  An empty table gives no rows.
     """
-    carry = carry or ["doc_id"]
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     runs = max(1, -(-total // RUN_BYTES))
-    class_parts, parts = max(1, -(-total // (8 * PART_BYTES // 2))), max(1, -(-total // PART_BYTES), cores(spark))
+    class_parts, parts = max(1, -(-total // (8 * PART_BYTES))), max(1, -(-total // PART_BYTES), cores(spark))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs // 8))
-    held = docs.select(F.pmod(F.xxhash64(*carry, "text"), F.lit(runs)).cast("int").alias("run"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("text").cast("binary").alias("text")).repartition(tasks, "run")
+    row = F.struct(*[named(c) for c in docs.columns if c != "text"]).alias("row")
+    # the place in the input deals out equal rows
+    dealt = F.pmod(F.xxhash64("text", F.spark_partition_id(), *[c for c in docs.columns if c == "doc_id"]), F.lit(runs)).cast("int").alias("run")
+    held = docs.select(dealt, row, F.col("text").cast("binary").alias("text")).repartition(tasks, "run")
 
     length = length if words is None else words * CODE
 
@@ -461,61 +472,55 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, as_text: boo
         release()
         return _messages(_send_classes(group.column("run")[0].as_py(), units(_texts(group)), class_parts, length))
 
+    def judge_classes(group: pa.Table) -> pa.Table:
+        return _judge_classes(group, hot)
+
     def send_candidates(group: pa.Table, judged: pa.Table) -> pa.Table:
         release()
         if not group.num_rows:
             return _messages([])
         return _messages(_send_candidates(group.column("run")[0].as_py(), units(_texts(group)), _answers(judged, 0), class_parts, parts, length))
 
+    def compare(group: pa.Table) -> pa.Table:
+        release()
+        return _compare(group, length)
+
     def cut(group: pa.Table, answers: pa.Table) -> pa.Table:
         release()
         texts = _texts(group)
         spans = _cut(units(texts), answers, class_parts, length) if texts else []
         if words is not None:
             spans = [uncoded(t, s) for t, s in zip(texts, spans, strict=True)]
-        if besides is not None:
-            given = group.column("row").combine_chunks().field(carry.index(besides)).to_pylist()
-            spans = [united([*s, *((x["start"], x["stop"]) for x in g or ())]) for s, g in zip(spans, given, strict=True)]
         kept = []
         for t, s in zip(texts, spans, strict=True):
             edges = [0, *(x for ab in s for x in ab), len(t)]
-            kept.append(t if whole else b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
         columns = [
-            group.column("row"),
+            relaxed(group.column("row")),
+            group.column("text").is_null(),
             pa.array([len(t) for t in texts], pa.int64()),
             pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
             pa.array([len(s) for s in spans], pa.int64()),
             pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
             pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
-            pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
         ]
-        return pa.table(columns, names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+        return pa.table(columns, names=["row", "missing", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    judged = held.groupBy("run").applyInArrow(send_classes, _MESSAGE).groupBy("part").applyInArrow(_judge_classes, _MESSAGE)
+    judged = held.groupBy("run").applyInArrow(send_classes, _MESSAGE).groupBy("part").applyInArrow(judge_classes, _MESSAGE)
     sent = held.groupBy("run").cogroup(judged.groupBy("run")).applyInArrow(send_candidates, _MESSAGE)
-    compared = sent.groupBy("kind", "part").applyInArrow(_compare, _MESSAGE)
-    kind = held.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept {'string' if as_text else 'binary'}, spans array<struct<start:bigint,stop:bigint>>"
+    compared = sent.groupBy("kind", "part").applyInArrow(compare, _MESSAGE)
+    schema = returned(held, ["row"], f"missing boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept {'string' if as_text else 'binary'}")
     return held.groupBy("run").cogroup(judged.unionByName(compared).groupBy("run")).applyInArrow(cut, schema)
 
 
 def cut_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
-    """All rows of ``docs`` with the repeated bytes cut from text and n_chars counted anew; other columns as they are.
+    """All rows of ``docs`` with the repeated bytes cut from text and n_chars counted anew; other columns as they are, whatever their names.
 
-    With ``words``, repeats of that many words are cut as well, both as they
-    are in the whole texts.  Bytes of a character that a cut went through go with it.  A null text stays null.
+    With ``words``, repeats of that many words are cut instead.  Bytes of a
+    character that a cut went through go with it.  A null text stays null.
     """
-    columns = docs.columns
-    others = [c for c in columns if c != "text"]
-    marked, carry, besides = docs.withColumn("__null", F.when(F.col("text").isNull(), True)), [*others, "__null"], None
-    if words is not None:
-        besides = "__spans"
-        by_word = remove_repeats(marked, carry, as_text=True, words=words, whole=True)
-        # a null text is empty from here on; __null has it
-        marked, carry = written(by_word.select("row.*", F.col("kept").alias("text"), F.col("spans").alias(besides)), "spans"), [*carry, besides]
-    found = remove_repeats(marked, carry, as_text=True, besides=besides)
-    texts = found.select("row.*", F.col("n_removed").alias("__removed"), F.col("kept").alias("__kept"))
-    new = {"text": F.when(F.col("__null").isNull(), F.col("__kept"))}
-    if "n_chars" in columns:
-        new["n_chars"] = F.when(F.col("__removed") > 0, F.length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return texts.withColumns(new).select(*[F.col(f"`{c}`") for c in columns])
+    found = remove_repeats(docs, as_text=True, words=words)
+    new = {"text": F.when(~F.col("missing"), F.col("kept"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row").getField("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return unpacked(found, docs, **new)

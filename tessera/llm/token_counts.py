@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import kept_in_worker, map_batches, worker_cache_limit
+from tessera.llm.common import kept_in_worker, map_batches, returned, worker_cache_limit
 
 SPACE = "▁"
 #: Where any entry state leads to the same state: before a run of word marks, and around a line feed.
@@ -215,7 +215,7 @@ def count_tokens(docs: DataFrame, model: str, over: int, text: str = "text", key
     """
     keys = list(keys)
     small = docs.select(*keys, text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema.fields[:-1]) + ", n_bytes bigint, n_tokens bigint, over_limit boolean"
+    schema = returned(small, keys, "n_bytes bigint, n_tokens bigint, over_limit boolean")
 
     def make():
         counter = counter_for(model)

@@ -48,8 +48,8 @@ def planted(seed=5, n=60):
     return texts
 
 
-def result(docs):
-    return sorted((str(r.row.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(docs).collect())
+def result(docs, **how):
+    return sorted((str(r.row.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(docs, **how).collect())
 
 
 def wanted(docs):
@@ -63,11 +63,45 @@ def test_equals_brute_force(spark, sf, monkeypatch):
     for docs in (made, fixtures.documents(spark), fixtures.clashing(spark), fixtures.empty(spark), fixtures.sample(spark, sf)):
         want = wanted(docs)
         assert result(docs) == want
-    for run, part, hot in ((3000, 20000, 512), (500, 3000, 2), (1 << 20, 1 << 20, 0)):
+    for run, part, hot in ((3000, 20000, 512), (500, 3000, 2), (1 << 20, 1 << 20, 0), (3000, 20000, 0)):
         monkeypatch.setattr(S, "RUN_BYTES", run)
         monkeypatch.setattr(S, "PART_BYTES", part)
-        monkeypatch.setattr(S, "HOT", hot)
-        assert result(made) == wanted(made)
+        assert result(made, hot=hot) == wanted(made)
+
+
+def test_a_hot_class_is_judged_as_such():
+    texts = [t.encode() for t in planted(3, 30)]
+    sent = S._messages([m for i, t in enumerate(texts) for m in S._send_classes(i, [t], 1)])
+    answers = {hot: b"".join(S._judge_classes(sent, hot).column("payload").to_pylist()) for hot in (0, 2, 512)}
+    assert set(answers[512]) == {0, 1} and set(answers[0]) == {0, 2} and set(answers[2]) == {0, 1, 2}
+
+
+def test_all_letters_alike_and_short_periods(spark):
+    """Classes of very many anchors, and windows that overlap their copies."""
+    rng = random.Random(11)
+    texts = ["a" * 900, "a" * 401, "a" * 400, "a" * 399 + "b", ("ab" * 200)[:-1] + "ca" * 300, "".join(rng.choice("ab") for _ in range(3000)) * 2, "x" + "a" * 500 + "y", *["".join(rng.choice("ab") for _ in range(30)) * 20 for _ in range(4)]]
+    docs = fixtures.documents(spark, texts, False)
+    assert result(docs) == wanted(docs) == result(docs, hot=0)
+
+
+def test_other_lengths(spark):
+    docs = fixtures.documents(spark, planted(13, 30), False)
+    for length in (100, 233):
+        texts = [r.text.encode() for r in docs.collect()]
+        want = sorted((str(i), len(t), len(t) - len(k), n, hashlib.sha256(k).hexdigest()) for i, (t, (k, n)) in enumerate(zip(texts, brute(texts, length), strict=True)))
+        assert result(docs, length=length) == want
+
+
+def test_columns_that_are_not_nullable_and_names_of_any_kind(spark):
+    from pyspark.sql import functions as F
+
+    names = ["row", "missing", "kept", "n_removed", "run", "part", "kind", "payload", "__null", "__removed", "__kept", "odd `name.x", "key", "rows"]
+    docs = fixtures.documents(spark, planted(1, 12), False).withColumns({n: F.lit(n) for n in names} | {"nested": F.array(F.struct(F.lit(1).alias("a b")))})
+    assert not docs.schema["row"].nullable
+    out = S.cut_repeats(docs)
+    assert out.columns == docs.columns
+    plain = {r.doc_id: r.text for r in S.cut_repeats(docs.select("doc_id", "text")).collect()}
+    assert all(r.text == plain[r.doc_id] and all(r[n] == n for n in names) and r.nested[0]["a b"] == 1 for r in out.collect())
 
 
 def test_long_texts_in_spans(spark, monkeypatch):
@@ -85,6 +119,7 @@ def test_long_texts_in_spans(spark, monkeypatch):
         rows = sent.filter(pa.compute.equal(sent.column("kind"), kind))
         if rows.num_rows:
             answers.append(S._compare(rows))
+    assert {m for m in sent.column("kind").to_pylist()} == {1}
     spans = S._cut(texts, pa.concat_tables(answers), 1)
     assert run.n and sorted(sum(b - a for a, b in s) for s in spans) == sorted(w[2] for w in want)
 
@@ -95,14 +130,13 @@ def test_front_coding_round_trip_and_merge():
     assert [s for _, s in S.front_decoded(S.front_code(strings))] == strings
     runs = [sorted(x) for x in ([], strings[::3], strings[1::3], strings[2::3] + strings[:5], strings[7:9])]
     runs = [sorted(set(r)) for r in runs]
-    tree = S.LoserTree([S.front_decoded(S.front_code(r)) for r in runs])
-    at, merged, shared = [0] * len(runs), [], []
-    for run, known in tree:
-        merged.append(runs[run][at[run]])
-        shared.append(known)
-        at[run] += 1
+    place, shared = S.merge([S.front_code(r) for r in runs])
+    merged = [b""] * len(shared)
+    for run, at in zip(runs, place, strict=True):
+        for s, i in zip(run, at.tolist(), strict=True):
+            merged[i] = s
     assert merged == sorted(s for r in runs for s in r)
-    assert shared[1:] == [S.common(a, b) for a, b in zip(merged, merged[1:], strict=False)]
+    assert shared[1:].tolist() == [S.common(a, b) for a, b in zip(merged, merged[1:], strict=False)]
 
 
 def test_gram_hashes_are_those_of_the_strings():
@@ -135,20 +169,19 @@ def test_a_passage_of_51_words_goes_whatever_its_bytes(spark):
     assert [r.text for r in sorted(S.cut_repeats(docs).collect())] == texts
 
 
-def test_word_windows_and_byte_windows_together(spark, monkeypatch):
+def test_word_windows_equal_brute_force(spark, monkeypatch):
     texts = [t.replace("\n", " ") for t in planted(4, 40)]
     docs = fixtures.documents(spark, texts, False)
     raws, out = [t.encode() for t in texts], []
     words = Counter(tuple(w[i : i + 51]) for w in map(bytes.split, raws) for i in range(len(w) - 50))
-    strings = Counter(t[i : i + S.LENGTH] for t in raws for i in range(len(t) - S.LENGTH + 1))
     for t in raws:
-        w, at, gone = t.split(), [m.span() for m in re.finditer(rb"\S+", t)], np.zeros(len(t), bool)
+        w, at, gone, hit = t.split(), [m.span() for m in re.finditer(rb"\S+", t)], np.zeros(len(t), bool), [False] * len(t.split())
         for i in range(len(w) - 50):
             if words[tuple(w[i : i + 51])] > 1:
-                gone[at[i][0] : at[i + 50][1]] = True
-        for i in range(len(t) - S.LENGTH + 1):
-            if strings[t[i : i + S.LENGTH]] > 1:
-                gone[i : i + S.LENGTH] = True
+                hit[i : i + 51] = [True] * 51
+        for i, ((a, b), h) in enumerate(zip(at, hit, strict=True)):  # with the blanks between words that go
+            if h:
+                gone[at[i - 1][1] if i and hit[i - 1] else a : b] = True
         out.append(bytes(np.frombuffer(t, np.uint8)[~gone]).decode(errors="ignore"))
     for run in (2 << 20, 3000):
         monkeypatch.setattr(S, "RUN_BYTES", run)

@@ -300,7 +300,29 @@ def test_keep_one_of_each_group(spark):
         kept = simhash.keep_one(docs)
         assert kept.columns == docs.columns
         ids = [r.doc_id for r in kept.collect()]
-        assert sorted(x for x in ids if x is not None) == sorted({r.component_id for r in simhash.near_duplicates(docs.where("doc_id is not null")).collect()})
+        # the null row has no words, as the row with id 0
+        assert sorted(ids) == sorted({r.component_id for r in simhash.near_duplicates(docs.where("doc_id is not null")).collect()})
+
+
+def test_rows_without_id_and_with_one_id_are_judged_by_their_texts(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, words, "a", "s", 1)] * 30 + [(None, words + " more", "a", "s", 1), (None, "of its own", None, None, None), (7, "x y", "b", "s", 2), (7, "p q", "b", "s", 2), (9, "p q", "b", "s", 2), (9, "p q", "b", "s", 2)]
+    docs = spark.createDataFrame(rows, fixtures.DOCS)
+    kept = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(docs, 5).collect())
+    assert [k for k in kept if k[0] == "7"] == [("7", "p q"), ("7", "x y")] and ("None", "of its own") in kept
+    assert len(kept) == 4 and not any(k[0] == "9" for k in kept)
+
+
+def test_word_hashes_of_very_long_texts(monkeypatch):
+    rng = random.Random(4)
+    text = b"  ".join([b"w%d" % rng.randrange(50) for _ in range(300)] + [b"y" * 400, b"w1", b"z" * 31, b"w2"]) + b" "
+    whole = simhash.word_hashes(text)
+    assert len(whole) == 304 and len(set(whole.tolist())) == len(set(text.split()))
+    monkeypatch.setattr(simhash, "SPAN", 32)
+    simhash._powers.cache_clear()
+    cut = simhash.word_hashes(text)
+    simhash._powers.cache_clear()
+    assert [x for x, w in zip(cut, text.split(), strict=True) if len(w) < 32] == [x for x, w in zip(whole, text.split(), strict=True) if len(w) < 32]
 
 
 def brute_similar(rows, width=5, least=0.8):
