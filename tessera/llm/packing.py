@@ -14,8 +14,9 @@ short.
 
 from __future__ import annotations
 
-import unicodedata
+import re
 import zlib
+from array import array
 from itertools import pairwise
 
 import numpy as np
@@ -32,49 +33,60 @@ SHARD_TOKENS = 1_200_000
 #: Neighbours that are asked for at a time, terms in a lexical key, documents whose keys give the shards' bounds, about.
 NEIGHBOURS, KEY_TERMS, SAMPLE = 64, 4, 200_000
 K1, B = 1.2, 0.75
+#: A term that one in so many of a shard's documents has, or more, has a row of weights.
+DENSE = 32
 
 
-class Ids(dict):
+def _visible() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is printed, else one of those from 256 on."""
+    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in printed]
+    return [chr(b) if b in printed else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+#: Latin letters that normalising leaves as they are but for case, and what stands for them in the vocabulary.
+_LATIN = {c: "".join(_visible()[b] for b in chr(c + 0x20 * (c < 0xDF)).encode()) for c in (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)) if c not in (0xDF, 0xFF)}
+_LATIN |= {0xDF: "".join(_visible()[b] for b in "ß".encode()), 0xFF: "".join(_visible()[b] for b in "ÿ".encode())}
+_LATIN_WORD = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+_TAIL = r"([a-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)( |$)"
+
+
+class Ids:
     """Token ids of blank-separated chunks, which this vocabulary's tokenizer treats alone; a bounded memo table over the library.
 
     Texts are first brought to fewer distinct chunks: ASCII capitals are
-    lowered (the normaliser does so), and a stop or comma that ends a chunk is
-    taken apart from it if a letter precedes (the pre-tokenizer splits there).
+    lowered (the normaliser does so), and the ASCII punctuation that ends a
+    chunk is taken apart from it if a Latin letter precedes (the pre-tokenizer
+    splits there).
+    The table is two Arrow columns, a few bytes for each chunk.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         pre, normal = str(self.tokenizer.pre_tokenizer), str(self.tokenizer.normalizer)
         if self.tokenizer.get_vocab_size() > 1 << 16 or "\\s" not in pre or "Lowercase" not in normal:
             raise ValueError("packing takes a tokenizer of at most 65536 ids that lower-cases and drops white space")
-        self.limit = 5 * worker_cache_limit() // 4
-
-    @staticmethod
-    def ends(chunk: str) -> bool:
-        """In a stop or comma after what is still a letter when it is normalised (a dotted I leaves a combining dot)."""
-        if chunk[-1:] not in (".", ",") or len(chunk) < 2:
-            return False
-        before = chunk[-2]
-        return before.isalpha() if before.isascii() else unicodedata.normalize("NFC", before).lower()[-1].isalpha()
-
-    def __missing__(self, raw: bytes) -> bytes:
-        chunk = raw.decode()
-        if self.ends(chunk):
-            return self[raw[:-1]] + self[raw[-1:]]
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-        if len(raw) <= 48:
-            self[raw] = ids
-        return ids
-
-    def learn(self, raws: list[bytes]) -> None:
-        """Tokenises the new chunks in few library calls: words of letters, which are one pre-token each, and printable ASCII, where offsets hold."""
-        chunks = b"\0".join(raws).decode().split("\0")
-        new = {c[:-1] if self.ends(c) else c for c in chunks if len(c) <= 48}
-        letters = [c for c in new if c.isalpha() and c.encode() not in self]
-        ascii = [c for c in new if c.isascii() and c.isprintable() and "<|" not in c and not c.isalpha() and c and c.encode() not in self]
+        self.model = self.tokenizer.model
+        if any(self.latin(w) != self.alone(w) for w in ("pack", "straße", "ÀÖØÞàöøÿ", "antidisestablishmentarianism")):
+            raise ValueError("packing takes a byte-level vocabulary")
+        self.limit = 3 * worker_cache_limit()
+        self.chunks, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+
+    def alone(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def latin(self, word: str) -> bytes:
+        """Ids of a word of lower-case ASCII and other Latin letters: one pre-token, given to the model itself."""
+        return array("H", [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(_LATIN))]).tobytes()
+
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each, in few library calls: Latin words, other words of letters, which are one pre-token each, and printable ASCII, where offsets hold."""
+        found = {c: self.latin(c) for c in chunks if _LATIN_WORD.fullmatch(c)}
+        new = [c for c in chunks if c not in found]
+        letters = [c for c in new if c.isalpha()]
+        ascii = [c for c in new if c.isascii() and c.isprintable() and "<|" not in c and not c.isalpha() and c]
         for words, by_offset in ((letters, False), (ascii, True)):
             for i in range(0, len(words), 128):
                 part = words[i : i + 128]
@@ -85,25 +97,39 @@ class Ids(dict):
                 else:
                     word = np.array(e.word_ids)
                 edges = (2 * np.flatnonzero(np.diff(word, prepend=-1, append=-1))).tolist()
-                if len(edges) == len(part) + 1:  # else each is tokenised alone when it is met
+                if len(edges) == len(part) + 1:  # else each is tokenised alone
                     ids = np.array(e.ids, "<u2").tobytes()
-                    self.update(zip(" ".join(part).encode().split(b" "), [ids[a:b] for a, b in pairwise(edges)], strict=True))
+                    found.update(zip(part, [ids[a:b] for a, b in pairwise(edges)], strict=True))
+        for c in new:
+            if c not in found:
+                found[c] = self.alone(c)
+        return [found[c] for c in chunks]
+
+    def places(self, chunks: pa.Array) -> np.ndarray:
+        """Where the distinct chunks are in the table, once they are all there."""
+        at = pc.index_in(chunks, value_set=self.chunks)
+        new = chunks.filter(at.is_null())
+        if len(self.chunks) + len(new) > self.limit:  # only what is needed now stays
+            known = chunks.filter(at.is_valid())
+            self.chunks, self.ids = known, self.ids.take(at.drop_null())
+            at = pc.index_in(chunks, value_set=self.chunks)
+        if len(new):
+            at = at.fill_null(-1).to_numpy().astype(np.int64)
+            at[at < 0] = len(self.chunks) + np.arange(len(new))
+            learnt = pa.array([x for i in range(0, len(new), 1 << 16) for x in self.learn(new[i : i + (1 << 16)].to_pylist())], pa.binary())
+            self.chunks, self.ids = pa.concat_arrays([self.chunks, new]), pa.concat_arrays([self.ids, learnt])
+            return at
+        return at.to_numpy()
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text.  Chunks are told apart and put together by Arrow; only distinct ones are looked up."""
         texts = pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " ")
         special = pc.match_substring(texts, "<|")  # such a text may hold a special token
-        lists = pc.split_pattern(pc.if_else(special, texts, pc.ascii_lower(texts)), " ")
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), _TAIL, r"\1 \2\3")
+        lists = pc.split_pattern(pc.if_else(special, texts, plain), " ")
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.cast(pa.binary()).to_pylist()
-        if len(self) > self.limit:
-            self.clear()
-        found = [*map(self.get, words)]
-        missing = [i for i, x in enumerate(found) if x is None]
-        self.learn([words[i] for i in missing])
-        for i in missing:
-            found[i] = self[words[i]]
-        taken = pa.array(found, pa.binary()).take(coded.indices)
+        at = self.places(coded.dictionary)
+        taken = self.ids.take(pa.array(at[coded.indices.to_numpy()])) if len(coded) else self.ids
         _, offsets, data = taken.buffers()
         offsets = np.frombuffer(offsets, np.int32)[taken.offset :][lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
         data = memoryview(data) if data is not None else b""
@@ -130,7 +156,8 @@ def term_order(end: int) -> np.ndarray:
 
 def lexical_key(places: np.ndarray) -> int:
     """The first places, packed so that the signed number has their order."""
-    first = [*np.sort(places)[:KEY_TERMS].tolist(), *[0xFFFF] * KEY_TERMS][:KEY_TERMS]
+    least = np.partition(places, KEY_TERMS)[:KEY_TERMS] if len(places) > KEY_TERMS else places
+    first = [*sorted(least.tolist()), *[0xFFFF] * KEY_TERMS][:KEY_TERMS]
     return (first[0] << 48 | first[1] << 32 | first[2] << 16 | first[3]) - (1 << 63)
 
 
@@ -172,10 +199,10 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
 
 
 class Index:
-    """BM25 over the documents of one shard."""
+    """BM25 over the documents of one shard.  Terms of many documents have a row of weights, the others a list of postings."""
 
     def __init__(self, texts: list[np.ndarray], df: np.ndarray, n_docs: int):
-        self.idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
+        idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
         lengths = np.array([len(x) for x in texts])
         pairs = np.repeat(np.arange(len(texts), dtype=np.int64) << 16, lengths) | np.concatenate(texts)
         pairs.sort()
@@ -183,27 +210,38 @@ class Index:
         tf, pairs = np.diff(np.append(new, len(pairs))).astype(float), pairs[new]
         doc, term = pairs >> 16, (pairs & 0xFFFF).astype(np.uint16)
         norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1))
+        weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        many = np.bincount(term, minlength=1 << 16) * DENSE > len(texts)
+        self.row = np.where(many, np.cumsum(many) - 1, -1)
+        self.rows, in_row = np.zeros((int(many.sum()), len(texts)), np.float32), many[term]
+        self.rows[self.row[term[in_row]], doc[in_row]] = weight[in_row]
+        self.own, self.term = np.searchsorted(doc, np.arange(len(texts) + 1)), term.astype(np.int64)
+        doc, term, weight = doc[~in_row], term[~in_row], weight[~in_row]
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], (self.idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order]
+        self.doc, self.weight = doc[order], weight[order]
         self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
-        self.own, self.term, self.indexed = np.searchsorted(doc, np.arange(len(texts) + 1)), term.astype(np.int64), len(texts)
+        #: documents in the index, and their columns in ``rows``
+        self.left = np.arange(len(texts))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        left = int(unused.sum())
-        if 2 * left < self.indexed:  # used documents leave the index
+        """Unused documents with a term of the seed, the best ones first; of equal scores the first document."""
+        if 2 * int(unused.sum()) < len(self.left):  # used documents leave the index
             keep = unused[self.doc]
             self.start = np.concatenate([[0], np.cumsum(keep)])[self.start]
-            self.doc, self.weight, self.indexed = self.doc[keep], self.weight[keep], left
+            self.doc, self.weight = self.doc[keep], self.weight[keep]
+            self.rows, self.left = self.rows[:, unused[self.left]], self.left[unused[self.left]]
         terms = self.term[self.own[seed] : self.own[seed + 1]]
+        rows = self.row[terms]
+        score = np.zeros(len(unused))
+        score[self.left] = self.rows[rows[rows >= 0]].sum(0)
         spans = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True) if a < b]
-        if not spans:
-            return []
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(unused))
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(unused))
         score[~unused] = 0
         at = np.flatnonzero(score)
-        if len(at) > NEIGHBOURS:
-            at = at[np.argpartition(-score[at], NEIGHBOURS)[:NEIGHBOURS]]
-        return at[np.lexsort((at, -score[at]))].tolist()
+        if len(at) > NEIGHBOURS:  # with all that tie with the last one
+            at = at[score[at] >= -np.partition(-score[at], NEIGHBOURS - 1)[NEIGHBOURS - 1]]
+        return at[np.lexsort((at, -score[at]))][:NEIGHBOURS].tolist()
 
 
 def fill(texts: list[np.ndarray], index: Index) -> list[tuple[int, int, int, int, int]]:
@@ -261,8 +299,11 @@ def shard_bounds(held: DataFrame, n: int, shards: int) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer: str, end: int = 2, with_ids: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, its ids.
 
-    Null and empty texts are the end id alone.  Rows with equal ids are
-    documents of their own.  An empty table gives no rows.
+    Null and empty texts are the end id alone.  Rows with equal ids, with null
+    ids and equal rows are documents of their own, dealt over shards like
+    others.  A very long text is cut over as many windows as it takes.  Of
+    neighbours that score alike the one with the smaller id comes first.  An
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     tokens = written(tokenised(docs, tokenizer, end), "tokens")
@@ -290,6 +331,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, with_ids: bool = True) -
         first, last = np.searchsorted(bounds, x, "left"), np.searchsorted(bounds, x, "right")
         return pa.array(first + (salt % (last - first + 1).astype(np.uint64)).astype(np.int64), pa.int32())
 
-    dealt = held.select(shard_of("lexical", F.xxhash64("doc_id", F.length("ids"))).cast("bigint").alias("shard"), "doc_id", "ids")
+    # the place in the input deals out equal rows
+    dealt = held.select(shard_of("lexical", F.xxhash64("doc_id", "ids", F.spark_partition_id())).cast("bigint").alias("shard"), "doc_id", "ids")
     dealt = dealt.repartition(max(min(shards, 4096), cores(spark)), "shard")
     return dealt.groupBy("shard").applyInArrow(one_shard, ", ".join(f"{k} {'binary' if k == 'ids' else 'bigint'}" for k in columns))

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 import public_tokenizers
 import pytest
 import xxhash
@@ -171,6 +172,32 @@ def test_packing_is_an_exact_partition(spark, sf):
         assert short <= 1  # one shard here
 
 
+def test_chunks_have_the_ids_of_the_whole_text(monkeypatch):
+    """The memo table, the Latin words, punctuation and special tokens against the library; also when the table overflows."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    rng = random.Random(1)
+    parts = ["a", "b", ".", ",", " ", "é", "İ", "<|endoftext|>", "'s", "1", "\n", "\t", "ñ", "ﬁ", "Ａ", "A.", "z,", "\u0301", "ß", "ÿ", "Þ", "ð", "×", "÷", "É", "qu", "###", "$%", "'", "Σ", "ς", "\u0338", "<|"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)] + [None, ""]
+    ids = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    want = [ids.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for limit in (ids.limit, 300):
+        ids.limit = limit
+        got = [x for i in range(0, len(texts), 500) for x in ids.encode(pa.array(texts[i : i + 500], pa.string()))]
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+
+
+def test_rows_without_id_and_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 20000)
+    docs = spark.range(10000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three four five six seven").alias("text")).repartition(16)
+    import public_tokenizers
+
+    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    shards = out.groupBy(F.expr("sequence_id >> 32")).agg(F.sum("length").alias("n")).collect()
+    assert len(shards) >= 3 and max(r.n for r in shards) < 4 * 20000 and sum(r.n for r in shards) == 80000
+
+
 def test_packing_prefers_lexical_neighbours():
     rng = np.random.default_rng(1)
     topics = [rng.integers(t * 1000, t * 1000 + 60, (20, 300)).astype("<u2") for t in range(1, 5)]
