@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,3 +153,39 @@ def cores(spark: SparkSession) -> int:
 def worker_cache_limit() -> int:
     """Entries that a worker's memo table may hold before it is emptied."""
     return int(os.environ.get("TESSERA_CACHE_ENTRIES", "700000"))
+
+
+#: Bytes of a text whose words are hashed at a time.
+SPAN = 1 << 20
+ODD = 0x9E3779B97F4A7C15
+_LETTER = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse."""
+    up = np.cumprod(np.full(SPAN + 1, ODD, np.uint64))
+    return up, np.cumprod(np.full(SPAN + 1, pow(ODD, -1, 1 << 64), np.uint64))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word (run without a blank), all words of a span at once: differences of the prefix sums of a polynomial."""
+    out, at = [], 0
+    up, down = _powers()
+    while at < len(text):
+        stop = len(text) if len(text) - at <= SPAN else text.rfind(b" ", at, at + SPAN)
+        if stop < at:  # a word that is longer than a span
+            stop = len(text) if (stop := text.find(b" ", at)) < 0 else stop
+            out.append(np.array([xxhash.xxh64_intdigest(text[at:stop])], np.uint64))
+        else:
+            data = np.frombuffer(text[at:stop], np.uint8)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * up[: len(data)])])
+            edges = np.flatnonzero(np.diff(data != 0x20, prepend=False, append=False))
+            out.append(mixed((sums[edges[1::2]] - sums[edges[::2]]) * down[edges[::2]]))
+        at = stop + 1
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)

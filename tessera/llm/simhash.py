@@ -32,22 +32,18 @@ shingle sets) fall together, and the smallest key names a component.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, packed, raw_texts, returned, unpacked, written
+from tessera.llm.common import ODD, map_batches, mixed, packed, raw_texts, returned, unpacked, word_hashes, written
 
 SEED, SHINGLE, BITS = 42, 3, 2
 SMALL = 32
 #: Of ``similar``: words of a shingle, least similarity, groups of least hashes, hashes in a group, sets that a large bucket is compared with first.
 WIDTH, SIMILARITY, BANDS, ROWS, HUBS = 5, 0.8, 30, 5, 2
-#: Bytes of a text whose words are hashed at a time.
-SPAN = 1 << 20
 #: Generator polynomial of the binary Golay code, its length, its dimension.
 GENERATOR, LENGTH, DIMENSION = 0b101011100011, 23, 12
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -240,47 +236,13 @@ def sketches(docs: DataFrame, key: str, width: int) -> DataFrame:
     return map_batches(small, returned(small, [key], "sid bigint, n bigint, bands array<bigint>"), make)
 
 
-_ODD = 0x9E3779B97F4A7C15
-_LETTER = np.random.default_rng(WIDTH).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
-@lru_cache(1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse."""
-    up = np.cumprod(np.full(SPAN + 1, _ODD, np.uint64))
-    return up, np.cumprod(np.full(SPAN + 1, pow(_ODD, -1, 1 << 64), np.uint64))
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """A hash of each word, all words of a span at once: differences of the prefix sums of a polynomial."""
-    text, out, at = text.translate(_SPACE), [], 0
-    up, down = _powers()
-    while at < len(text):
-        stop = len(text) if len(text) - at <= SPAN else text.rfind(b" ", at, at + SPAN)
-        if stop < at:  # a word that is longer than a span
-            stop = len(text) if (stop := text.find(b" ", at)) < 0 else stop
-            out.append(np.array([xxhash.xxh64_intdigest(text[at:stop], SEED)], np.uint64))
-        else:
-            data = np.frombuffer(text[at:stop], np.uint8)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * up[: len(data)])])
-            edges = np.flatnonzero(np.diff(data != 0x20, prepend=False, append=False))
-            out.append(_mixed((sums[edges[1::2]] - sums[edges[::2]]) * down[edges[::2]]))
-        at = stop + 1
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     """Distinct hashes, in order, of every ``width`` words in a row; of all words if they are fewer; none without words."""
-    h = word_hashes(text)
+    h = word_hashes(text.translate(_SPACE))
     n = max(1, len(h) - width + 1)
     total = h[:n]
     for i in range(1, min(width, len(h))):
-        total = _mixed(total * np.uint64(_ODD) + h[i : i + n])
+        total = mixed(total * np.uint64(ODD) + h[i : i + n])
     return np.unique(total)
 
 

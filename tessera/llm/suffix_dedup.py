@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cores, named, relaxed, release, returned, unpacked
+from tessera.llm.common import cores, named, relaxed, release, returned, unpacked, word_hashes
 
 LENGTH = 400
 #: Bytes of a word's code: a chance collision of two windows that differ in one word has 2^-48.
@@ -412,7 +412,7 @@ def _cut(texts: list[bytes], answers: pa.Table, class_parts: int, length: int =
     found = Candidates(run, _answers(answers, 0), class_parts).hits(_answers(answers, 1), _answers(answers, 2))
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     if len(found):
-        p = np.unique(found)
+        p = np.sort(found)  # a window is in one group
         doc = np.searchsorted(run.ends, p, "right")
         new = np.concatenate([[True], (np.diff(p) > length) | (np.diff(doc) > 0)])
         starts, stops = p[new], p[np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)] + length
@@ -421,18 +421,12 @@ def _cut(texts: list[bytes], answers: pa.Table, class_parts: int, length: int =
     return out
 
 
+_BLANKS = bytes(0x20 if 9 <= c <= 13 else c for c in range(256))
+
+
 def coded(texts: list[bytes]) -> list[bytes]:
-    """Each word of each text as the first CODE bytes of its hash."""
-    codes: dict[bytes, bytes] = {}
-    out = []
-    for t in texts:
-        w = t.split()
-        for x in set(w).difference(codes):
-            codes[x] = xxhash.xxh64_digest(x)[:CODE]
-        out.append(b"".join(map(codes.__getitem__, w)))
-        if len(codes) > 1 << 17:
-            codes.clear()
-    return out
+    """Each word of each text as CODE bytes of its hash."""
+    return [word_hashes(t.translate(_BLANKS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes() for t in texts]
 
 
 def uncoded(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

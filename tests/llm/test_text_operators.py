@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from tessera.llm import decontaminate, language_id, packing, queries, simhash, token_counts
+from tessera.llm import common, decontaminate, language_id, packing, queries, simhash, token_counts
 from tests.llm import fixtures
 
 MODEL, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -343,12 +343,12 @@ def test_rows_without_id_and_with_one_id_are_judged_by_their_texts(spark):
 def test_word_hashes_of_very_long_texts(monkeypatch):
     rng = random.Random(4)
     text = b"  ".join([b"w%d" % rng.randrange(50) for _ in range(300)] + [b"y" * 400, b"w1", b"z" * 31, b"w2"]) + b" "
-    whole = simhash.word_hashes(text)
+    whole = common.word_hashes(text)
     assert len(whole) == 304 and len(set(whole.tolist())) == len(set(text.split()))
-    monkeypatch.setattr(simhash, "SPAN", 32)
-    simhash._powers.cache_clear()
-    cut = simhash.word_hashes(text)
-    simhash._powers.cache_clear()
+    monkeypatch.setattr(common, "SPAN", 32)
+    common._powers.cache_clear()
+    cut = common.word_hashes(text)
+    common._powers.cache_clear()
     assert [x for x, w in zip(cut, text.split(), strict=True) if len(w) < 32] == [x for x, w in zip(whole, text.split(), strict=True) if len(w) < 32]
 
 
