@@ -9,7 +9,6 @@ ORACLES: dict[str, str] = {}
 CUR = "cur AS (SELECT * FROM fx_tracks WHERE analysis_status = 'COMPLETE' AND analysis_version = 4 AND native_bpm IS NOT NULL AND energy_scalar IS NOT NULL AND analysis_confidence IS NOT NULL AND duration_seconds IS NOT NULL)"
 ENE = """bounds AS (SELECT quantile_cont(energy_scalar, 0.05) AS lo, quantile_cont(energy_scalar, 0.95) AS hi FROM cur),
 ene AS (SELECT track_id, native_bpm, round(CASE WHEN hi - lo <= 1e-12 THEN energy_scalar ELSE least(1e0, greatest(0e0, (energy_scalar - lo) / (hi - lo))) END, 9) AS energy, analysis_confidence, duration_seconds FROM cur, bounds)"""
-SMALL = "sml AS (SELECT * FROM ene WHERE duration_seconds = 190)"
 REG = """gat AS (SELECT *, 0.5e0 * greatest(0e0, 1 - ibi_cv / 0.06e0) + 0.3e0 * mean_onset + 0.2e0 * in_tolerance_fraction AS score FROM fx_region_windows
   WHERE ibi_cv <= 0.06e0 AND in_tolerance_fraction >= 0.9e0 AND mean_onset >= 0.35e0),
 lst AS (SELECT track_id, list({'k': -round(score, 9), 's': start_beat, 'e': end_beat, 'score': score, 'en': mean_energy} ORDER BY -round(score, 9), start_beat) AS a FROM gat GROUP BY track_id),
@@ -73,7 +72,7 @@ O["status_counts"] = sql(views=T, then="SELECT analysis_status, count(*) AS n FR
 O["analysis_failure_rate"] = sql(views=T, then="SELECT failed, completed, round(CASE WHEN failed + completed > 0 THEN failed / (failed + completed) END, 6) AS failure_rate FROM (SELECT count(*) FILTER (analysis_status = 'FAILED') AS failed, count(*) FILTER (analysis_status = 'COMPLETE') AS completed FROM fx_tracks)")
 O["energy_rescale_p5_p95"] = sql(CUR, ENE, views=T, then="SELECT track_id, round(energy, 6) AS energy FROM ene")
 O["retrieve_hard"] = sql(CUR, ENE, pairs("ene"), views=T, then="SELECT seed_id, count(*) AS n, min(track_id) AS first_id, max(track_id) AS last_id, CAST(sum(track_id) AS BIGINT) AS ids FROM prs GROUP BY seed_id")
-O["retrieve_relaxed"] = sql(CUR, ENE, SMALL, pairs("sml"), gate("prs"), views=T, then="SELECT seed_id, count(*) AS n, bool_or(relaxed) AS relaxed, CAST(sum(track_id) AS BIGINT) AS ids FROM ret GROUP BY seed_id")
+O["retrieve_relaxed"] = sql(CUR, ENE, pairs("ene"), gate("prs"), views=T, then="SELECT seed_id, count(*) AS n, bool_or(relaxed) AS relaxed, CAST(sum(track_id) AS BIGINT) AS ids FROM ret GROUP BY seed_id")
 O["rank_topk"] = sql(CUR, ENE, REG, pairs("ene"), PLAYED, gate("prp"), ranking("ret"), views=TR, then="SELECT seed_id, rank, track_id, round(tempo_cost, 6) AS tempo_cost, round(energy_cost, 6) AS energy_cost, round(quality_cost, 6) AS quality_cost, round(total_cost, 6) AS total_cost, relaxed FROM rnk WHERE rank <= 5")
 O["baseline_nearest_bpm"] = sql(CUR, ENE, pairs("ene"), views=T, then="SELECT * FROM (SELECT seed_id, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY round(abs(native_bpm - session_bpm), 9), track_id) AS INT) AS rank, track_id FROM prs) WHERE rank <= 5")
 _C = ("(0.6e0 / (0.6e0 + 0.35e0))", "(0.35e0 / (0.6e0 + 0.35e0))", "0e0")
@@ -83,23 +82,23 @@ _SEL = "SELECT seed_id, track_id, rank, relaxed, out_start_beat, in_start_beat,
 O["select_next_all"] = sql(CUR, ENE, REG, pairs("ene"), INREG.format(reg="reg"), gate("pin"), ranking("ret"), selecting("ene", "reg"), views=TR, then=_SEL)
 _LATE = "late AS (SELECT * FROM reg WHERE NOT (track_id % 4 = 0 AND start_beat < 140))"
 O["select_next_late_regions"] = sql(CUR, ENE, REG, _LATE, pairs("ene"), INREG.format(reg="late"), gate("pin"), ranking("ret"), selecting("ene", "late"), views=TR, then="SELECT seed_id, track_id, rank, out_start_beat, in_start_beat, round(pair_cost, 6) AS pair_cost FROM rps")
-O["plan_region_pairs"] = sql(CUR, ENE, REG, SMALL, pairs("sml"), windows("sml", "reg"), RPS.format(source="prs", keys="seed_id, track_id"), views=TR, then="SELECT seed_id, track_id, out_start_beat, in_start_beat, round(pair_cost, 6) AS pair_cost FROM rps")
+O["plan_region_pairs"] = sql(CUR, ENE, REG, pairs("ene"), windows("ene", "reg"), RPS.format(source="prs", keys="seed_id, track_id"), views=TR, then="SELECT seed_id, track_id, out_start_beat, in_start_beat, round(pair_cost, 6) AS pair_cost FROM rps")
 _CMP = "cmp AS (SELECT a.track_id AS track_a_id, b.track_id AS track_b_id, a.native_bpm / b.native_bpm AS stretch_ratio FROM cur a JOIN cur b ON a.track_id <> b.track_id AND a.native_bpm / b.native_bpm BETWEEN 0.95e0 AND 1.05e0)"
 O["compatible_pairs"] = sql(CUR, _CMP, views=T, then=f"SELECT track_a_id, track_b_id, round(stretch_ratio, 6) AS stretch_ratio FROM cmp ORDER BY md5('{SEED}-' || track_a_id || '-' || track_b_id), track_a_id, track_b_id LIMIT 60")
 
 
 def _edge(s: str, order: str) -> str:
     return f"""l{s} AS (SELECT p.seed_id, '{s}' AS strategy, p.track_id, p.stretch_ratio, greatest(0e0, t.duration_seconds - 32 * 60 / p.session_bpm - 8 * 60 / p.session_bpm) AS out_seconds, 8 * 60 / p.session_bpm AS in_seconds, 0e0 AS pair_cost
-  FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY {order}, track_id) AS rl FROM {"rkc_t" if s == "C" else "prs"}) p JOIN sml t ON t.track_id = p.seed_id WHERE rl = 1)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY {order}, track_id) AS rl FROM {"rkc_t" if s == "C" else "prs"}) p JOIN ene t ON t.track_id = p.seed_id WHERE rl = 1)"""
 
 
 O["strategy_ladder"] = sql(
-    CUR, ENE, REG, SMALL, pairs("sml"), ranking("prs", "rkc", _C), _edge("A", f"md5('{SEED}-' || p.track_id)".replace("p.", "")), _edge("B", "round(abs(native_bpm - session_bpm), 9)"), _edge("C", "round(total_cost, 9)"),
-    INREG.format(reg="reg"), gate("pin"), ranking("ret"), selecting("sml", "reg"),
+    CUR, ENE, REG, pairs("ene"), ranking("prs", "rkc", _C), _edge("A", f"md5('{SEED}-' || p.track_id)".replace("p.", "")), _edge("B", "round(abs(native_bpm - session_bpm), 9)"), _edge("C", "round(total_cost, 9)"),
+    INREG.format(reg="reg"), gate("pin"), ranking("ret"), selecting("ene", "reg"),
     "alls AS (SELECT * FROM lA UNION ALL SELECT * FROM lB UNION ALL SELECT * FROM lC UNION ALL SELECT seed_id, 'D', track_id, stretch_ratio, NULL, NULL, pair_cost FROM rps)",
     views=TR,
     then="""SELECT t.track_id AS seed_id, s.strategy, coalesce(a.track_id, -1) AS track_id, round(a.stretch_ratio, 6) AS stretch_ratio, round(out_seconds, 6) AS out_seconds, round(in_seconds, 6) AS in_seconds, round(pair_cost, 6) AS pair_cost,
-  CASE WHEN a.track_id IS NULL THEN 'NO_PLAN' END AS failure_reason FROM sml t CROSS JOIN (SELECT unnest(['A', 'B', 'C', 'D']) AS strategy) s LEFT JOIN alls a ON a.seed_id = t.track_id AND a.strategy = s.strategy""",
+  CASE WHEN a.track_id IS NULL THEN 'NO_PLAN' END AS failure_reason FROM ene t CROSS JOIN (SELECT unnest(['A', 'B', 'C', 'D']) AS strategy) s LEFT JOIN alls a ON a.seed_id = t.track_id AND a.strategy = s.strategy""",
 )
 
 # --- beats ------------------------------------------------------------------

@@ -100,11 +100,6 @@ def retrieved(spark, sf, tracks=None):
     return select.retrieve(select.seeds_of(tracks), tracks, CFG.tempo, CFG.retrieval, played, region_rows(spark, sf))
 
 
-def small(spark, sf):
-    """A library of its own in which some seeds need relaxation: the parts of one size."""
-    return energised(spark, sf).where("duration_seconds = 190")
-
-
 @query
 def retrieve_hard(spark, sf):
     t = energised(spark, sf)
@@ -114,7 +109,7 @@ def retrieve_hard(spark, sf):
 
 @query
 def retrieve_relaxed(spark, sf):
-    t = small(spark, sf)
+    t = energised(spark, sf)
     pairs = select.retrieve(select.seeds_of(t), t, CFG.tempo, CFG.retrieval)
     return pairs.groupBy("seed_id").agg(F.count("*").alias("n"), F.bool_or("relaxed").alias("relaxed"), F.sum("track_id").cast("bigint").alias("ids"))
 
@@ -165,8 +160,8 @@ def select_next_late_regions(spark, sf):
 
 @query
 def plan_region_pairs(spark, sf):
-    """Planning of every ordered compatible pair of one small library."""
-    t, r = small(spark, sf), region_rows(spark, sf)
+    """Planning of every ordered compatible pair."""
+    t, r = energised(spark, sf), region_rows(spark, sf)
     pairs = select.tempo_pairs(select.seeds_of(t), t, CFG.tempo).where("track_id <> seed_id").select("seed_id", "track_id", "session_bpm", "stretch_ratio")
     rp = select.region_pairs(pairs, select.in_window(r, t, CFG.transition.outgoing), select.in_window(r, t, CFG.transition.incoming), CFG.transition, CFG.tempo)
     best = select.best_pair(rp, "seed_id", "track_id")
@@ -180,7 +175,7 @@ def compatible_pairs(spark, sf):
 
 @query
 def strategy_ladder(spark, sf):
-    out = select.strategy_ladder(small(spark, sf), region_rows(spark, sf), CFG, SEED)
+    out = select.strategy_ladder(energised(spark, sf), region_rows(spark, sf), CFG, SEED)
     return rounded(out.select("seed_id", "strategy", F.coalesce("track_id", F.lit(-1)).alias("track_id"), "stretch_ratio", "out_seconds", "in_seconds", "pair_cost", "failure_reason"), "stretch_ratio", "out_seconds", "in_seconds", "pair_cost")
 
 
@@ -488,6 +483,6 @@ def playback_clock(spark, sf):
 def session_chain(spark, sf):
     from tessera.operators.session import chain
 
-    t = small(spark, sf)
+    t = energised(spark, sf)
     grid = view(spark, sf, "tracks").select("track_id", "native_bpm")
-    return rounded(chain(t, region_rows(spark, sf), grid, CFG, length=4).select("seed_id", "step", "track_id", "start_seconds", "end_seconds", "status"), "start_seconds", "end_seconds")
+    return rounded(chain(t, region_rows(spark, sf), grid, CFG).select("seed_id", "step", "track_id", "start_seconds", "end_seconds", "status"), "start_seconds", "end_seconds")

@@ -364,7 +364,12 @@ def test_stretch_and_transition_kernels():
     mix, start, fade = K.transition(a, b, 60, 10, 10, 20, 30)
     assert (len(mix), start, fade) == (60, 20, 10)
     assert K.protected(np.array([[2.0], [-1.0]], np.float32), -1.0)[0].max() == 1.0 and K.protected(np.zeros((0, 1)), -1.0)[1:] == (-120.0, False, False)
-    assert K.channels(np.zeros((2, 50)), 2).shape == (50, 2) and K.channels(np.zeros(5), 2).shape == (5, 2)
+    assert K.channels(np.zeros((2, 50)), 2, "planes").shape == (50, 2) and K.channels(np.zeros(5), 2).shape == (5, 2)
+    assert K.channels(np.arange(6).reshape(3, 2), 1).tolist() == [[0], [2], [4]] and K.channels(np.arange(3)[:, None], 2).tolist() == [[0, 0], [1, 1], [2, 2]]
+    tone = np.sin(2 * np.pi * 15000 * np.arange(44100) / 44100)[:, None]
+    assert np.abs(K.resampled(tone, 44100, 22050)[200:-200]).max() < 0.05 and np.abs(K.resampled(tone, 44100, 48000)).max() > 0.5
+    low = np.sin(2 * np.pi * 440 * np.arange(44100) / 44100)[:, None]
+    assert np.abs(K.resampled(low, 44100, 22050)[:, 0] - np.sin(2 * np.pi * 440 * np.arange(22050) / 22050))[200:-200].max() < 0.01
     with pytest.raises(ValueError):
         K.channels(np.zeros((50, 3)), 4)
 
