@@ -12,6 +12,7 @@ from tessera.functions.stats import sign_test
 from tessera.operators import beats as B
 from tessera.operators import catalog, evaluation, library, select
 from tessera.sources.fixtures import view
+from tessera.sources.scratch import stored
 
 CFG = Settings()
 QUERIES: dict = {}
@@ -51,6 +52,11 @@ def region_rows(spark: SparkSession, sf: str) -> DataFrame:
     return timed.withColumns({"start_time": F.col("start_beat") * 60 / F.col("native_bpm"), "end_time": (F.col("end_beat") - 1) * 60 / F.col("native_bpm")}).drop("native_bpm")
 
 
+def planning(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Tracks and regions as tables: planning reads both many times."""
+    return stored(energised(spark, sf), "tracks"), stored(region_rows(spark, sf), "regions")
+
+
 def beat_rows(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "beats")
 
@@ -144,8 +150,8 @@ def baseline_seeded_random(spark, sf):
 
 @query
 def select_next_all(spark, sf):
-    t = energised(spark, sf)
-    plan = select.select_next(select.seeds_of(t), t, region_rows(spark, sf), CFG)
+    t, r = planning(spark, sf)
+    plan = select.select_next(select.seeds_of(t), t, r, CFG)
     out = plan.select("seed_id", "track_id", "rank", "relaxed", "out_start_beat", "in_start_beat", "stability_cost", "gap_cost", "stretch_cost", "position_cost", "pair_cost")
     return rounded(out, "stability_cost", "gap_cost", "stretch_cost", "position_cost", "pair_cost")
 
@@ -153,7 +159,8 @@ def select_next_all(spark, sf):
 @query
 def select_next_late_regions(spark, sf):
     """Without early regions of a quarter of the tracks: the walk goes past ranks that can't be planned."""
-    t, r = energised(spark, sf), region_rows(spark, sf).where("not (track_id % 4 = 0 and start_beat < 140)")
+    t, r = planning(spark, sf)
+    r = r.where("not (track_id % 4 = 0 and start_beat < 140)")
     plan = select.select_next(select.seeds_of(t), t, r, CFG)
     return rounded(plan.select("seed_id", "track_id", "rank", "out_start_beat", "in_start_beat", "pair_cost"), "pair_cost")
 
@@ -161,7 +168,7 @@ def select_next_late_regions(spark, sf):
 @query
 def plan_region_pairs(spark, sf):
     """Planning of every ordered compatible pair."""
-    t, r = energised(spark, sf), region_rows(spark, sf)
+    t, r = planning(spark, sf)
     pairs = select.tempo_pairs(select.seeds_of(t), t, CFG.tempo).where("track_id <> seed_id").select("seed_id", "track_id", "session_bpm", "stretch_ratio")
     rp = select.region_pairs(pairs, select.in_window(r, t, CFG.transition.outgoing), select.in_window(r, t, CFG.transition.incoming), CFG.transition, CFG.tempo)
     best = select.best_pair(rp, "seed_id", "track_id")
@@ -175,7 +182,7 @@ def compatible_pairs(spark, sf):
 
 @query
 def strategy_ladder(spark, sf):
-    out = select.strategy_ladder(energised(spark, sf), region_rows(spark, sf), CFG, SEED)
+    out = select.strategy_ladder(*planning(spark, sf), CFG, SEED)
     return rounded(out.select("seed_id", "strategy", F.coalesce("track_id", F.lit(-1)).alias("track_id"), "stretch_ratio", "out_seconds", "in_seconds", "pair_cost", "failure_reason"), "stretch_ratio", "out_seconds", "in_seconds", "pair_cost")
 
 
@@ -483,6 +490,6 @@ def playback_clock(spark, sf):
 def session_chain(spark, sf):
     from tessera.operators.session import chain
 
-    t = energised(spark, sf)
+    t, r = planning(spark, sf)
     grid = view(spark, sf, "tracks").select("track_id", "native_bpm")
-    return rounded(chain(t, region_rows(spark, sf), grid, CFG).select("seed_id", "step", "track_id", "start_seconds", "end_seconds", "status"), "start_seconds", "end_seconds")
+    return rounded(chain(t, r, grid, CFG).select("seed_id", "step", "track_id", "start_seconds", "end_seconds", "status"), "start_seconds", "end_seconds")
