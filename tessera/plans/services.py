@@ -34,8 +34,16 @@ def preview(files: DataFrame, rules: Ingestion = Ingestion(), read_paths: bool =
 
 
 def scan(files: DataFrame, tracks: DataFrame, rules: Ingestion = Ingestion(), recheck: bool = False, read_paths: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(next snapshot, outcome of each file).  The snapshot's ids are hashes of the path, which is a track's identity."""
-    seen = catalog.changes(named(audio.probe_files(files, rules, read_paths)), tracks, recheck)
+    """(next snapshot, outcome of each file).  The snapshot's ids are hashes of the path, which is a track's identity.
+
+    Files are hashed first; only those whose bytes are new, that failed before
+    or that a recheck asks for are probed.
+    """
+    found = audio.hashed(files, read_paths)
+    known = tracks.where("failure_reason is null").select("audio_path", "content_hash")
+    due = found if recheck else found.join(known, ["audio_path", "content_hash"], "left_anti")
+    same = found.join(due.select("audio_path"), "audio_path", "left_anti").select("audio_path", "content_hash", F.lit("UNCHANGED").alias("outcome"))
+    seen = catalog.changes(named(audio.probe_files(due, rules, read_paths)), tracks, recheck).unionByName(same, allowMissingColumns=True)
     columns = ["audio_path", "content_hash", "title", "artist", "metadata_source"]
     facts = ["duration_seconds", "native_sample_rate", "channels", "codec_name", "bit_rate"]
     ident = F.xxhash64("audio_path").alias("track_id")

@@ -6,11 +6,14 @@ where those are installed, and are failures (as data) where not.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import os
 import subprocess
+import tempfile
 import wave
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -56,9 +59,17 @@ def stored(spark: SparkSession, root: str, extensions: tuple[str, ...] = Ingesti
     return files.where(matches(F.col("path"), extensions)).select(rel.alias("audio_path"), "content", F.sha2("content", 256).alias("content_hash"))
 
 
-def _tool(*command: str, data: bytes, timeout: float) -> bytes:
+def _with_file(data: bytes, use: Callable[[str], bytes]) -> bytes:
+    """``use`` of a temporary file of the task with the bytes: a pipe can't be sought in, as some containers need."""
+    with tempfile.NamedTemporaryFile(prefix="tessera-") as f:
+        f.write(data)
+        f.flush()
+        return use(f.name)
+
+
+def _tool(*command: str, timeout: float) -> bytes:
     try:
-        done = subprocess.run(command, input=data, capture_output=True, timeout=timeout)
+        done = subprocess.run(command, stdin=subprocess.DEVNULL, capture_output=True, timeout=timeout)
     except FileNotFoundError:
         raise SourceError("TOOL_MISSING", command[0]) from None
     except subprocess.TimeoutExpired:
@@ -69,9 +80,43 @@ def _tool(*command: str, data: bytes, timeout: float) -> bytes:
     return done.stdout
 
 
+def _number(x, kind=float):
+    """The number that a tool wrote, or nothing where it wrote none."""
+    try:
+        found = kind(x)
+    except (TypeError, ValueError, OverflowError):
+        return None
+    return found if np.isfinite(found) and found > 0 else None
+
+
+def described(output: bytes) -> dict:
+    """The facts in ffprobe's JSON."""
+    try:
+        out = json.loads(output)
+    except ValueError as e:
+        raise SourceError("UNREADABLE_PROBE_OUTPUT", str(e)) from None
+    streams, form = (out.get("streams") or [], out.get("format") or {}) if isinstance(out, dict) else (None, None)
+    if not isinstance(streams, list) or not isinstance(form, dict):
+        raise SourceError("UNREADABLE_PROBE_OUTPUT", "not the expected JSON")
+    stream = next((s for s in streams if isinstance(s, dict) and s.get("codec_type") == "audio"), None)
+    if stream is None:
+        raise SourceError("NO_AUDIO_STREAM")
+    tags = {k.strip().lower(): str(v) for t in (stream.get("tags") or {}, form.get("tags") or {}) for k, v in t.items()}
+    duration = _number(stream.get("duration")) or _number(form.get("duration"))
+    rate, channels = _number(stream.get("sample_rate"), int), _number(stream.get("channels"), int)
+    if duration is None:
+        raise SourceError("INVALID_DURATION", f"{stream.get('duration')}, {form.get('duration')}")
+    if rate is None or channels is None:
+        raise SourceError("INVALID_SAMPLE_FORMAT", f"{stream.get('sample_rate')} Hz, {stream.get('channels')} channels")
+    return {"duration": duration, "sample_rate": rate, "channels": channels, "codec": stream.get("codec_name"), "bit_rate": _number(form.get("bit_rate"), int), "tags": tags}
+
+
 def probe(data: bytes, timeout: float = 120.0) -> dict:
     """duration, sample_rate, channels, codec, bit_rate, tags of the first audio stream."""
-    if data[:4] == b"RIFF":
+    if (plain := float_wav(data)) is not None:
+        x, rate = plain
+        found = {"duration": len(x) / rate if rate else 0.0, "sample_rate": rate, "channels": x.shape[1], "codec": f"pcm_f{8 * x.dtype.itemsize}le", "bit_rate": rate * x.shape[1] * x.dtype.itemsize * 8, "tags": {}}
+    elif data[:4] == b"RIFF":
         try:
             with wave.open(io.BytesIO(data)) as w:
                 rate, n, c, width = w.getframerate(), w.getnframes(), w.getnchannels(), w.getsampwidth()
@@ -79,24 +124,41 @@ def probe(data: bytes, timeout: float = 120.0) -> dict:
             raise SourceError("PROBE_FAILED", str(e)) from None
         found = {"duration": n / rate if rate else 0.0, "sample_rate": rate, "channels": c, "codec": f"pcm_s{8 * width}le", "bit_rate": rate * c * width * 8, "tags": {}}
     else:
-        out = json.loads(_tool("ffprobe", "-v", "error", "-of", "json", "-show_format", "-show_streams", "-", data=data, timeout=timeout) or b"{}")
-        stream = next((s for s in out.get("streams", []) if s.get("codec_type") == "audio"), None)
-        if stream is None:
-            raise SourceError("NO_AUDIO_STREAM")
-        form = out.get("format", {})
-        tags = {k.strip().lower(): v for t in (stream.get("tags", {}), form.get("tags", {})) for k, v in t.items()}
-        durations = [float(x) for x in (stream.get("duration"), form.get("duration")) if x is not None]
-        found = {"duration": next((d for d in durations if np.isfinite(d) and d > 0), 0.0), "sample_rate": int(stream.get("sample_rate", 0)), "channels": int(stream.get("channels", 0)), "codec": stream.get("codec_name"), "bit_rate": int(form["bit_rate"]) if "bit_rate" in form else None, "tags": tags}
+        found = described(_with_file(data, lambda path: _tool("ffprobe", "-v", "error", "-of", "json", "-show_format", "-show_streams", path, timeout=timeout)))
     if not np.isfinite(found["duration"]) or found["duration"] <= 0:
         raise SourceError("INVALID_DURATION")
     if found["sample_rate"] <= 0 or found["channels"] <= 0:
-        raise SourceError("INVALID_STREAM")
+        raise SourceError("INVALID_SAMPLE_FORMAT")
     return found
 
 
+def float_wav(data: bytes) -> tuple[np.ndarray, int] | None:
+    """(frames, channels) and rate of a WAV file of floating-point samples, which the standard library doesn't read; None for any other file."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        return None
+    at, form = 12, None
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        if name == b"fmt " and size >= 16:
+            form = np.frombuffer(data, "<u2", 8, at + 8).tolist() if at + 24 <= len(data) else None
+            if form is None or form[0] != 3 or form[7] not in (32, 64) or not form[1]:  # 3: floating point
+                return None
+        if name == b"data" and form is not None:
+            width, rate = form[7] // 8, form[2] | form[3] << 16
+            raw = data[at + 8 : at + 8 + size]
+            raw = raw[: len(raw) - len(raw) % (width * form[1])]
+            return np.frombuffer(raw, f"<f{width}").reshape(-1, form[1]), rate
+        at += 8 + size + size % 2
+    return None
+
+
 def decode(data: bytes, rate: int, channels: int = 1, seconds: float | None = None, timeout: float = 120.0) -> np.ndarray:
     """float32 (n, channels) at ``rate``, the first ``seconds`` if given."""
-    if data[:4] == b"RIFF":
+    if (plain := float_wav(data)) is not None:
+        x, own = plain
+        x = (x if seconds is None else x[: int(seconds * own)]).astype(np.float32)
+        x = kernels.resampled(x.mean(1, keepdims=True) if channels == 1 else kernels.channels(x, channels), own, rate)
+    elif data[:4] == b"RIFF":
         try:
             with wave.open(io.BytesIO(data)) as w:
                 own, c, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
@@ -113,7 +175,7 @@ def decode(data: bytes, rate: int, channels: int = 1, seconds: float | None = No
         x = kernels.resampled(x, own, rate)
     else:
         limit = () if seconds is None else ("-t", str(seconds))
-        raw = _tool("ffmpeg", "-v", "error", "-i", "-", *limit, "-f", "f32le", "-ac", str(channels), "-ar", str(rate), "-", data=data, timeout=timeout)
+        raw = _with_file(data, lambda path: _tool("ffmpeg", "-v", "error", "-i", path, *limit, "-f", "f32le", "-ac", str(channels), "-ar", str(rate), "-", timeout=timeout))
         if len(raw) % (4 * channels):
             raise SourceError("DECODE_FAILED", "odd number of samples")
         x = np.frombuffer(raw, "<f4").reshape(-1, channels)
@@ -138,6 +200,22 @@ def validated(data: bytes, rules: Ingestion, rate: int = 22050) -> dict:
     return found
 
 
+def hashed(files: DataFrame, read_paths: bool = False) -> DataFrame:
+    """``files`` with content_hash, from the bytes alone: nothing is probed."""
+    if not read_paths:
+        return files.withColumn("content_hash", F.sha2(F.coalesce("content", F.expr("cast('' as binary)")), 256))
+
+    def run(batches):
+        for batch in batches:
+            digests = []
+            for path in batch.column("path").to_pylist():
+                with open(path, "rb") as f:
+                    digests.append(hashlib.file_digest(f, "sha256").hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("audio_path"), batch.column("path"), pa.array(digests, pa.string())], ["audio_path", "path", "content_hash"])
+
+    return files.select("audio_path", "path").mapInArrow(run, "audio_path string, path string, content_hash string")
+
+
 PROBED = "audio_path string, content_hash string, duration_seconds double, native_sample_rate int, channels int, codec_name string, bit_rate bigint, tags map<string,string>, failure_reason string, failure_detail string"
 
 
@@ -145,8 +223,6 @@ def probe_files(files: DataFrame, rules: Ingestion = Ingestion(), read_paths: bo
     """One row for each file: its facts, or a failure; ``files`` holds audio_path and content, or path if the folder is on every executor."""
 
     def run(batches):
-        import hashlib
-
         for batch in batches:
             rows = []
             for r in batch.to_pylist():

@@ -1,5 +1,6 @@
 """Hand-computed values of the library's operators."""
 
+import json
 import math
 
 import numpy as np
@@ -414,3 +415,32 @@ def test_files_are_found_probed_and_written(spark, tmp_path):
     back = audio.decode((tmp_path / "out" / "m.wav").read_bytes(), 44100)
     assert out.bytes == (tmp_path / "out" / "m.wav").stat().st_size and np.abs(back - tone[:100]).max() < 1e-4
     assert audio.decode(audio.wav_bytes(tone, 44100), 22050, 2).shape == (44100, 2)
+
+
+def test_tool_output_of_any_kind_is_facts_or_a_failure():
+    good = {"streams": [{"codec_type": "video"}, {"codec_type": "audio", "codec_name": "aac", "sample_rate": "44100", "channels": 2, "duration": "N/A", "tags": {"Title ": "x"}}], "format": {"duration": "12.5", "bit_rate": "N/A", "tags": {"title": "y"}}}
+    found = audio.described(json.dumps(good).encode())
+    assert (found["duration"], found["sample_rate"], found["channels"], found["bit_rate"], found["tags"]) == (12.5, 44100, 2, None, {"title": "y"})
+
+    def reason(output):
+        with pytest.raises(audio.SourceError) as e:
+            audio.described(output if isinstance(output, bytes) else json.dumps(output).encode())
+        return e.value.reason
+
+    stream = {"codec_type": "audio", "sample_rate": "44100", "channels": 2, "duration": "3"}
+    assert [reason(x) for x in (b"", b"{", b"[]", {"streams": 3}, b"\xff")] == ["UNREADABLE_PROBE_OUTPUT"] * 5
+    assert reason({}) == reason({"streams": [{"codec_type": "video"}]}) == "NO_AUDIO_STREAM"
+    assert {reason({"streams": [stream | {"duration": d}]}) for d in ("N/A", None, "nan", "inf", "-1", "0")} == {"INVALID_DURATION"}
+    assert {reason({"streams": [stream | x]}) for x in ({"sample_rate": "N/A"}, {"channels": None}, {"channels": 0})} == {"INVALID_SAMPLE_FORMAT"}
+
+
+def test_wav_of_floating_point_samples():
+    x = np.stack([np.linspace(-1, 1, 1000), np.zeros(1000)], 1)
+    for kind in ("<f4", "<f8"):
+        raw, width = x.astype(kind).tobytes(), int(kind[2])
+        form = np.array([3, 2], "<u2").tobytes() + np.array([8000, 8000 * 2 * width], "<u4").tobytes() + np.array([2 * width, 8 * width], "<u2").tobytes()
+        data = b"RIFF" + (36 + len(raw)).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + form + b"LIST" + (3).to_bytes(4, "little") + b"abc\0" + b"data" + len(raw).to_bytes(4, "little") + raw
+        assert audio.probe(data)["duration"] == 0.125 and audio.probe(data)["channels"] == 2
+        assert np.allclose(audio.decode(data, 8000, 2), x, atol=1e-6) and audio.decode(data, 8000, 1, 0.05).shape == (400, 1)
+        assert audio.float_wav(data[:60]) is None or len(audio.float_wav(data[:60])[0]) == 0
+    assert audio.float_wav(b"RIFF nonsense") is None

@@ -23,7 +23,7 @@ def test_schema_versions(spark):
         schemas.upgraded(old.withColumn("mood", F.lit(1)), "tracks")
 
 
-def test_scan_rescan_and_analysis(spark, tmp_path):
+def test_scan_rescan_and_analysis(spark, tmp_path, monkeypatch):
     lib = tmp_path / "lib"
     lib.mkdir()
     for name, bpm in (("A - One.wav", 120), ("B - Two (Official Video).wav", 124)):
@@ -37,7 +37,12 @@ def test_scan_rescan_and_analysis(spark, tmp_path):
     tracks, seen = services.scan(files, schemas.empty(spark, "tracks"), rules, read_paths=True)
     tracks = spark.createDataFrame(tracks.collect(), tracks.schema)
     assert sorted(r.outcome for r in seen.collect()) == ["ADDED", "ADDED", "FAILED"]
+    asked, real = [], audio.probe_files
+    monkeypatch.setattr(audio, "probe_files", lambda due, *how: asked.append(sorted(r.audio_path for r in due.collect())) or real(due, *how))
     again, seen = services.scan(files, tracks, rules, read_paths=True)
+    assert asked == [["empty.wav"]]  # what failed is tried again, what is unchanged is only hashed
+    services.scan(files, tracks, rules, recheck=True, read_paths=True)
+    assert len(asked[1]) == 3
     assert sorted(r.outcome for r in seen.collect()) == ["FAILED", "UNCHANGED", "UNCHANGED"] and again.count() == 3
     pcm = spark.createDataFrame([(n, audio.decode((lib / n).read_bytes(), 22050)[:, 0].tolist()) for n in ("A - One.wav", "B - Two (Official Video).wav")], "audio_path string, samples array<float>")
     settings = load(environ={}, regions={"onset_floor": 0.05})
