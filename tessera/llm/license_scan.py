@@ -7,11 +7,18 @@ list, so the index is small and broadcast.  Every document shingle is looked
 up, so a run of WINDOW + SHINGLE - 1 words that a document shares with a
 template is always met.  Hits of a template that lie near one diagonal make a
 candidate region, which is aligned with the template in a band around the
-diagonal; the matched words over the template's length are its coverage.
+diagonal.  Aligned regions that follow each other in the template and in the
+document (a passage was put in or left out between them) are chained; the
+matched words, each template word once, over the template's length are the
+coverage.
+
+Of alignments that score alike the first one in the template is taken.  Long
+texts are scanned whole, in time proportional to their words and hits.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
 from itertools import islice
 
@@ -36,9 +43,11 @@ def _shingles(w: list[bytes]) -> list[tuple[bytes, ...]]:
 
 
 def winnow(shingles: list[tuple[bytes, ...]], window: int = WINDOW) -> list[int]:
-    """Places of the shingles that are the rightmost least of some window; of all, if there are fewer."""
+    """Places of the shingles that are the rightmost least of some window; of all, if there are fewer than two windows of them."""
+    if len(shingles) < 2 * window:
+        return list(range(len(shingles)))
     h = [xxhash.xxh64_intdigest(b" ".join(s)) for s in shingles]
-    kept = {min(range(i, min(i + window, len(h))), key=lambda j: (h[j], -j)) for i in range(max(1, len(h) - window + 1))} if h else set()
+    kept = {min(range(i, min(i + window, len(h))), key=lambda j: (h[j], -j)) for i in range(len(h) - window + 1)}
     return sorted(kept)
 
 
@@ -76,17 +85,17 @@ class Index:
                 last = d
         return sorted(out, key=lambda x: (x[1], x[0]))
 
-    def align(self, t: int, low: int, high: int, w: list[bytes]) -> tuple[int, int, int]:
-        """Matched words, start and stop in the document, of the best local alignment within the band."""
+    def align(self, t: int, low: int, high: int, w: list[bytes]) -> tuple[int, int, int, int, int]:
+        """Matched words, start and stop in the document and in the template, of the best local alignment within the band."""
         template, band = self.words[t], self.bands[t]
         a, b = max(0, low - band), min(len(w), high + len(template) + band)
         width = high - low + 2 * band + 1
         # cell k of row i stands for document word low - band + i + k; its value: score, matched, start, stop
         score = [0] * width
-        state: list[tuple[int, int, int]] = [(0, -1, -1)] * width
-        best = (0, 0, 0, 0)
+        state: list[tuple[int, int, int, int, int]] = [(0, -1, -1, -1, -1)] * width
+        best = (0, 0, 0, 0, 0, 0)
         for i, word in enumerate(template):
-            new, fresh = [0] * width, [(0, -1, -1)] * width
+            new, fresh = [0] * width, [(0, -1, -1, -1, -1)] * width
             for k in range(width):
                 j = low - band + i + k
                 if not a <= j < b:
@@ -99,27 +108,62 @@ class Index:
                     top, how = new[k - 1] + _GAP, 2
                 if top <= 0:
                     continue
-                n, start, stop = state[k] if how == 0 else state[k + 1] if how == 1 else fresh[k - 1]
+                n, start, stop, first, last = state[k] if how == 0 else state[k + 1] if how == 1 else fresh[k - 1]
                 if how == 0 and same:
-                    n, start, stop = n + 1, j if start < 0 else start, j + 1
-                new[k], fresh[k] = top, (n, start, stop)
+                    n, start, stop, first, last = n + 1, j if start < 0 else start, j + 1, i if start < 0 else first, i + 1
+                new[k], fresh[k] = top, (n, start, stop, first, last)
                 if top > best[0]:
-                    best = (top, n, start, stop)
+                    best = (top, n, start, stop, first, last)
             score, state = new, fresh
         return best[1:]
 
     def scan(self, text: bytes, least: float = COVERAGE) -> list[tuple[str, int, float, int, int]]:
         """(license, matched words, coverage, first word, word after the last) of each place where a template is covered enough."""
         w = words(text)
-        found = {}
+        places: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)
         for t, low, high in self.regions(w):
-            n, start, stop = self.align(t, low, high, w)
-            coverage = n / len(self.words[t])
-            if coverage >= least and (t, start) not in found:
-                found[t, start] = (self.names[t], n, coverage, start, stop)
+            n, start, stop, first, last = self.align(t, low, high, w)
+            if n:
+                places[t].append((start, stop, first, last, n))
+        found = {}
+        for t, aligned in places.items():
+            for matched, begin, end in chains(sorted(set(aligned)), len(self.words[t]), least):
+                found[t, begin] = (self.names[t], matched, matched / len(self.words[t]), begin, end)
         return [found[k] for k in sorted(found, key=lambda k: (k[1], k[0]))]
 
 
+def chains(pieces: list[tuple[int, int, int, int, int]], size: int, least: float) -> list[tuple[int, int, int]]:
+    """(matched words, start, stop) of the best chains of aligned pieces that cover enough of a template of ``size`` words, none over another.
+
+    A piece is (start, stop) in the document, (first, last) in the template and
+    its matched words; it follows another one that ends before it in both, at
+    most ``size`` words away.
+    """
+    best, before = [p[4] for p in pieces], list(range(len(pieces)))
+    for i, (start, _, first, last, n) in enumerate(pieces):
+        for j in range(i - 1, -1, -1):
+            if pieces[j][0] < start - 4 * size:
+                break
+            _, end, from_, upto, _ = pieces[j]
+            again = max(0, upto - first)  # template words that both have
+            if first > from_ and last > upto and n > again and end <= start + again and start - end <= size and best[j] + n - again > best[i]:
+                best[i], before[i] = best[j] + n - again, j
+    taken: list[tuple[int, int]] = []
+    out = []
+    for i in sorted(range(len(pieces)), key=lambda i: (-best[i], i)):
+        if best[i] < least * size:
+            break
+        begin = i
+        while before[begin] != begin:
+            begin = before[begin]
+        span = (pieces[begin][0], pieces[i][1])
+        at = bisect(taken, span)
+        if (at == 0 or taken[at - 1][1] <= span[0]) and (at == len(taken) or span[1] <= taken[at][0]):
+            taken.insert(at, span)
+            out.append((best[i], *span))
+    return out
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = COVERAGE, key: str = "doc_id") -> DataFrame:
     """key, license, n_matched, coverage, start_word, stop_word: a row for each place of a license in a document.
 

@@ -155,3 +155,53 @@ def test_snapshots_collapse(spark, sf):
         f = f.withColumns({"n": chat_format.F.lit(1), "h1": chat_format.F.lit(2), "line": chat_format.F.lit("q")})
         got = sorted((r.conv_id, r.n_turns, r.rendered) for r in chat_format.render(f).collect())
         assert got == plain_render([(r.conv_id, r.turn, r.role, r.text) for r in f.collect()])
+
+
+def test_licenses_with_insertions_and_changes_of_any_word():
+    from tessera.llm import license_scan
+    from tessera.llm.license_templates import TEMPLATES
+
+    index = license_scan.Index(TEMPLATES)
+    prose = [f"p{i}" for i in range(400)]
+    for name, text in TEMPLATES.items():
+        w = text.split()
+        for extra in (0, 13, 40):
+            if extra and len(w) < 40:
+                continue
+            got = [r for r in index.scan(" ".join([*prose[:50], *w[: len(w) // 2], *prose[100 : 100 + extra], *w[len(w) // 2 :], *prose[200:250]]).encode()) if r[0] == name]
+            size = len(license_scan.words(text.encode()))
+            assert [(r[1], r[3], r[4]) for r in got] == [(size, 50, 50 + size + extra)], (name, extra)
+        twice = [r for r in index.scan(" ".join([*w, *prose[:5], *w]).encode()) if r[0] == name]
+        assert [r[2] for r in twice] == [1.0, 1.0], name
+    notice = "Released under the MIT License".split()
+    for i in range(5):
+        got = index.scan(" ".join([*prose[:9], *notice[:i], "odd", *notice[i + 1 :], *prose[9:20]]).encode())
+        assert any(r[0] == "MIT notice" and r[1] == 4 for r in got) == (i != 2)  # a change in the middle leaves no three words in a row
+
+
+def test_coverage_is_that_of_an_alignment_without_band():
+    import random
+
+    from tessera.llm import license_scan
+    from tessera.llm.license_templates import TEMPLATES
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng, index = random.Random(8), license_scan.Index(TEMPLATES)
+    for name in ("MIT", "ISC", "BSD-3-Clause", "MPL-2.0"):
+        w = license_scan.words(TEMPLATES[name].encode())
+        for _ in range(4):
+            t = list(w)
+            for _ in range(len(t) // 20):
+                i = rng.randrange(len(t))
+                t[i : i + 1] = rng.choice([[], [b"odd"], [t[i], b"more"]])
+            text = [b"q%d" % i for i in range(30)] + t + [b"r%d" % i for i in range(30)]
+            (got,) = [r for r in index.scan(b" ".join(text)) if r[0] == name]
+            assert 0 <= longest(w, text) - got[1] <= 2 and 30 <= got[3] <= 34 and 26 + len(t) <= got[4] <= 30 + len(t)
