@@ -4,22 +4,20 @@ Spark's FP-growth mines combinations of URL tokens from labelled URLs; rules
 whose consequent is a verdict are kept at a support and a confidence, and one
 is dropped if a rule on fewer of its tokens is as confident.  The kept rules
 are an inverted index from token to rule, which each URL's tokens are counted
-against; a rule fits when all its tokens are there.
+against: each rule is listed under its rarest token, and fits when all its
+tokens are there.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-
-import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches
+from tessera.llm.common import named, written
 
-#: Share of the labelled URLs that a combination is in at least, share of them that have the verdict, rules kept at most (a bound on the broadcast; the most confident stay).
-SUPPORT, CONFIDENCE, RULES = 0.005, 0.6, 50_000
+#: Share of the labelled URLs that a combination is in at least, share of them that have the verdict, labelled URLs that a combination is in at least.
+SUPPORT, CONFIDENCE, LEAST = 0.005, 0.6, 5
 DEFAULT = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -55,55 +53,51 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return found
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[frozenset[str], str, float, float]]:
-    """(tokens, verdict, confidence, support) of the kept rules, from rows (url, verdict); most confident first."""
-    baskets = labelled.where("url is not null and verdict is not null").select(F.array_append(tokens(F.col("url")), F.concat(F.lit("verdict:"), "verdict")).alias("items"))
-    if baskets.isEmpty():
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where(F.element_at("consequent", 1).startswith("verdict:") & ~F.exists("antecedent", lambda x: x.startswith("verdict:")))
-    rules = rules.orderBy(F.desc("confidence"), F.desc("support"), F.array_sort("antecedent")).limit(RULES).collect()
-    kept: dict[tuple[frozenset[str], str], tuple[float, float]] = {}
-    by_size = sorted(rules, key=lambda r: (len(r["antecedent"]), -r["confidence"], sorted(r["antecedent"])))
-    single: dict[str, set] = defaultdict(set)
-    for r in by_size:
-        items, verdict = frozenset(r["antecedent"]), r["consequent"][0].removeprefix("verdict:")
-        shorter = {k for t in items for k in single[t]}
-        if not any(k[1] == verdict and k[0] < items and kept[k][0] >= r["confidence"] for k in shorter):
-            kept[items, verdict] = (r["confidence"], r["support"])
-            single[min(items)].add((items, verdict))
-    return sorted(((t, v, c, s) for (t, v), (c, s) in kept.items()), key=lambda x: (-x[2], -x[3], sorted(x[0]), x[1]))
+_RULE = "tokens array<string>, verdict string, confidence double, support double, token string"
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """tokens (in order), verdict, confidence, support of the kept rules, and the token that each is indexed under, from rows (url, verdict).
+
+    A rule goes if one with a token less is as confident: what always occurs
+    together leaves its single tokens only, however many they are.
+    """
+    spark = labelled.sparkSession
+    baskets = labelled.where("url is not null and verdict is not null").select(tokens(F.col("url")).alias("own"), F.concat(F.lit("verdict:"), "verdict").alias("label"))
+    n = baskets.count()
+    if not n:
+        return spark.createDataFrame([], _RULE)
+    model = FPGrowth(itemsCol="items", minSupport=max(support, min(1.0, LEAST / n)), minConfidence=confidence).fit(baskets.select(F.array_append("own", F.col("label")).alias("items")))
+    found = model.associationRules.where(F.element_at("consequent", 1).startswith("verdict:") & ~F.exists("antecedent", lambda x: x.startswith("verdict:")))
+    found = written(found.select(F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 9)").alias("verdict"), "confidence", "support"), "rules")
+    shorter = found.select(F.col("tokens").alias("fewer"), "verdict", F.col("confidence").alias("its"))
+    less = found.where(F.size("tokens") > 1).select("tokens", "verdict", "confidence", F.explode("tokens").alias("left_out"))
+    less = less.withColumn("fewer", F.array_remove("tokens", F.col("left_out")))
+    redundant = less.join(shorter, ["fewer", "verdict"]).where("its >= confidence").select("tokens", "verdict").distinct()
+    kept = found.join(redundant, ["tokens", "verdict"], "left_anti")
+    # the inverted index has a rule under its rarest token
+    seen = baskets.select(F.explode("own").alias("token")).groupBy("token").count()
+    rarest = kept.select("tokens", "verdict", F.explode("tokens").alias("token")).join(seen, "token").groupBy("tokens", "verdict").agg(F.min(F.struct("count", "token")).getField("token").alias("token"))
+    return written(kept.join(rarest, ["tokens", "verdict"]).select("tokens", "verdict", "confidence", "support", "token"), "index")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame, key: str = "page_id") -> DataFrame:
     """key, host, path, rule, verdict, mined for every row: the explicit rule's verdict, else the mined rule's (its tokens in ``mined``), else allow.
 
     A null URL and one without :// have an empty host and path, fit no rule and
-    are allowed.  Repeated rows give repeated results; without labels nothing is mined.
+    are allowed.  Repeated rows give repeated results; without labels nothing is
+    mined.  Of explicit rules of one length the first by host and path wins, of
+    mined rules the most confident, then the best supported, then the first by
+    tokens.  Very long URLs are taken whole.
     """
     found = mine(labelled)
-    small = pages.select(F.col(key), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), tokens(F.col("url")).alias("tokens"))
-    small = small.withColumn("explicit", matching_rule(F.col("host"), F.col("path"), rules)).select(key, "host", "path", F.col("explicit.rule").alias("rule"), F.col("explicit.verdict").alias("verdict"), "tokens")
-    shared = pages.sparkSession.sparkContext.broadcast(found)
-
-    def make():
-        index = defaultdict(list)
-        for i, (items, *_) in enumerate(shared.value):
-            for t in items:
-                index[t].append(i)
-
-        def judge(verdict, own):
-            if verdict is not None:
-                return verdict, None
-            hits = Counter(i for t in own or () for i in index.get(t, ()))
-            fit = min((i for i, n in hits.items() if n == len(shared.value[i][0])), default=None)
-            return (DEFAULT, None) if fit is None else (shared.value[fit][1], sorted(shared.value[fit][0]))
-
-        def handle(batch: pa.RecordBatch):
-            out = [judge(v, t) for v, t in zip(batch.column("verdict").to_pylist(), batch.column("tokens").to_pylist(), strict=True)]
-            verdicts, mined = pa.array([v for v, _ in out], pa.string()), pa.array([m for _, m in out], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], verdicts, mined], [key, "host", "path", "rule", "verdict", "mined"])
-
-        return handle
-
-    return map_batches(small, f"`{key}` {small.schema[key].dataType.simpleString()}, host string, path string, rule string, verdict string, mined array<string>", make)
+    small = pages.select(named(key), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), F.array_sort(tokens(F.col("url"))).alias("tokens"))
+    small = small.withColumn("explicit", matching_rule(F.col("host"), F.col("path"), rules)).select(named(key), "host", "path", F.col("explicit.rule").alias("rule"), F.col("explicit.verdict").alias("explicit"), "tokens")
+    # token sets are judged, each once; a rule is met under one token and fits if all of its tokens are there
+    asked = small.where("explicit is null").select("tokens").distinct().select("tokens", F.explode("tokens").alias("token"))
+    met = asked.join(found.withColumnRenamed("tokens", "needed"), "token").where(F.size(F.array_except("needed", "tokens")) == 0)
+    best = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.col("needed").alias("t"), F.col("verdict").alias("v"))
+    judged = met.groupBy("tokens").agg(F.min(best).alias("best"))
+    out = small.join(judged, "tokens", "left")
+    mined = F.when(F.col("explicit").isNull(), F.col("best.t"))
+    return out.select(named(key), "host", "path", "rule", F.coalesce("explicit", "best.v", F.lit(DEFAULT)).alias("verdict"), mined.alias("mined"))

@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tessera.llm import chat_format, exact_topk, license_scan, queries, url_filter
 from tessera.llm.license_templates import TEMPLATES
 from tests.llm import fixtures
@@ -122,7 +124,7 @@ def test_mined_url_rules(spark):
         shop, lang = rng.choice(["shop", "blog"]), rng.choice(["fr", "it"])
         rows.append((f"http://{shop}.site{rng.randint(1, 5)}.xyz/{lang}/{i}", "block" if shop == "shop" and lang == "it" else "allow"))
     labelled = spark.createDataFrame([*rows, (None, "block"), ("http://q.r/", None)], "url string, verdict string")
-    rules = url_filter.mine(labelled, 0.05, 0.95)
+    rules = [(frozenset(r.tokens), r.verdict, r.confidence, r.support) for r in url_filter.mine(labelled, 0.05, 0.95).collect()]
     assert any(t == frozenset({"host:shop", "path:it"}) and v == "block" and c == 1.0 for t, v, c, _ in rules)
     assert not any(t > frozenset({"host:shop", "path:it"}) for t, *_ in rules)
     pages = spark.createDataFrame([(1, "http://shop.new.xyz/it/9"), (2, "http://blog.new.xyz/it/9"), (3, "http://none.at/all"), (4, None)], "page_id long, url string")
@@ -130,6 +132,37 @@ def test_mined_url_rules(spark):
     assert got[1] == ("block", ["host:shop", "path:it"]) and got[2][0] == got[3][0] == got[4][0] == "allow"
 
 
+def test_mined_rules_equal_brute_force(spark):
+    import random
+    from itertools import combinations
+
+    rng = random.Random(5)
+    url = lambda: f"http://{rng.choice(['a', 'b', 'c'])}.{rng.choice(['x', 'y'])}/{'/'.join(rng.sample(['p', 'q', 'r', 's'], rng.randint(0, 3)))}?{rng.choice(['k', 'm'])}=1"
+    always = "http://one.two.three/four/five/six/seven/eight/nine/ten?e=1&f=2&g=3&h=4"  # 14 tokens that occur together: 16383 rules alike
+    rows = [(u := url(), "block" if ("p" in u.split("?")[0].split("/")) == (rng.random() < 0.9) else "allow") for _ in range(150)] + [(always, "block")] * 10
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    urls = sorted({u for u, _ in rows} | {url() for _ in range(80)}) + [always]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    with_tokens = {r.url: frozenset(r.t) for r in labelled.unionByName(pages.select("url", F.lit("").alias("verdict"))).select("url", url_filter.tokens(F.col("url")).alias("t")).distinct().collect()}
+    counts, of = defaultdict(int), defaultdict(int)
+    for u, v in rows:
+        if u != always:
+            for k in range(1, 7):
+                for c in combinations(sorted(with_tokens[u]), k):
+                    counts[c] += 1
+                    of[c, v] += 1
+    least = max(url_filter.SUPPORT * len(rows), url_filter.LEAST)
+    want = {}
+    for i, u in enumerate(urls):
+        fits = [(-n / counts[c], -n / len(rows), c, v) for (c, v), n in of.items() if n >= least and n / counts[c] >= url_filter.CONFIDENCE and with_tokens[u].issuperset(c)]
+        want[i] = min(fits)[3] if fits else "allow"
+    want[len(urls) - 1] = want[urls.index(always)] = "block"
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, [], labelled).collect()}
+    assert got == want and len(set(want.values())) == 2
+    mined = url_filter.mine(labelled).collect()
+    assert max(len(r.tokens) for r in mined if "host:two" in r.tokens) == 1
+
+
 # --- conversations ----------------------------------------------------------
 
 
