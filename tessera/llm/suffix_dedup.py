@@ -502,7 +502,8 @@ def remove_repeats(docs: DataFrame, as_text: bool = False, length: int = LENGTH,
 
     judged = held.groupBy("run").applyInArrow(send_classes, _MESSAGE).groupBy("part").applyInArrow(judge_classes, _MESSAGE)
     sent = held.groupBy("run").cogroup(judged.groupBy("run")).applyInArrow(send_candidates, _MESSAGE)
-    compared = sent.groupBy("kind", "part").applyInArrow(compare, _MESSAGE)
+    # so many tasks that one holds few parts: a part's blocks are all in memory when they are merged
+    compared = sent.repartition(max(tasks, 2 * parts), "kind", "part").groupBy("kind", "part").applyInArrow(compare, _MESSAGE)
     schema = returned(held, ["row"], f"missing boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept {'string' if as_text else 'binary'}")
     return held.groupBy("run").cogroup(judged.unionByName(compared).groupBy("run")).applyInArrow(cut, schema)
 
