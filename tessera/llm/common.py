@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext.getCheckpointDir()
+        if not own and spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = own or f"file://{tempfile.mkdtemp(prefix='spark-tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
