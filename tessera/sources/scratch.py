@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder is made only where the setting is absent and all of Spark is one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """``spark.checkpoint.dir``; a local folder is made only where the setting is absent and all of Spark is one process.
+
+    The folder that was made is kept as the context's checkpoint folder: the setting itself cannot be changed in a running session.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if context.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-tessera-')}")
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
