@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, exact_topk, language_id, license_scan, packing, simhash, suffix_dedup, token_counts, url_filter
+from tessera.llm import chat_format, decontaminate, exact_topk, fill_middle, language_id, license_scan, packing, simhash, suffix_dedup, token_counts, url_filter
 from tessera.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -61,8 +61,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return found.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_license_scan, op3_decontaminate, op4_language_id, op5_exact_topk, op6_packing, op7_url_filter, op8_chat_format, op9_simhash, op10_suffix_dedup)
+    for f in (op1_token_counts, op2_license_scan, op3_decontaminate, op4_language_id, op5_exact_topk, op6_packing, op7_url_filter, op8_chat_format, op9_simhash, op10_suffix_dedup, op11_fill_middle)
 }
-ORACLES: dict[str, str] = {"op8_chat_format": chat_format.RENDER_SQL, "op5_exact_topk": exact_topk.TOP_K_SQL}
+ORACLES: dict[str, str] = {"op8_chat_format": chat_format.RENDER_SQL, "op5_exact_topk": exact_topk.TOP_K_SQL, "op11_fill_middle": fill_middle.FILL_SQL}
