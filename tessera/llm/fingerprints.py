@@ -27,7 +27,7 @@ last in the order; rows with one doc_id are ordered by the hash of their text,
 rows equal in both follow each other in any order.  A single document is its
 own next one.  Repeated rows are kept, an empty table gives an empty result,
 very long texts are handled whole.  Columns of any name are carried as one
-struct, ``row``.
+struct, ``row``, without the text, so that it moves once.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, written
+from tessera.llm.common import named, written
 
 BINS, BITS, SHINGLE = 256, 8, 5
 WORD = 64 // BITS
@@ -132,7 +132,7 @@ def _edited(rows: DataFrame, share: int, with_texts: bool, kept: list[str]) -> D
     moved = F.floor(F.col("n_chars") / share).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - moved), F.substring(F.col("next_text"), F.lit(1), moved))
     rows = with_fingerprint(rows.withColumn("edited", edited), "edited", "edited_fp")
-    shown = [F.col("edited")] if with_texts else []
+    shown = [F.col("text"), F.col("edited")] if with_texts else []
     results = [F.sha2("edited", 256).alias("edited_sha256"), *shown, F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next")]
     return rows.select("row", "n_chars", *results, *kept)
 
@@ -142,10 +142,10 @@ def edits(docs: DataFrame, share: int = 3, with_texts: bool = True) -> DataFrame
 
     The edited text: the last ``n_chars // share`` code points are replaced by
     the first as many, or all, of the next document.  ``row`` with all columns of
-    ``docs``, then n_chars, edited_sha256, edited (``with_texts``), fingerprint,
-    edited_fingerprint, near_edited and near_next.
+    ``docs`` but text, then n_chars, edited_sha256, text and edited (``with_texts``),
+    fingerprint, edited_fingerprint, near_edited and near_next.
     """
-    rows = packed(docs, text=F.coalesce("text", F.lit("")), doc_id=F.col("doc_id"))
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns if c != "text"]).alias("row"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
     rows = rows.select("row", "text", F.length("text").cast("bigint").alias("n_chars"), F.struct("doc_id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place")).alias("key"))
     rows = with_fingerprint(in_ranges(rows, docs.select("doc_id")), "text", "fp")
     order = Window.partitionBy("range").orderBy(F.desc("key"))
