@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, exact_topk, fill_middle, fingerprints, language_id, license_scan, packing, simhash, suffix_dedup, token_counts, url_filter
+from tessera.llm import chat_format, decontaminate, exact_topk, fill_middle, fingerprints, language_id, license_scan, packing, prefix_trie, simhash, suffix_dedup, token_counts, url_filter
 from tessera.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -67,6 +67,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rollups(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.edits(table(spark, sf_dir, "documents").select("doc_id", "text"), with_texts=False)
     shown = [fingerprints.to_hex(c).alias(c) for c in ("fingerprint", "edited_fingerprint")]
@@ -75,6 +79,6 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_license_scan, op3_decontaminate, op4_language_id, op5_exact_topk, op6_packing, op7_url_filter, op8_chat_format, op9_simhash, op10_suffix_dedup, op11_fill_middle, op13_fingerprints)
+    for f in (op1_token_counts, op2_license_scan, op3_decontaminate, op4_language_id, op5_exact_topk, op6_packing, op7_url_filter, op8_chat_format, op9_simhash, op10_suffix_dedup, op11_fill_middle, op12_prefix_trie, op13_fingerprints)
 }
-ORACLES: dict[str, str] = {"op8_chat_format": chat_format.RENDER_SQL, "op5_exact_topk": exact_topk.TOP_K_SQL, "op11_fill_middle": fill_middle.FILL_SQL}
+ORACLES: dict[str, str] = {"op8_chat_format": chat_format.RENDER_SQL, "op5_exact_topk": exact_topk.TOP_K_SQL, "op11_fill_middle": fill_middle.FILL_SQL, "op12_prefix_trie": prefix_trie.TRIE_SQL}
