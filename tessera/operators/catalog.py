@@ -67,8 +67,3 @@ def mark_processing(tracks: DataFrame, ids: DataFrame) -> DataFrame:
 def analysis_of_failed(analysis: DataFrame, failures: DataFrame) -> DataFrame:
     """The analysis table without rows of failed tracks."""
     return analysis.join(failures.select("track_id").distinct(), "track_id", "left_anti")
-
-
-def publish(df: DataFrame, path: str) -> None:
-    """One job writes a whole snapshot; Spark commits its files together."""
-    df.write.mode("overwrite").parquet(path)

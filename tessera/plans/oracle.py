@@ -279,3 +279,10 @@ O["session_playback"] = sql(
     then="SELECT q.track_id, moment, coalesce(arg_min(span, (e, span)) FILTER (e > t), arg_max(span, (e, span))) AS span FROM q JOIN sp ON sp.track_id = q.track_id GROUP BY q.track_id, moment, t",
 )
 O["playback_clock"] = sql(views=BT, then="SELECT track_id, beat_index, CAST(CAST(floor(greatest(0e0, beat_time)) AS BIGINT) // 60 AS VARCHAR) || ':' || lpad(CAST(CAST(floor(greatest(0e0, beat_time)) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM fx_beats")
+O["transition_metrics"] = sql(
+    views=("attempts",),
+    then="""SELECT CAST(attempt_id AS VARCHAR) AS transition_id, status, failure_reason, CASE WHEN status = 'RENDERED' THEN strategy END AS strategy,
+  CASE WHEN status = 'RENDERED' THEN round(alignment_error_ms, 6) END AS alignment_error_ms, CASE WHEN status = 'RENDERED' AND attempt_id % 7 = 0 THEN attempt_id / 8e0 END AS render_seconds FROM fx_attempts""",
+)
+O["session_moves"] = """SELECT CAST(o_orderkey AS VARCHAR) AS session_id, CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'READY' ELSE 'PARTIAL' END AS status,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'opened' END AS config_snapshot, CASE WHEN o_orderkey % 2 <> 0 THEN 'ILLEGAL_MOVE' END AS failure_reason FROM orders"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from tessera.functions import frames as A
 from tessera.functions import naming
 from tessera.functions.stats import sign_test
 from tessera.operators import beats as B
-from tessera.operators import catalog, evaluation, library, select
+from tessera.operators import catalog, evaluation, library, records, select
 from tessera.sources.fixtures import view
-from tessera.sources.scratch import stored
+from tessera.sources.scratch import shared_dir, stored
+from tessera.sources.versions import Store
 
 CFG = Settings()
 QUERIES: dict = {}
@@ -493,3 +496,36 @@ def session_chain(spark, sf):
     t, r = planning(spark, sf)
     grid = view(spark, sf, "tracks").select("track_id", "native_bpm")
     return rounded(chain(t, r, grid, CFG).select("seed_id", "step", "track_id", "start_seconds", "end_seconds", "status"), "start_seconds", "end_seconds")
+
+
+# --- stores -----------------------------------------------------------------
+
+
+def new_store(spark) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/tessera-store-{uuid.uuid4().hex}")
+
+
+@query
+def transition_metrics(spark, sf):
+    """Transitions are saved, the metrics of those that were rendered arrive later, a second time for some of them."""
+    a = view(spark, sf, "attempts").withColumn("transition_id", F.col("attempt_id").cast("string"))
+    store = new_store(spark)
+    records.save_transitions(store.change(), a.select("transition_id", "status", "failure_reason")).commit()
+    measured = a.where("status = 'RENDERED'").select("transition_id", "strategy", "alignment_error_ms")
+    records.attach_metrics(store.change(), measured).commit()
+    timed = a.where("status = 'RENDERED' and attempt_id % 7 = 0").select("transition_id", (F.col("attempt_id") / 8.0).alias("render_seconds"))
+    version = records.attach_metrics(store.change(), timed).commit()
+    return rounded(records.transitions(version).select("transition_id", "status", "failure_reason", "strategy", "alignment_error_ms", "render_seconds"), "alignment_error_ms", "render_seconds")
+
+
+@query
+def session_moves(spark, sf):
+    """Sessions of the even orders are opened, all are asked to end: what is stored, and which moves are refused."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("session_id"), "o_orderkey", "o_orderstatus")
+    store = new_store(spark)
+    config = lambda text: F.lit(text).alias("config_snapshot")
+    records.save_sessions(store, o.where("o_orderkey % 2 = 0").select("session_id", F.lit("RENDERING").alias("status"), config("opened")))
+    end = F.when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "O", "READY").otherwise("PARTIAL")
+    version, refused = records.save_sessions(store, o.select("session_id", end.alias("status"), config("later")))
+    kept = version.read("sessions").select("session_id", "status", "config_snapshot", F.lit(None).cast("string").alias("failure_reason"))
+    return kept.unionByName(refused.select("session_id", F.col("to_status").alias("status"), F.lit(None).cast("string").alias("config_snapshot"), "failure_reason"))
