@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import Settings
+from tessera.config import Retrieval, Settings
 from tessera.functions import frames as A
 from tessera.functions import naming
 from tessera.functions.stats import sign_test
 from tessera.operators import beats as B
-from tessera.operators import catalog, evaluation, library, records, select
+from tessera.operators import catalog, evaluation, library, nearest, records, select
 from tessera.sources.fixtures import view
 from tessera.sources.scratch import shared_dir, stored
 from tessera.sources.versions import Store
@@ -20,6 +20,7 @@ from tessera.sources.versions import Store
 CFG = Settings()
 QUERIES: dict = {}
 SEED = CFG.evaluation.seed
+OPEN = Retrieval(energy_filter=False, require_region=False)
 
 
 def query(f):
@@ -125,15 +126,12 @@ def retrieve_relaxed(spark, sf):
 
 @query
 def rank_topk(spark, sf):
-    top = select.rank(retrieved(spark, sf), CFG.ranking, CFG.tempo, k=5)
+    t, r = planning(spark, sf)
+    played = t.where("track_id % 10 = 3").select("track_id")
+    top = nearest.top_ranked(select.seeds_of(t), t, 5, CFG.ranking, CFG.tempo, CFG.retrieval, played, r)
     return rounded(top.select("seed_id", "rank", "track_id", "tempo_cost", "energy_cost", "quality_cost", "total_cost", "relaxed"), "tempo_cost", "energy_cost", "quality_cost", "total_cost")
 
 
-def _open(spark, sf):
-    t = energised(spark, sf)
-    return select.tempo_pairs(select.seeds_of(t), t, CFG.tempo).where("track_id <> seed_id")
-
-
 @query
 def baseline_nearest_bpm(spark, sf):
     t = energised(spark, sf)
@@ -142,7 +140,8 @@ def baseline_nearest_bpm(spark, sf):
 
 @query
 def baseline_bpm_energy(spark, sf):
-    return rounded(select.baseline(_open(spark, sf), "C", k=5).select("seed_id", "rank", "track_id", "total_cost"), "total_cost")
+    t = stored(energised(spark, sf), "tracks")
+    return rounded(nearest.top_ranked(select.seeds_of(t), t, 5, select.without_quality(CFG.ranking), CFG.tempo, OPEN).select("seed_id", "rank", "track_id", "total_cost"), "total_cost")
 
 
 @query
