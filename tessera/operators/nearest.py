@@ -21,6 +21,7 @@ be in a result.  Candidates without tempo, energy or confidence are left out.
 from __future__ import annotations
 
 import math
+from itertools import pairwise
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from tessera.sources.scratch import stored
 
 #: Candidates of a finest cell; cells of the coarsest level; rows that are broadcast at most; what rounding may move a cost by.
 FULL, COARSE, FEW, SLACK = 2, 256, 200_000, 4e-9
+#: Levels that are gone down at a time.
+STRIDE = 3
 AXES, CELL, ABOVE = ("__u", "__v", "__w"), ("__cx", "__cy", "__cz"), ("__px", "__py", "__pz")
 
 
@@ -98,8 +101,9 @@ def top_ranked(seeds: DataFrame, library: DataFrame, k: int, weights: Ranking =
         rows = asking.where("session_bpm > 0 and seed_energy is not null").repartition(tasks, "seed_id").withColumn("__cx", F.explode(across))
         rows = rows.join(_few(_level(fine, last - first), cells(first)), "__cx")
         rows = _bounded(rows, need, weights, tempo, gate).select(*columns, *CELL)
-        for level in range(first + 1, last + 1):
-            below = _level(fine, last - level).withColumns({p: F.expr(f"shiftright({c}, 1)") for p, c in zip(ABOVE, CELL, strict=True)})
+        levels = [first, *sorted(range(last, first, -STRIDE))]
+        for above, level in pairwise(levels):
+            below = _level(fine, last - level).withColumns({p: F.expr(f"shiftright({c}, {level - above})") for p, c in zip(ABOVE, CELL, strict=True)})
             parents = rows.withColumnsRenamed(dict(zip(CELL, ABOVE, strict=True)))
             rows = _bounded(parents.join(_few(below, min(cells(level), size["n"])), list(ABOVE)), need, weights, tempo, gate).select(*columns, *CELL)
         pairs = rows.join(_few(points, size["n"]), list(CELL)).drop(*CELL).withColumn("stretch_ratio", S._ratio(F.col("session_bpm"), F.col("native_bpm")))
