@@ -20,7 +20,7 @@ def _beat_sample(start: Column, end: Column, bpm: Column, seconds: Column, ratio
 
 
 def chain(library: DataFrame, regions: DataFrame, tracks: DataFrame, cfg: Settings = Settings(), length: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
-    """seed_id, step, track_id, start_seconds, end_seconds, status of every seed's session.
+    """seed_id, step, track_id, start_seconds, end_seconds, status of every seed's session, and the samples that a mix needs.
 
     Each step selects the next track for all sessions with one query: regions
     must start after the last fade and leave room for the next, played tracks
@@ -73,7 +73,9 @@ def chain(library: DataFrame, regions: DataFrame, tracks: DataFrame, cfg: Settin
     reached = rows.groupBy("seed_id").agg(F.max("step").alias("__steps"))
     out = rows.join(ends, ["seed_id", "step"], "left").join(reached, "seed_id")
     status = F.when(F.col("__steps") == 1, "FAILED").when(F.col("__steps") < length, "PARTIAL").otherwise("READY")
-    return out.select("seed_id", "step", "track_id", (F.col("start_sample") / rate).alias("start_seconds"), (F.coalesce("__end", "mixed") / rate).alias("end_seconds"), status.alias("status"))
+    stop, length_of_fade = F.coalesce("__end", "mixed"), F.rint(cfg.transition.crossfade_beats * 60 / F.col("session_bpm") * rate).cast("long")
+    seconds = [(F.col("start_sample") / rate).alias("start_seconds"), (stop / rate).alias("end_seconds"), status.alias("status")]
+    return out.select("seed_id", "step", "track_id", *seconds, "offset", "start_sample", stop.alias("stop_sample"), length_of_fade.alias("fade_frames"), F.col("__end").isNotNull().alias("fades_out"))
 
 
 def playing(spans: DataFrame, asked: DataFrame, key: str, moment: str) -> DataFrame:

@@ -286,3 +286,31 @@ O["transition_metrics"] = sql(
 )
 O["session_moves"] = """SELECT CAST(o_orderkey AS VARCHAR) AS session_id, CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'READY' ELSE 'PARTIAL' END AS status,
   CASE WHEN o_orderkey % 2 = 0 THEN 'opened' END AS config_snapshot, CASE WHEN o_orderkey % 2 <> 0 THEN 'ILLEGAL_MOVE' END AS failure_reason FROM orders"""
+ST = """st AS (SELECT vec_id, list_transform(flatten([embedding FOR i IN range(4)]), lambda c: CAST(c AS DOUBLE)) AS s FROM fx_frames)"""
+O["session_mix"] = sql(
+    ST, "li AS (SELECT a.vec_id AS session_id, k, a.vec_id + k AS track_id, 150 + a.vec_id % 50 AS shift, b.s FROM st a, range(3) r(k) JOIN st b ON b.vec_id = a.vec_id + k)",
+    "ln AS (SELECT *, count(*) OVER (PARTITION BY session_id) > k + 1 AS more FROM li)",
+    "lt AS (SELECT *, CASE WHEN k = 0 THEN 0 ELSE k * shift + 10 END AS start, CASE WHEN more THEN (k + 1) * shift + 34 ELSE k * shift + 256 END AS stop, k * shift AS off FROM ln)",
+    "sa AS (SELECT session_id, k, start, stop, more, unnest(range(start, stop)) AS p, unnest(s[start - off + 1 : stop - off]) AS v FROM lt)",
+    "ga AS (SELECT session_id, p, sum(v * CASE WHEN k > 0 AND p < start + 24 THEN sin(0.5e0 * pi() * (p - start) / 23) ELSE 1e0 END * CASE WHEN more AND p >= stop - 24 THEN cos(0.5e0 * pi() * (p - stop + 24) / 23) ELSE 1e0 END) AS v FROM sa GROUP BY session_id, p)",
+    "pk AS (SELECT session_id, max(abs(v)) AS pk FROM ga GROUP BY session_id)", views=FR,
+    then="SELECT session_id, count(*) AS frames, round(sum(v * v) / CASE WHEN pk > 1 THEN pk * pk ELSE 1e0 END, 6) AS energy, round(least(pk, 1e0), 6) AS peak, pk > 1 AS clipped FROM ga JOIN pk USING (session_id) GROUP BY session_id, pk",
+)
+O["evaluation_run"] = sql(
+    ST, """pl AS (SELECT a.vec_id, a.s AS sa, b.s AS sb, a.vec_id * 7 % 270 AS at_a, a.vec_id % 90 AS at_b, least(40, 256 - a.vec_id * 7 % 270, 256 - a.vec_id % 90) AS room FROM st a LEFT JOIN st b ON b.vec_id = a.vec_id + 1)""",
+    "re AS (SELECT *, CASE WHEN vec_id % 11 = 0 THEN 'NO_PLAN' WHEN sb IS NULL THEN 'MISSING_TRACK' WHEN room < 1 THEN 'INSUFFICIENT_AUDIO' END AS failure_reason FROM pl)",
+    "ok AS (SELECT vec_id, room, sa[at_a + 1 : at_a + room] AS a, sb[at_b + 1 : at_b + room] AS b FROM re WHERE failure_reason IS NULL)",
+    f"""mi AS (SELECT vec_id, room, a, b, list_transform(range(room), lambda i: a[i + 1] * {GAIN.format(f='cos', i='i', n='room')} + b[i + 1] * {GAIN.format(f='sin', i='i', n='room')}) AS m, least(16, room // 2) AS k FROM ok)""",
+    "jd AS (SELECT vec_id, CASE WHEN k >= 1 THEN abs(20 * log10(greatest(pow(10, -4.5e0), sqrt(list_sum(list_transform(m[-k:], lambda c: c * c)) / k)) / greatest(pow(10, -4.5e0), sqrt(list_sum(list_transform(m[1:k], lambda c: c * c)) / k)))) END AS db FROM mi)",
+    "bk AS (SELECT vec_id, list_transform(range(room // 4), lambda i: sqrt((pow(a[i * 4 + 1], 2) + pow(a[i * 4 + 2], 2) + pow(a[i * 4 + 3], 2) + pow(a[i * 4 + 4], 2)) / 4)) AS ra, list_transform(range(room // 4), lambda i: sqrt((pow(b[i * 4 + 1], 2) + pow(b[i * 4 + 2], 2) + pow(b[i * 4 + 3], 2) + pow(b[i * 4 + 4], 2)) / 4)) AS rb FROM ok)",
+    "en AS (SELECT vec_id, CASE WHEN len(ra) < 2 THEN [] ELSE list_transform(range(len(ra)), lambda i: CASE WHEN i = 0 THEN 0e0 ELSE greatest(0e0, ra[i + 1] - ra[i]) END) END AS p, CASE WHEN len(rb) < 2 THEN [] ELSE list_transform(range(len(rb)), lambda i: CASE WHEN i = 0 THEN 0e0 ELSE greatest(0e0, rb[i + 1] - rb[i]) END) END AS q FROM bk)",
+    "ce AS (SELECT vec_id, len(p) AS n, list_max(p) AS mp, list_max(q) AS mq, list_transform(p, lambda c: c - list_avg(p)) AS x, list_transform(q, lambda c: c - list_avg(q)) AS y FROM en)",
+    "lg AS (SELECT *, unnest([-2, -1, 0, 1, 2]) AS lag FROM ce WHERE n >= 3 AND mp > pow(10, -4.5e0) AND mq > pow(10, -4.5e0))",
+    "lp AS (SELECT vec_id, n, lag, x[greatest(-lag, 0) + 1 : greatest(-lag, 0) + n - abs(lag)] AS x, y[greatest(lag, 0) + 1 : greatest(lag, 0) + n - abs(lag)] AS y FROM lg WHERE abs(lag) <= (n - 1) // 2)",
+    "sc AS (SELECT vec_id, lag, CASE WHEN list_inner_product(x, x) > 0 AND list_inner_product(y, y) > 0 THEN list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))) ELSE 0e0 END AS score FROM lp)",
+    "be AS (SELECT vec_id, arg_min(lag, (-round(score, 9), abs(lag), lag)) AS lag, arg_min(score, (-round(score, 9), abs(lag), lag)) AS score FROM sc GROUP BY vec_id)", views=FR,
+    then="""SELECT re.vec_id AS attempt_id, re.vec_id AS track_a_id, re.vec_id + 1 AS track_b_id, CASE WHEN failure_reason IS NULL THEN 'RENDERED' ELSE 'FAILED' END AS status, failure_reason, CASE WHEN failure_reason IS NULL THEN CAST(re.room AS BIGINT) END AS fade_frames,
+  CASE WHEN score >= 0.1e0 THEN round(abs(lag) * 4 * 1000e0 / 44100, 6) END AS alignment_error_ms, round(CASE WHEN score >= 0.1e0 THEN greatest(-1e0, least(1e0, score)) ELSE score END, 6) AS alignment_correlation,
+  CASE WHEN ce.n < 3 THEN 'INSUFFICIENT_ONSETS' WHEN mp <= pow(10, -4.5e0) OR mq <= pow(10, -4.5e0) THEN 'SILENT_OR_CONSTANT_OVERLAP' WHEN score < 0.1e0 THEN 'WEAK_CORRELATION' END AS alignment_reason, round(db, 6) AS energy_discontinuity_db
+  FROM re LEFT JOIN ce USING (vec_id) LEFT JOIN be USING (vec_id) LEFT JOIN jd USING (vec_id)""",
+)

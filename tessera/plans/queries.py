@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import Retrieval, Settings
@@ -12,7 +12,7 @@ from tessera.functions import frames as A
 from tessera.functions import naming
 from tessera.functions.stats import sign_test
 from tessera.operators import beats as B
-from tessera.operators import catalog, evaluation, library, nearest, records, select
+from tessera.operators import blocks, catalog, evaluation, library, nearest, records, select
 from tessera.sources.fixtures import view
 from tessera.sources.scratch import shared_dir, stored
 from tessera.sources.versions import Store
@@ -528,3 +528,38 @@ def session_moves(spark, sf):
     version, refused = records.save_sessions(store, o.select("session_id", end.alias("status"), config("later")))
     kept = version.read("sessions").select("session_id", "status", "config_snapshot", F.lit(None).cast("string").alias("failure_reason"))
     return kept.unionByName(refused.select("session_id", F.col("to_status").alias("status"), F.lit(None).cast("string").alias("config_snapshot"), "failure_reason"))
+
+
+# --- blocks of samples ------------------------------------------------------
+
+
+def stems(spark, sf, size=16):
+    """Each vector four times over as a stem, in blocks."""
+    wide = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 4))
+    return stored(blocks.blocks(view(spark, sf, "frames").select(F.col("vec_id").alias("track_id"), wide.alias("samples")), size), "stems")
+
+
+@query
+def evaluation_run(spark, sf):
+    """A fade from each stem into the next, measured from the blocks that it touches; some begin too late, some were not planned."""
+    v = view(spark, sf, "frames").select("vec_id")
+    plans = v.select(F.col("vec_id").alias("attempt_id"), F.col("vec_id").alias("track_a_id"), (F.col("vec_id") + 1).alias("track_b_id"), (F.col("vec_id") * 7 % 270).alias("at_a"), (F.col("vec_id") % 90).alias("at_b"), F.lit(40).cast("bigint").alias("fade"), F.when(F.col("vec_id") % 11 == 0, "NO_PLAN").alias("failure_reason"))
+    out = blocks.measured(plans, stems(spark, sf), 44100, 4, 2, 16, 16)
+    return rounded(out, "alignment_error_ms", "alignment_correlation", "energy_discontinuity_db")
+
+
+@query
+def session_mix(spark, sf):
+    """Sessions of three stems, one from each vector on; the mix is summed up block by block."""
+    ids = view(spark, sf, "frames").select("vec_id")
+    step = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")
+    rows = ids.select(F.col("vec_id").alias("session_id"), step).withColumn("track_id", F.col("session_id") + F.col("k"))
+    rows = rows.join(ids.withColumnRenamed("vec_id", "track_id"), "track_id", "left_semi")
+    shift = 150 + F.col("session_id") % 50  # each stem enters at its sample 10, 160 to 209 samples after the one before
+    start = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.col("k") * shift + 10)
+    more = F.count("*").over(Window.partitionBy("session_id")) > F.col("k") + 1
+    stop = F.when(more, (F.col("k") + 1) * shift + 10 + 24).otherwise(F.col("k") * shift + 256)
+    line = rows.select("session_id", F.col("k").alias("step"), "track_id", (F.col("k") * shift).alias("offset"), start.alias("start"), stop.alias("stop"), F.when(F.col("k") > 0, 24).otherwise(0).alias("fade_in"), F.when(more, 24).otherwise(0).alias("fade_out"))
+    mix = blocks.protected(blocks.mixed(line, stems(spark, sf), 16))
+    out = mix.groupBy("session_id").agg(F.sum(F.size("x")).cast("bigint").alias("frames"), F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("energy"), F.max(A.peak(F.col("x"))).alias("peak"), F.bool_or("clipped").alias("clipped"))
+    return rounded(out, "energy", "peak")
