@@ -32,6 +32,8 @@ shingle sets) fall together, and the smallest key names a component.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,6 +46,8 @@ SEED, SHINGLE, BITS = 42, 3, 2
 SMALL = 32
 #: Of ``similar``: words of a shingle, least similarity, groups of least hashes, hashes in a group, sets that a large bucket is compared with first.
 WIDTH, SIMILARITY, BANDS, ROWS, HUBS = 5, 0.8, 30, 5, 2
+#: Counters of shingles, by which the rare ones are known.
+COUNTERS = 1 << 20
 #: Generator polynomial of the binary Golay code, its length, its dimension.
 GENERATOR, LENGTH, DIMENSION = 0b101011100011, 23, 12
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -287,20 +291,57 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return map_batches(found.select("a", "b", "x", "y"), "a bigint, b bigint", make)
 
 
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """In how many sets a shingle is, counted by the low bits of its hash: ``COUNTERS`` numbers, however many sets there are."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for h in batch.column("hashes").to_pylist():
+                np.add.at(total, np.frombuffer(h, "<u8") % COUNTERS, 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
+
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in sets.select("hashes").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["at"]] = r["n"]
+    return counts
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
+    """sid and, in a row each, its rarest shingles and their places (from 0): two sets as similar as ``least`` have one of these in common, in any fixed order of shingles."""
+
+    def make():
+        def handle(batch: pa.RecordBatch):
+            for sid, h in zip(batch.column("sid").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                h = np.frombuffer(h, "<u8")
+                kept = h[np.lexsort((h, counts[h % COUNTERS]))[: len(h) - math.ceil(least * len(h) - 1e-9) + 1]]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(sid, pa.int64()), len(kept)), pa.array(kept.view(np.int64)), pa.array(range(len(kept)), pa.int64())], ["sid", "shingle", "place"])
+
+        return handle
+
+    return map_batches(sets, "sid bigint, shingle bigint, place bigint", make)
+
+
 def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """key and component_id (smallest key reachable over texts whose shingle sets have a Jaccard similarity of ``least`` or more) of every row.
 
     Words are those of the fingerprint; a text of fewer than ``width`` words has
     them as its one shingle, and texts without words are alike.
+
+    Of the sets of a large bucket that are still apart, only those are compared
+    that share one of their rarest shingles, as all do that are similar enough:
+    texts that have a template in common, but less than the similarity, don't meet.
     """
     rows = written(sketches(docs, key, width), "sketches")
     by_sid = rows.groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     keyed = by_sid.select("sid", "n", F.explode("bands").alias("band"))
     more = written(keyed.join(keyed.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band"), "bucketed")
 
-    def pairs(one: DataFrame, other: DataFrame) -> DataFrame:
+    def pairs(one: DataFrame, other: DataFrame, *more: str) -> DataFrame:
         """Sets of one bucket that differ, in sizes that allow the similarity."""
-        met = one.toDF(*[f"{c}_1" for c in one.columns]).join(other.toDF(*[f"{c}_2" for c in other.columns]), F.col("band_1") == F.col("band_2"))
+        same = [F.col(f"{c}_1") == F.col(f"{c}_2") for c in ("band", *more)]
+        met = one.toDF(*[f"{c}_1" for c in one.columns]).join(other.toDF(*[f"{c}_2" for c in other.columns]), same)
         return met.where(F.col("sid_1") != F.col("sid_2")).where(F.least("n_1", "n_2") >= F.greatest("n_1", "n_2") * F.lit(least) - F.lit(1e-9))
 
     def ends(met: DataFrame) -> DataFrame:
@@ -324,8 +365,14 @@ def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: flo
         rooted = written(rooted, "rooted")
         largest = rooted.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
         apart = rooted.join(largest, "band").where("root <> largest").drop("largest")
-        second = ends(pairs(apart, rooted).where("root_1 <> root_2")).distinct().join(first, ["a", "b"], "left_anti")
-        links = written(links.unionByName(verify(written(second, "pairs"))), "links")
+        sets = written(shingle_sets(docs, rows, rooted.select("sid").distinct(), key, width), "sets")
+        rare = written(prefixes(sets, frequencies(sets), least), "prefixes")
+        # of the first shingle that two sets share, neither has more after it than they can have in common
+        shared = F.ceil((F.col("n_1") + F.col("n_2")) * F.lit(least / (1 + least)) - F.lit(1e-6))
+        reach = (F.col("n_1") - F.col("place_1") >= shared) & (F.col("n_2") - F.col("place_2") >= shared)
+        met = pairs(apart.join(rare, "sid"), rooted.join(rare, "sid"), "shingle").where((F.col("root_1") != F.col("root_2")) & reach)
+        second = ends(met).distinct().join(first, ["a", "b"], "left_anti")
+        links = written(links.unionByName(verified(written(second, "pairs"), sets, least)), "links")
     linked = written(components(links), "components")
     by_set = rows.groupBy("sid").agg(F.min(key).alias("own")).join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "own", F.coalesce("root", "sid").alias("root"))
     ids = by_set.groupBy("root").agg(F.min("own").alias("component_id"))
