@@ -25,7 +25,9 @@ and of these only those whose K-gram is an anchor twice (a class).
 4. A run marks its hit windows and cuts the bytes that they cover.
 
 The decisions of 2 rest on the bytes themselves; those of 3 on digests that
-two unlike windows share with a chance of 2^-128.
+two unlike windows of ordinary text share with next to no chance, but windows built
+for it (two letters in Thue-Morse order) can, as both halves are polynomials
+modulo 2^64 with one multiplier.
 
 All exchanged blocks are smaller than what they were made from, a key adds at
 most one entry for each run to a part, and the text is shuffled once.
