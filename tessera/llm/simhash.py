@@ -340,7 +340,7 @@ def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: flo
 
     def pairs(one: DataFrame, other: DataFrame, *more: str) -> DataFrame:
         """Sets of one bucket that differ, in sizes that allow the similarity."""
-        same = [F.col(f"{c}_1") == F.col(f"{c}_2") for c in ("band", *more)]
+        same = [F.col(f"{c}_1") == F.col(f"{c}_2") for c in more or ("band",)]
         met = one.toDF(*[f"{c}_1" for c in one.columns]).join(other.toDF(*[f"{c}_2" for c in other.columns]), same)
         return met.where(F.col("sid_1") != F.col("sid_2")).where(F.least("n_1", "n_2") >= F.greatest("n_1", "n_2") * F.lit(least) - F.lit(1e-9))
 
@@ -370,7 +370,9 @@ def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: flo
         # of the first shingle that two sets share, neither has more after it than they can have in common
         shared = F.ceil((F.col("n_1") + F.col("n_2")) * F.lit(least / (1 + least)) - F.lit(1e-6))
         reach = (F.col("n_1") - F.col("place_1") >= shared) & (F.col("n_2") - F.col("place_2") >= shared)
-        met = pairs(apart.join(rare, "sid"), rooted.join(rare, "sid"), "shingle").where((F.col("root_1") != F.col("root_2")) & reach)
+        # a set once, in however many large buckets it is
+        once = lambda df: df.select("sid", "n", "root").distinct().join(rare, "sid")
+        met = pairs(once(apart), once(rooted), "shingle").where((F.col("root_1") != F.col("root_2")) & reach)
         second = ends(met).distinct().join(first, ["a", "b"], "left_anti")
         links = written(links.unionByName(verified(written(second, "pairs"), sets, least)), "links")
     linked = written(components(links), "components")
