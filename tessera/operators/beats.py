@@ -160,6 +160,46 @@ def suppressed(regions: DataFrame, cfg: Regions = Regions()) -> DataFrame:
     return packed.select("track_id", F.explode(kept).alias("r")).select("track_id", "r.start_beat", "r.score", *[f"r.{c}" for c in rest])
 
 
+def region_diagnosis(windows: DataFrame, cfg: Regions = Regions()) -> DataFrame:
+    """Why each window is, or is not, a region: one row a window.
+
+    Margins are what a gate leaves to spare; a negative one is the least
+    change of its setting by which the window would pass that gate.  ``failed``
+    names the gates that it does not pass (a statistic that is null passes
+    none).  ``outcome`` is KEPT, GATED, OVERLAPPED (``blocked_by`` is the
+    start of the best kept region in its way) or OVER_LIMIT (none is, but
+    the track has its ``max_regions``).  A track's kept regions are a few, joined by track.
+    """
+    margins = {
+        "tempo_margin": cfg.ibi_cv_max - F.col("ibi_cv"),
+        "in_tolerance_margin": F.col("in_tolerance_fraction") - cfg.in_tolerance_min,
+        "onset_margin": F.col("mean_onset") - cfg.onset_floor,
+    }
+    # the gates' own comparisons, so that no rounding of a margin decides
+    passes = {"TEMPO": F.col("ibi_cv") <= cfg.ibi_cv_max, "IN_TOLERANCE": F.col("in_tolerance_fraction") >= cfg.in_tolerance_min, "ONSET": F.col("mean_onset") >= cfg.onset_floor}
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in passes.items()]))
+    best = F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("k"), "start_beat", "end_beat")))
+    kept = suppressed(gated(windows.select("track_id", "start_beat", "end_beat", "ibi_cv", "in_tolerance_fraction", "mean_onset"), cfg), cfg).groupBy("track_id").agg(best.alias("__kept"))
+    in_the_way = F.filter("__kept", lambda k: (k["start_beat"] < F.col("end_beat")) & (F.col("start_beat") < k["end_beat"]))
+    rows = windows.withColumns(margins).withColumn("failed", failed).join(kept, "track_id", "left").withColumn("__way", F.try_element_at(in_the_way, F.lit(1))["start_beat"])
+    outcome = F.when(F.size("failed") > 0, "GATED").when(F.col("__way") == F.col("start_beat"), "KEPT").when(F.col("__way").isNotNull(), "OVERLAPPED").otherwise("OVER_LIMIT")
+    rows = rows.withColumn("outcome", outcome)
+    return rows.withColumn("blocked_by", F.when(F.col("outcome") == "OVERLAPPED", F.col("__way"))).drop("__kept", "__way")
+
+
+def gate_report(diagnosis: DataFrame) -> DataFrame:
+    """For each gate: windows that fail it, windows that fail it alone, and the median and largest change that would let those in."""
+    change = F.when(F.col("gate") == "TEMPO", -F.col("tempo_margin")).when(F.col("gate") == "IN_TOLERANCE", -F.col("in_tolerance_margin")).otherwise(-F.col("onset_margin"))
+    alone = F.size("failed") == 1
+    # a change has few values beside the windows: they are counted first, and no gate's windows are one group
+    each = diagnosis.select(F.explode("failed").alias("gate"), "failed", "tempo_margin", "in_tolerance_margin", "onset_margin").select("gate", alone.alias("alone"), F.round(change, 6).alias("change"))
+    counted = each.groupBy("gate", "alone", "change").agg(F.count("*").alias("n"))
+    return counted.groupBy("gate").agg(
+        F.sum("n").alias("n_failed"), F.coalesce(F.sum(F.when(F.col("alone"), F.col("n"))), F.lit(0)).alias("n_alone"),
+        F.percentile(F.when(F.col("alone"), F.col("change")), 0.5, F.col("n")).alias("median_change"), F.max(F.when(F.col("alone"), F.col("change"))).alias("largest_change"),
+    )
+
+
 def energy_at(time: Column, curve: Column, hz: float) -> Column:
     """Linear interpolation of a regular curve, held at its ends; 0 for an empty one."""
     n = F.size(curve)

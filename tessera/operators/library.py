@@ -42,6 +42,28 @@ def by_ids(tracks: DataFrame, ids: list[int]) -> DataFrame:
     return found
 
 
+def look_up(table: DataFrame, wanted: DataFrame, key: str = "track_id") -> tuple[DataFrame, DataFrame]:
+    """Rows of ``table`` (tracks, their analysis) whose ``key`` (track_id, audio_path, content_hash) is in ``wanted``, and the wanted keys without a row.
+
+    Null keys are found nowhere and are missing; a key that is wanted twice is found, or missing, once.
+    """
+    keys = wanted.select(key).distinct()
+    return table.join(keys, key, "left_semi"), keys.join(table.select(key), key, "left_anti")
+
+
+def required(found: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The rows of a look-up; an error that shows some of what is missing."""
+    rows, missing = found
+    if shown := [r[0] for r in missing.limit(20).collect()]:
+        raise ValueError(f"not found: {missing.columns[0]} {shown}")
+    return rows
+
+
+def labelled(rows: DataFrame, tracks: DataFrame, key: str = "track_id") -> DataFrame:
+    """``rows`` with title and artist of the track that ``key`` names, null where it names none."""
+    return rows.join(tracks.select(F.col("track_id").alias(key), "title", "artist"), key, "left")
+
+
 def status_counts(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("analysis_status").agg(F.count("*").alias("n"))
 

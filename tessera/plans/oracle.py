@@ -66,6 +66,7 @@ SEED = 20260915
 T, TR = ("tracks",), ("tracks", "region_windows")
 O = ORACLES
 O["candidates_current_version"] = sql(CUR, views=T, then="SELECT track_id, native_bpm, energy_scalar, analysis_confidence, duration_seconds FROM cur")
+O["labelled_library"] = sql(CUR, ENE, views=T, then="SELECT e.track_id, t.title, t.artist, e.native_bpm, round(e.energy, 6) AS energy, e.duration_seconds FROM ene e JOIN fx_tracks t ON t.track_id = e.track_id")
 O["analysis_queue_default"] = sql(views=T, then="SELECT track_id, analysis_status, analysis_version FROM fx_tracks WHERE analysis_status IN ('PENDING', 'PROCESSING') OR (analysis_status = 'COMPLETE' AND analysis_version IS DISTINCT FROM 4)")
 O["analysis_queue_reanalyze"] = sql(views=T, then="SELECT track_id, analysis_status FROM fx_tracks")
 O["status_counts"] = sql(views=T, then="SELECT analysis_status, count(*) AS n FROM fx_tracks GROUP BY analysis_status")
@@ -154,6 +155,52 @@ O["stable_windows"] = sql(
     then="SELECT a.track_id, a.start_beat, a.start_beat + 32 AS end_beat, round(t0, 6) AS start_time, round(t1, 6) AS end_time, round(sd / m, 6) AS ibi_cv, round(f, 6) AS in_tolerance_fraction, round(o, 10) AS mean_onset FROM a JOIN i ON i.track_id = a.track_id AND i.start_beat = a.start_beat WHERE least > 0",
 )
 O["stable_regions_nms"] = sql(REG, views=TR, then="SELECT track_id, r.s AS start_beat, r.e AS end_beat, round(r.score, 6) AS score FROM nms")
+_DIAG = (
+    REG, "k AS (SELECT track_id, r.s AS s, r.e AS e, round(r.score, 9) AS sc FROM nms)",
+    "wy AS (SELECT w.track_id, w.start_beat, arg_min(k.s, {'a': -k.sc, 'b': k.s}) AS s FROM fx_region_windows w JOIN k ON k.track_id = w.track_id AND k.s < w.end_beat AND w.start_beat < k.e GROUP BY w.track_id, w.start_beat)",
+    """dg AS (SELECT w.track_id, w.start_beat, 0.06e0 - ibi_cv AS tempo_margin, in_tolerance_fraction - 0.9e0 AS in_tolerance_margin, mean_onset - 0.35e0 AS onset_margin,
+  list_filter([CASE WHEN ibi_cv > 0.06e0 THEN 'TEMPO' END, CASE WHEN in_tolerance_fraction < 0.9e0 THEN 'IN_TOLERANCE' END, CASE WHEN mean_onset < 0.35e0 THEN 'ONSET' END], lambda x: x IS NOT NULL) AS failed, wy.s AS way
+  FROM fx_region_windows w LEFT JOIN wy ON wy.track_id = w.track_id AND wy.start_beat = w.start_beat)""",
+)
+O["region_diagnosis"] = sql(
+    *_DIAG, views=TR,
+    then="""SELECT track_id, start_beat, round(tempo_margin, 6) AS tempo_margin, round(in_tolerance_margin, 6) AS in_tolerance_margin, round(onset_margin, 6) AS onset_margin, coalesce(array_to_string(failed, ','), '') AS failed,
+  CASE WHEN len(failed) > 0 THEN 'GATED' WHEN way = start_beat THEN 'KEPT' WHEN way IS NOT NULL THEN 'OVERLAPPED' ELSE 'OVER_LIMIT' END AS outcome, CASE WHEN len(failed) = 0 AND way <> start_beat THEN way END AS blocked_by FROM dg""",
+)
+O["region_gate_report"] = sql(
+    *_DIAG, "ea AS (SELECT unnest(failed) AS gate, len(failed) = 1 AS alone, tempo_margin, in_tolerance_margin, onset_margin FROM dg)",
+    "ch AS (SELECT gate, alone, round(-CASE gate WHEN 'TEMPO' THEN tempo_margin WHEN 'IN_TOLERANCE' THEN in_tolerance_margin ELSE onset_margin END, 6) AS change FROM ea)", views=TR,
+    then="SELECT gate, count(*) AS n_failed, count(*) FILTER (alone) AS n_alone, round(median(change) FILTER (alone), 6) AS median_change, round(max(change) FILTER (alone), 6) AS largest_change FROM ch GROUP BY gate",
+)
+
+
+def _found(field: str, value: str, takes: tuple[str, ...]) -> str:
+    """A field's problem as text, or null."""
+    t = f"json_type({value})"
+    known = f"CASE {t} WHEN 'UBIGINT' THEN 'INTEGER' WHEN 'BIGINT' THEN 'INTEGER' WHEN 'DOUBLE' THEN 'NUMBER' WHEN 'VARCHAR' THEN 'STRING' ELSE {t} END"
+    return f"CASE WHEN {t} IS NULL THEN {field} || ':MISSING' WHEN {known} NOT IN ({', '.join(repr(x) for x in takes)}) THEN {field} || ':WRONG_TYPE:' || {known} END"
+
+
+_INT, _NUMBER = ("INTEGER",), ("INTEGER", "NUMBER")
+_field = lambda name, takes: "[" + _found(f"'{name}'", f"json_extract(j, '$.{name}')", takes) + "]"
+_each = lambda name, inner: f"flatten(list_transform(range(0, CAST(coalesce(json_array_length(j, '$.{name}'), 0) AS BIGINT)), lambda i: [{inner}]))"
+_REGIONS = ", ".join(_found(f"'stable_regions[' || i || '].{n}'", f"json_extract(j, '$.stable_regions[' || i || '].{n}')", _INT if n.endswith("beat") else _NUMBER) for n in ("start_beat", "end_beat", "start_time", "end_time", "score", "ibi_cv", "mean_energy"))
+_PARTS = [
+    _field("track_id", _INT), _field("audio_path", ("STRING",)), *[_field(n, _NUMBER) for n in ("native_bpm", "energy", "analysis_confidence")], _field("analysis_version", _INT), _field("duration_seconds", _NUMBER),
+    _field("stable_regions", ("ARRAY",)), _each("stable_regions", _REGIONS), _field("beat_times", ("ARRAY",)), _each("beat_times", _found("'beat_times[' || i || ']'", "json_extract(j, '$.beat_times[' || i || ']')", _NUMBER)), _field("beat_count", _INT),
+]
+_INTAKE = (
+    "js AS (SELECT record_id, CASE WHEN json_valid(record) THEN CAST(record AS JSON) END AS j FROM fx_records)",
+    f"jp AS (SELECT record_id, j, CASE WHEN j IS NULL THEN [':NOT_JSON'] ELSE list_filter(flatten([{', '.join(_PARTS)}]), lambda x: x IS NOT NULL) END AS p FROM js)",
+)
+O["candidate_intake"] = sql(
+    *_INTAKE, views=("records",),
+    then="SELECT record_id, CASE WHEN len(p) = 0 THEN CAST(j ->> '$.track_id' AS BIGINT) END AS track_id, CASE WHEN len(p) = 0 THEN CAST(j ->> '$.native_bpm' AS DOUBLE) END AS native_bpm, CASE WHEN len(p) = 0 THEN CAST(json_array_length(j, '$.beat_times') AS INT) END AS n_beats, coalesce(array_to_string(p, ';'), '') AS problems FROM jp",
+)
+O["intake_report"] = sql(
+    *_INTAKE, "ex AS (SELECT record_id, regexp_replace(unnest(p), '\\[[0-9]+\\]', '[]', 'g') AS t FROM jp WHERE len(p) > 0)", "gr AS (SELECT record_id, t, count(*) AS n FROM ex GROUP BY record_id, t)", views=("records",),
+    then="SELECT split_part(t, ':', 1) AS field, split_part(t, ':', 2) AS code, nullif(split_part(t, ':', 3), '') AS found, CAST(sum(n) AS BIGINT) AS n_problems, count(*) AS n_rows FROM gr GROUP BY t",
+)
 O["energy_at_beats"] = sql(
     ONS, "x AS (SELECT b.track_id, beat_index, v, greatest(0e0, least(CAST(len(v) - 1 AS DOUBLE), beat_time * 1.5e0)) AS x FROM fx_beats b JOIN ons ON ons.track_id = b.track_id)",
     "y AS (SELECT *, CAST(floor(x) AS INT) AS i FROM x)", views=BT,

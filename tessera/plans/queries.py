@@ -12,7 +12,7 @@ from tessera.functions import frames as A
 from tessera.functions import naming
 from tessera.functions.stats import sign_test
 from tessera.operators import beats as B
-from tessera.operators import blocks, catalog, evaluation, library, nearest, records, select
+from tessera.operators import blocks, catalog, evaluation, intake, library, nearest, records, select
 from tessera.sources.fixtures import view
 from tessera.sources.scratch import shared_dir, stored
 from tessera.sources.versions import Store
@@ -76,6 +76,13 @@ def candidates_current_version(spark, sf):
     return current(spark, sf).select("track_id", "native_bpm", "energy_scalar", "analysis_confidence", "duration_seconds")
 
 
+@query
+def labelled_library(spark, sf):
+    """What a session can choose from: current tracks with their names and their energy on the library's scale."""
+    named = library.labelled(energised(spark, sf), view(spark, sf, "tracks"))
+    return rounded(named.select("track_id", "title", "artist", "native_bpm", "energy", "duration_seconds"), "energy")
+
+
 @query
 def analysis_queue_default(spark, sf):
     return library.analysis_queue(view(spark, sf, "tracks"), order="track_id").select("track_id", "analysis_status", "analysis_version")
@@ -241,6 +248,31 @@ def stable_regions_nms(spark, sf):
     return rounded(kept.select("track_id", "start_beat", "end_beat", "score"), "score")
 
 
+@query
+def region_diagnosis(spark, sf):
+    """Every window with its gates' margins, what it fails and what stands in its way."""
+    d = B.region_diagnosis(view(spark, sf, "region_windows"), CFG.regions)
+    d = d.select("track_id", "start_beat", "tempo_margin", "in_tolerance_margin", "onset_margin", F.concat_ws(",", "failed").alias("failed"), "outcome", "blocked_by")
+    return rounded(d, "tempo_margin", "in_tolerance_margin", "onset_margin")
+
+
+@query
+def region_gate_report(spark, sf):
+    return rounded(B.gate_report(B.region_diagnosis(view(spark, sf, "region_windows"), CFG.regions)), "median_change", "largest_change")
+
+
+@query
+def candidate_intake(spark, sf):
+    """JSON records of all tracks, some of them with wrong types, missing fields or cut off: typed, or with their problems."""
+    text = F.array_join(F.transform("problems", lambda p: F.concat_ws(":", p["field"], p["code"], p["found"])), ";")
+    return intake.judged(view(spark, sf, "records")).select("record_id", "typed.track_id", "typed.native_bpm", F.when(F.col("typed").isNotNull(), F.size("typed.beat_times")).alias("n_beats"), text.alias("problems"))
+
+
+@query
+def intake_report(spark, sf):
+    return intake.problem_report(intake.parted(view(spark, sf, "records"))[1])
+
+
 @query
 def energy_at_beats(spark, sf):
     """A regular curve read between its points at each beat."""

@@ -45,6 +45,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("part",),
         """SELECT CAST(p_partkey AS BIGINT) AS track_id, CASE p_partkey % 6 WHEN 0 THEN CONCAT(p_brand, ' - ', p_name, ' (Official Video)') WHEN 1 THEN CONCAT('03 - ', p_brand, ' - ', p_name) WHEN 2 THEN REPLACE(p_name, ' ', '_')
  WHEN 3 THEN CONCAT(p_brand, ' - ', p_name, ' (Extended Mix) [HQ]') WHEN 4 THEN CONCAT(p_brand, ' - ', p_name, ' - Topic') ELSE '---' END AS stem FROM {part}""",
+    ),
+    "records": (
+        ("part",),
+        """SELECT CAST(p_partkey AS BIGINT) AS record_id, CONCAT('{{"track_id": ', CASE p_partkey % 11 WHEN 3 THEN 'true' WHEN 5 THEN '"7"' WHEN 7 THEN '7.0' ELSE CAST(p_partkey AS VARCHAR(20)) END,
+ ', "audio_path": ', CASE WHEN p_partkey % 13 = 4 THEN '17' ELSE CONCAT('"', p_name, '.wav"') END, CASE WHEN p_partkey % 19 = 6 THEN '' ELSE CONCAT(', "native_bpm": ', CAST(80 + p_size AS VARCHAR(20)), '.5') END,
+ ', "energy": ', CASE p_partkey % 23 WHEN 8 THEN 'false' WHEN 9 THEN 'null' ELSE '0.25' END, ', "analysis_confidence": 1, "analysis_version": 4, "duration_seconds": 180.5, "beat_count": 3, "mood": [],',
+ ' "beat_times": ', CASE p_partkey % 29 WHEN 10 THEN '[0, "x", 1e0, null]' WHEN 11 THEN '{{}}' WHEN 12 THEN '[]' ELSE '[0, 0.5, 1]' END,
+ ', "stable_regions": [', CASE WHEN p_partkey % 31 = 13 THEN '' ELSE CONCAT('{{"start_beat": 0, "end_beat": ', CASE WHEN p_partkey % 37 = 14 THEN '32.5' ELSE '32' END, ', "start_time": 0, "end_time": 15.5, "score": 0.75, ', CASE WHEN p_partkey % 41 = 15 THEN '' ELSE '"ibi_cv": 0.01, ' END, '"mean_energy": 0.5}}') END, ']',
+ CASE WHEN p_partkey % 43 = 16 THEN '' ELSE '}}' END) AS record FROM {part}""",
     ),
     "frames": (
         ("embeddings",),
