@@ -20,14 +20,12 @@ and of these only those whose K-gram is an anchor twice (a class).
    each d, anchors with both groups in common are counted.
 3. A class that comes from more than ``hot`` runs, or in as many anchors as
    fill a part, would be too much for one part.  Its windows are compared one
-   by one: as 128-bit digests, made distinct in the run, spread over all parts
-   by digest, and counted.
+   by one: as 128-bit BLAKE2b digests of their bytes, made distinct in the run,
+   spread over all parts by digest, and counted.
 4. A run marks its hit windows and cuts the bytes that they cover.
 
-The decisions of 2 rest on the bytes themselves; those of 3 on digests that
-two unlike windows of ordinary text share with next to no chance, but windows built
-for it (two letters in Thue-Morse order) can, as both halves are polynomials
-modulo 2^64 with one multiplier.
+The decisions of 2 rest on the bytes themselves, those of 3 on digests for which
+no two unlike texts with one digest can be made in practice (2^64 tries).
 
 All exchanged blocks are smaller than what they were made from, a key adds at
 most one entry for each run to a part, and the text is shuffled once.
@@ -59,7 +57,7 @@ RUN_BYTES, PART_BYTES, SPAN = 2 << 20, 12 << 20, 1 << 18
 HOT, HOT_ANCHORS = 512, 32
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_BYTES = np.random.default_rng(400).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+_BYTES = np.random.default_rng(400).integers(1, 1 << 63, 256, dtype=np.uint64)
 _NONE = np.uint64(_MASK)
 
 
@@ -72,11 +70,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def gram_hashes(data: np.ndarray, lengths: tuple[int, ...], kind: int = 0) -> list[np.ndarray]:
-    """Hashes, of one of two kinds, of all substrings of each length, by doubling; each result is as long as there are starts."""
+def gram_hashes(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of all substrings of each length, by doubling; each result is as long as there are starts."""
     found: list[np.ndarray | None] = [None] * len(lengths)
     done = [0] * len(lengths)
-    h, size = _BYTES[kind][data], 1
+    h, size = _BYTES[data], 1
     while size <= max(lengths):
         for i, n in enumerate(lengths):
             if n & size:
@@ -149,18 +147,16 @@ class Run:
         return after, [self.buffer[p:q][::-1] for p, q in zip(first.tolist(), at.tolist(), strict=True)]
 
     def window_digests(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of all windows of the groups, and their digests in two columns."""
+        """Starts of all windows of the groups, and their digests in two columns; a stretch of text is hashed once for all its copies."""
         p = np.repeat(self.first[groups], self.count[groups]) + _ramp(self.count[groups])
-        out, done = np.zeros((len(p), 2), np.uint64), 0
-        for s in range(0, self.n, SPAN):
-            stop = int(np.searchsorted(p, s + SPAN))
-            if stop > done:
-                a, b = int(p[done]), int(p[stop - 1])
-                for kind in (0, 1):
-                    (h,) = gram_hashes(self.data[a : b + self.length], (self.length,), kind)
-                    out[done:stop, kind] = h[p[done:stop] - a]
-                done = stop
-        return p, out
+        made: dict[bytes, bytes] = {}
+        rows = []
+        for first, count in zip(self.first[groups].tolist(), self.count[groups].tolist(), strict=True):
+            text = self.buffer[first : first + count - 1 + self.length]
+            if text not in made:
+                made[text] = b"".join(hashlib.blake2b(text[i : i + self.length], digest_size=16).digest() for i in range(count))
+            rows.append(made[text])
+        return p, np.frombuffer(b"".join(rows), "<u8").reshape(-1, 2)
 
 
 def _ramp(counts: np.ndarray) -> np.ndarray:

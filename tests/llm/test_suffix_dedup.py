@@ -186,3 +186,20 @@ def test_word_windows_equal_brute_force(spark, monkeypatch):
     for run in (2 << 20, 3000):
         monkeypatch.setattr(S, "RUN_BYTES", run)
         assert [r.text for r in sorted(S.cut_repeats(docs, 51).collect(), key=lambda r: r.doc_id)] == out
+
+
+def test_windows_built_to_share_a_polynomial_are_told_apart(spark):
+    """The Thue-Morse text of two letters and its complement share every polynomial hash modulo 2^64 with an odd multiplier."""
+    n = 2048
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    b = a.translate(str.maketrans("ab", "ba"))
+    first, second = (S.gram_hashes(np.frombuffer(x.encode(), np.uint8), (n,))[0].tolist() for x in (a, b))
+    assert first == second
+    run = S.Run([a.encode(), b.encode(), a.encode()], n)
+    at, digests = run.window_digests(np.arange(len(run.first)))
+    assert len(at) == 3 and len({tuple(x) for x in digests.tolist()}) == 2
+    # the same anchors in texts that differ at their ends make both classes repeated
+    texts = [a, a[:-1] + "c", "c" + a[1:], b, b[:-1] + "c", "c" + b[1:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (0, S.HOT):
+        assert {r.n_removed for r in S.remove_repeats(docs, length=n, hot=hot).collect()} == {0}
