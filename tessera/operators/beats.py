@@ -200,6 +200,19 @@ def gate_report(diagnosis: DataFrame) -> DataFrame:
     )
 
 
+def remapped(times: Column, ratio: Column) -> Column:
+    """Places on the stretched timeline, of one time; null for a ratio that is null or not positive."""
+    return F.when(ratio > 0, times / F.when(ratio > 0, ratio))
+
+
+def remapped_beats(beats: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Beats of the tracks in ``ratios`` (track_id, stretch_ratio), their ``beat_time`` on the stretched timeline; without a usable ratio it is null and ``failure_reason`` says so."""
+    ratio = F.col("stretch_ratio")
+    rows = beats.join(ratios.select("track_id", "stretch_ratio"), "track_id")
+    usable = F.coalesce((ratio > 0) & (ratio < float("inf")), F.lit(False))
+    return rows.withColumn("beat_time", F.when(usable, remapped(F.col("beat_time"), ratio))).withColumn("failure_reason", F.when(~usable, "STRETCH_OUT_OF_BOUNDS")).drop("stretch_ratio")
+
+
 def energy_at(time: Column, curve: Column, hz: float) -> Column:
     """Linear interpolation of a regular curve, held at its ends; 0 for an empty one."""
     n = F.size(curve)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.config import Settings
 from tessera.operators import beats as B
 from tessera.plans import analysis
+from tessera.sources import audio
 
 
 def click_track(bpm: float, seconds: float = 16.0, rate: int = 22050, phase: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +100,39 @@ def with_clicks(samples: np.ndarray, times: np.ndarray, rate: int, level: float
     return np.clip(out, -1, 1)
 
 
+def write_clicks(tracks: DataFrame, pcm: DataFrame, folder: str, rate: int) -> DataFrame:
+    """Writes each track's audio with ticks at its beats as a WAV file; gives track_id, file, ticks, failure_reason.
+
+    tracks: track_id, audio_path, beat_times.  pcm: track_id, mono ``samples`` at
+    ``rate``.  The files are written by the tasks when the result is read, so
+    ``folder`` is one that all executors share.  A file is there whole or not at
+    all and is never replaced: other content under its name is a failure (EXISTS),
+    the same content (of an attempt that was lost, or an equal row) is not.  Tracks
+    without audio or beats are failures too.  The track's id keeps names apart.
+    """
+    names = "track_id long, file string, ticks int, failure_reason string"
+
+    def write(batches):
+        import pandas as pd
+
+        to = Path(folder)
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                if r.samples is None or r.beat_times is None:
+                    out.append((r.track_id, None, None, "MISSING_AUDIO" if r.samples is None else "NO_BEATS"))
+                    continue
+                name = f"{r.track_id}-{Path(r.audio_path or '').stem}.beats.wav"
+                samples, times = np.asarray(r.samples, np.float32), np.asarray(r.beat_times, float)
+                data = audio.wav_bytes(with_clicks(samples, times, rate)[:, None], rate)
+                inside = int(((np.rint(times * rate) >= 0) & (np.rint(times * rate) < len(samples))).sum())
+                out.append((r.track_id, name, inside, None if audio.write_new(str(to / name), data) else "EXISTS"))
+            yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in names.split(", ")]).astype({"ticks": "Int32"})
+
+    rows = tracks.select("track_id", "audio_path", "beat_times").join(pcm.select("track_id", "samples"), "track_id", "left")
+    return rows.mapInPandas(write, names)
+
+
 def confidence_report(tracks: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Each analysed track's regularity, contrast and confidence against their floors, the least certain first."""
     a = settings.analysis

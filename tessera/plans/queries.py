@@ -490,8 +490,8 @@ def align_beat(spark, sf):
 
 @query
 def remap_beats(spark, sf):
-    t = view(spark, sf, "tracks").select("track_id", "native_bpm").where("native_bpm is not null")
-    return beat_rows(spark, sf).join(t, "track_id").select("track_id", "beat_index", r6(F.col("beat_time") / (124.0 / F.col("native_bpm"))).alias("t"))
+    t = view(spark, sf, "tracks").where("native_bpm is not null").select("track_id", (124.0 / F.col("native_bpm")).alias("stretch_ratio"))
+    return B.remapped_beats(beat_rows(spark, sf), t).select("track_id", "beat_index", r6("beat_time").alias("t"))
 
 
 # --- sessions ---------------------------------------------------------------

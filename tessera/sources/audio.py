@@ -12,6 +12,7 @@ import json
 import os
 import subprocess
 import tempfile
+import uuid
 import wave
 from collections.abc import Callable
 from pathlib import Path
@@ -253,6 +254,21 @@ def wav_bytes(audio: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
+def write_new(path: str, data: bytes) -> bool:
+    """Whole or not at all, and never over another file: false if the name is taken by other bytes."""
+    to = Path(path)
+    to.parent.mkdir(parents=True, exist_ok=True)
+    staged = to.with_name(f".{to.name}.{uuid.uuid4().hex}")
+    try:
+        staged.write_bytes(data)
+        os.link(staged, to)
+    except FileExistsError:
+        return to.read_bytes() == data
+    finally:
+        staged.unlink(missing_ok=True)
+    return True
+
+
 def write_file(path: str, data: bytes) -> None:
     """Whole or not at all: written beside its place, then moved there."""
     to = Path(path)

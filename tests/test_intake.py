@@ -120,3 +120,30 @@ def test_look_ups_and_labels(spark):
         library.required((found, missing))
     named = library.labelled(spark.createDataFrame([(1, 0), (2, 1), (9, 2)], "next_id long, place int"), tracks, "next_id")
     assert sorted((r.place, r.title, r.artist) for r in named.collect()) == [(0, "A", "X"), (1, "B", None), (2, None, None)]
+
+
+def test_remapped_beats(spark):
+    beats = spark.createDataFrame([(t, i, 0.5 * i) for t in (1, 2, 3, 4) for i in range(3)], "track_id long, beat_index int, beat_time double")
+    ratios = spark.createDataFrame([(1, 1.25), (2, 0.0), (3, None), (5, 1.0)], "track_id long, stretch_ratio double")
+    rows = {(r.track_id, r.beat_index): (r.beat_time, r.failure_reason) for r in B.remapped_beats(beats, ratios).collect()}
+    assert {k: v for k, v in rows.items() if k[0] == 1} == {(1, 0): (0.0, None), (1, 1): (0.4, None), (1, 2): (0.8, None)}
+    assert {v for k, v in rows.items() if k[0] != 1} == {(None, "STRETCH_OUT_OF_BOUNDS")} and {k[0] for k in rows} == {1, 2, 3}
+
+
+def test_clicks_are_written_once(spark, tmp_path):
+    import numpy as np
+
+    from tessera.plans import experiments
+    from tessera.sources import audio
+
+    rate, out = 8000, tmp_path / "clicks"
+    tracks = spark.createDataFrame([(1, "x/a.wav", [0.1, 0.5, 9.0]), (2, "y/a.wav", [0.2]), (3, "c.wav", None), (4, "d.wav", [0.1])], "track_id long, audio_path string, beat_times array<double>")
+    pcm = spark.createDataFrame([(i, [0.25] * rate) for i in (1, 2, 3)], "track_id long, samples array<float>")
+    found = {r.track_id: tuple(r)[1:] for r in experiments.write_clicks(tracks, pcm, str(out), rate).collect()}
+    assert found == {1: ("1-a.beats.wav", 2, None), 2: ("2-a.beats.wav", 1, None), 3: (None, None, "NO_BEATS"), 4: (None, None, "MISSING_AUDIO")}
+    assert sorted(p.name for p in out.iterdir()) == ["1-a.beats.wav", "2-a.beats.wav"]
+    expected = audio.wav_bytes(experiments.with_clicks(np.full(rate, 0.25), [0.1, 0.5, 9.0], rate)[:, None], rate)
+    assert (out / "1-a.beats.wav").read_bytes() == expected
+    (out / "2-a.beats.wav").write_bytes(b"mine")
+    again = {r.track_id: r.failure_reason for r in experiments.write_clicks(tracks, pcm, str(out), rate).collect()}
+    assert again[1] is None and again[2] == "EXISTS" and (out / "2-a.beats.wav").read_bytes() == b"mine"
