@@ -104,3 +104,27 @@ def rating_deltas(ratings: DataFrame, codebook: DataFrame) -> DataFrame:
     dims = ("smoothness", "rhythm", "energy")
     rows = rows.select(*[(sign * (F.col(f"{d}_X") - F.col(f"{d}_Y"))).cast("double").alias(f"{d}_D_minus_B") for d in dims])
     return distributions(rows, [], [f"{d}_D_minus_B" for d in dims])
+
+
+def united(*runs: DataFrame) -> DataFrame:
+    """Attempts of several runs (the ladder, the pairs) as one table; a column that a run has not got is null there."""
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out
+
+
+def summarize(attempts: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """One row for each strategy: attempts, successes, rates, failures_by_reason (a map of counts) and distributions (metric -> its figures).
+
+    A metric that ``attempts`` has no column for is missing in every attempt.
+    Failures without a reason count as UNSTATED.  Reasons are codes, so the map is
+    small; it is made of counts.  No attempts give no rows.
+    """
+    here = attempts.withColumns({m: F.lit(None).cast("double") for m in metrics if m not in attempts.columns}) if set(metrics) - set(attempts.columns) else attempts
+    entry = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
+    reasons = failure_reasons(here.withColumn("failure_reason", F.coalesce("failure_reason", F.lit("UNSTATED")))).groupBy("strategy").agg(entry("failure_reason", "n").alias("failures_by_reason"))
+    figures = F.struct("count", "missing", "min", "p50", "p95", "p99", "max").alias("figures")
+    spread = distributions(here, ["strategy"], metrics).groupBy("strategy").agg(entry("metric", figures).alias("distributions"))
+    out = attempts_summary(here).join(reasons, "strategy", "left").join(spread, "strategy", "left")
+    return out.withColumn("failures_by_reason", F.coalesce("failures_by_reason", F.create_map().cast("map<string,bigint>")))

@@ -226,6 +226,13 @@ O["metric_distributions"] = sql(
     then="""SELECT strategy, 'alignment_error_ms' AS metric, count(alignment_error_ms) AS count, count(*) - count(alignment_error_ms) AS missing, round(min(alignment_error_ms), 6) AS min, round(quantile_cont(alignment_error_ms, 0.5), 6) AS p50,
   round(quantile_cont(alignment_error_ms, 0.95), 6) AS p95, round(quantile_cont(alignment_error_ms, 0.99), 6) AS p99, round(max(alignment_error_ms), 6) AS max FROM fx_attempts GROUP BY strategy""",
 )
+O["strategy_report"] = sql(
+    "fr AS (SELECT strategy, string_agg(failure_reason || '=' || n, ',' ORDER BY failure_reason) AS failures FROM (SELECT strategy, failure_reason, count(*) AS n FROM fx_attempts WHERE status <> 'RENDERED' GROUP BY strategy, failure_reason) GROUP BY strategy)",
+    "al AS (SELECT strategy, count(*) AS attempts, count(*) FILTER (status = 'RENDERED') AS successes, count(alignment_error_ms) AS c, quantile_cont(alignment_error_ms, 0.5) AS p50, quantile_cont(alignment_error_ms, 0.95) AS p95, max(alignment_error_ms) AS mx FROM fx_attempts GROUP BY strategy)",
+    views=AT,
+    then="""SELECT al.strategy, attempts, successes, round(successes / attempts, 6) AS success_rate, round(1 - successes / attempts, 6) AS failure_rate, coalesce(failures, '') AS failures, c AS alignment_count, attempts - c AS alignment_missing,
+  round(p50, 6) AS alignment_p50, round(p95, 6) AS alignment_p95, round(mx, 6) AS alignment_max, attempts AS render_missing FROM al LEFT JOIN fr ON fr.strategy = al.strategy""",
+)
 VOT = """cb AS (SELECT DISTINCT pair_id, CASE WHEN CAST(regexp_extract(pair_id, '([0-9]+)', 1) AS INT) % 2 = 0 THEN 'D' ELSE 'B' END AS x FROM fx_ratings),
 vt AS (SELECT r.pair_id, listener_id, CASE WHEN preference = 'tie' THEN 0 WHEN (preference = 'X') = (x = 'D') THEN 1 ELSE -1 END AS v FROM fx_ratings r JOIN cb ON cb.pair_id = r.pair_id),
 pv AS (SELECT pair_id, CAST(sum(v) AS BIGINT) AS votes, count(DISTINCT listener_id) AS listeners FROM vt GROUP BY pair_id),

@@ -321,6 +321,17 @@ def metric_distributions(spark, sf):
     return rounded(evaluation.distributions(view(spark, sf, "attempts"), ["strategy"], ["alignment_error_ms"]), "min", "p50", "p95", "p99", "max")
 
 
+@query
+def strategy_report(spark, sf):
+    """The whole comparison in a row for each strategy; nothing here was rendered, so render times are all missing."""
+    r = evaluation.summarize(view(spark, sf, "attempts"))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("failures_by_reason")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    a = F.col("distributions")["alignment_error_ms"]
+    figures = [a[k].alias(f"alignment_{k}") for k in ("count", "missing", "p50", "p95", "max")]
+    r = r.select("strategy", "attempts", "successes", "success_rate", "failure_rate", text.alias("failures"), *figures, F.col("distributions")["render_seconds"]["missing"].alias("render_missing"))
+    return rounded(r, "success_rate", "failure_rate", "alignment_p50", "alignment_p95", "alignment_max")
+
+
 def codebook(spark, sf):
     ids = view(spark, sf, "ratings").select("pair_id").distinct()
     d = F.regexp_extract("pair_id", "([0-9]+)", 1).cast("int") % 2 == 0
