@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import frames as A
+from tessera.functions import kernels as K
 
 SIZE = 1 << 16
 
@@ -40,6 +41,41 @@ def lengths(stems: DataFrame) -> DataFrame:
     return stems.groupBy("track_id").agg(F.sum(F.size("x")).cast("bigint").alias("frames"))
 
 
+def stretched(stems: DataFrame, ratios: DataFrame, size: int = SIZE) -> DataFrame:
+    """Stems at another tempo (ratios: track_id, stretch_ratio; over 1 is shorter): track_id, block, x, in blocks of ``size``.
+
+    Each track's blocks pass in order through one stretcher that carries its state
+    over their borders: a task holds a few blocks, however long the track.  The
+    tracks are dealt by their id.  A track without a ratio over 0 has no result.
+    """
+
+    def run(batches):
+        track, one, rest, block = None, None, np.zeros(0), 0
+
+        def cut(last: bool):
+            nonlocal rest, block
+            while len(rest) >= size or (last and len(rest)):
+                yield pa.RecordBatch.from_arrays([pa.array([track], pa.int64()), pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rest[:size])], pa.int32()), pa.array(rest[:size], pa.float64()))], ["track_id", "block", "x"])
+                rest, block = rest[size:], block + 1
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (ident := batch.column(0)[i].as_py()) != track:
+                    if one is not None:
+                        rest = np.concatenate([rest, one.finish()])
+                        yield from cut(True)
+                    track, one, rest, block = ident, K.Stretcher(batch.column(2)[i].as_py()), np.zeros(0), 0
+                rest = np.concatenate([rest, one.feed(batch.column(1).slice(i, 1).flatten().to_numpy())])
+                yield from cut(False)
+        if one is not None:
+            rest = np.concatenate([rest, one.finish()])
+            yield from cut(True)
+
+    usable = ratios.where("stretch_ratio > 0 and stretch_ratio < double('infinity')").select("track_id", F.col("stretch_ratio").cast("double"))
+    rows = stems.join(usable, "track_id").repartition("track_id").sortWithinPartitions("track_id", "block")
+    return rows.select("track_id", "x", "stretch_ratio").mapInArrow(run, "track_id bigint, block bigint, x array<double>")
+
+
 def _touched(start: Column, stop: Column, size: int) -> Column:
     """Numbers of the blocks that [start, stop) touches; none if it is empty."""
     first, last = F.floor(start / size).cast("bigint"), F.floor((stop - 1) / size).cast("bigint")

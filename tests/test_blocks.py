@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import frames as A
+from tessera.functions import kernels as K
 from tessera.operators import blocks
 
 PCM = "track_id bigint, samples array<double>"
@@ -65,3 +66,47 @@ def test_timeline_and_transitions_of_chained_sessions(spark):
     line = sorted(map(tuple, blocks.session_timeline(chain).collect()))
     assert line == [(1, 1, 10, 0, 0, 300, 0, 20), (1, 2, 11, 250, 280, 600, 20, 0)]
     assert [tuple(r) for r in blocks.session_transitions(chain, 100).collect()] == [(1, 1, 10, 11, 2.8, 3.0)]
+
+
+def vocoder(y, ratio, size=2048):
+    """One frame after the other."""
+    hop, window = size // 4, np.hanning(size)
+    padded = np.pad(y, size // 2)
+    s = np.array([np.fft.rfft(padded[i * hop : i * hop + size] * window) for i in range(1 + len(y) // hop)])
+    times = [k * ratio for k in range(len(s) * 3) if k * ratio < len(s) - 1]
+    advance, phase = 2 * np.pi * hop * np.arange(size // 2 + 1) / size, np.angle(s[0])
+    out, norm = np.zeros(len(times) * hop + size), np.zeros(len(times) * hop + size)
+    for k, t in enumerate(times):
+        i, f = int(t), t - int(t)
+        out[k * hop : k * hop + size] += np.fft.irfft(((1 - f) * abs(s[i]) + f * abs(s[i + 1])) * np.exp(1j * phase), size) * window
+        norm[k * hop : k * hop + size] += window**2
+        turn = np.angle(s[i + 1]) - np.angle(s[i]) - advance
+        phase = phase + advance + turn - 2 * np.pi * np.round(turn / (2 * np.pi))
+    n = int(np.rint(len(y) / ratio))
+    return np.pad((out / np.maximum(norm, 1e-3))[size // 2 :], (0, n))[:n]
+
+
+@pytest.mark.parametrize("ratio", [0.9, 0.97, 1.0, 1.05, 1.37])
+@pytest.mark.parametrize("n", [0, 1, 700, 5000, 30000])
+def test_stretch_in_pieces_equals_the_whole(ratio, n):
+    y = np.random.default_rng(n).uniform(-0.9, 0.9, n)
+    want = y if ratio == 1 else vocoder(y, ratio)
+    for piece in (100, 513, 4096, 10**6):
+        one = K.Stretcher(ratio)
+        got = np.concatenate([*[one.feed(y[i : i + piece]) for i in range(0, n, piece)], one.finish()])
+        assert len(got) == int(np.rint(n / ratio)) and np.allclose(got, want, atol=1e-6)
+
+
+def test_blocks_are_stretched_across_their_borders(spark):
+    lengths = {1: 9000, 2: 40, 3: 5000, 4: 3000, 5: 3000, 6: 3000, 7: 0}
+    sounds = {i: stem(i, n) for i, n in lengths.items()}
+    pcm = spark.createDataFrame([*sounds.items(), (8, None)], PCM)
+    ratios = {1: 1.05, 2: 0.95, 3: 1.0, 4: 0.0, 5: -1.0, 6: float("nan"), 7: 1.1, 8: 1.1, 9: 1.1}
+    found = blocks.stretched(blocks.blocks(pcm, 1000), spark.createDataFrame([*ratios.items(), (None, 1.0)], "track_id bigint, stretch_ratio double"), 1000)
+    rows = sorted(found.collect())
+    assert {r.track_id for r in rows} == {1, 2, 3} and max(len(r.x) for r in rows) == 1000
+    for i in (1, 2, 3):
+        mine = [r for r in rows if r.track_id == i]
+        assert [r.block for r in mine] == list(range(len(mine))) and all(len(r.x) == 1000 for r in mine[:-1])
+        assert np.allclose([v for r in mine for v in r.x], sounds[i] if i == 3 else vocoder(np.array(sounds[i]), ratios[i]), atol=1e-6)
+    assert blocks.stretched(blocks.blocks(pcm, 1000).limit(0), found.selectExpr("track_id", "1.0D as stretch_ratio").limit(0)).count() == 0
