@@ -368,3 +368,7 @@ O["evaluation_run"] = sql(
   CASE WHEN ce.n < 3 THEN 'INSUFFICIENT_ONSETS' WHEN mp <= pow(10, -4.5e0) OR mq <= pow(10, -4.5e0) THEN 'SILENT_OR_CONSTANT_OVERLAP' WHEN score < 0.1e0 THEN 'WEAK_CORRELATION' END AS alignment_reason, round(db, 6) AS energy_discontinuity_db
   FROM re LEFT JOIN ce USING (vec_id) LEFT JOIN be USING (vec_id) LEFT JOIN jd USING (vec_id)""",
 )
+O["stretched_blocks"] = sql(
+    "le AS (SELECT vec_id AS track_id, CAST(round_even(40 * len(embedding) / (0.9e0 + vec_id % 21 / 100e0), 0) AS BIGINT) AS frames FROM fx_frames)", views=FR,
+    then="SELECT track_id, frames, CAST(ceil(frames / 600) AS BIGINT) AS blocks, CAST(ceil(frames / 600) AS BIGINT) - 1 AS last_block, least(frames, 600) AS largest FROM le WHERE frames > 0",
+)

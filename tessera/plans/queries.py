@@ -606,3 +606,14 @@ def session_mix(spark, sf):
     mix = blocks.protected(blocks.mixed(line, stems(spark, sf), 16))
     out = mix.groupBy("session_id").agg(F.sum(F.size("x")).cast("bigint").alias("frames"), F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("energy"), F.max(A.peak(F.col("x"))).alias("peak"), F.bool_or("clipped").alias("clipped"))
     return rounded(out, "energy", "peak")
+
+
+@query
+def stretched_blocks(spark, sf):
+    """Each vector 40 times over as a stem in blocks, stretched by a ratio of its own: lengths and blocks of the results."""
+    wide = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 40))
+    v = view(spark, sf, "frames").select(F.col("vec_id").alias("track_id"), wide.alias("samples"))
+    ratios = v.select("track_id", (F.lit(0.9) + F.col("track_id") % 21 / F.lit(100.0)).alias("stretch_ratio"))
+    out = blocks.stretched(blocks.blocks(v, 500), ratios, 600)
+    n = F.size("x").cast("bigint")
+    return out.groupBy("track_id").agg(F.sum(n).alias("frames"), F.count("*").alias("blocks"), F.max("block").alias("last_block"), F.max(n).alias("largest"))
