@@ -63,7 +63,8 @@ def moved(sessions: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     old = sessions.select("session_id", F.col("status").alias("__from"))
     several = asked.groupBy("session_id").agg((F.count("*") > 1).alias("__several"))
-    rows = asked.join(several, "session_id", "left").join(old, "session_id", "left")
+    # neither is broadcast: small files may hold millions of sessions
+    rows = asked.join(several.hint("merge"), "session_id", "left").join(old.hint("merge"), "session_id", "left")
     legal = F.lit(False)
     for start, ends in MOVES.items():
         legal = legal | (F.col("__from").eqNullSafe(F.lit(start)) & F.coalesce(F.col("status").isin(*ends), F.lit(False)))

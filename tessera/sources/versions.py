@@ -33,6 +33,11 @@ from tessera.sources.scratch import stored
 GROUP = "__group"
 
 
+def listed(rows: DataFrame, key: str) -> DataFrame:
+    """The keys of a table as the side of a join that is never broadcast: files of a few MB, of a wide table above all, may hold millions of them."""
+    return rows.select(key).hint("merge")
+
+
 class Conflict(RuntimeError):
     """Another writer has committed since the version that a change was staged against."""
 
@@ -162,7 +167,7 @@ class Change:
             return self.replace(table, df, key)
         rows = self._checked(df, key)
         now = Version(self.store, self.base.number, self.tables)
-        held = now.find(table, rows).limit(1).collect()
+        held = now.read(table, self.store.groups_of(rows, key)).join(listed(rows, key), key, "left_semi").limit(1).collect()
         if held:
             raise ValueError(f"{table} has {key} {held[0][key]!r} already")
         parts = {g: list(p) for g, p in self.tables[table]["parts"].items()}
@@ -183,7 +188,7 @@ class Change:
         groups = self.store.groups_of(rows, key)
         old = Version(self.store, self.base.number, self.tables).read(table, groups)
         if not insert:
-            lost = rows.join(old.select(key), key, "left_anti").limit(1).collect()
+            lost = rows.join(listed(old, key), key, "left_anti").limit(1).collect()
             if lost:
                 raise ValueError(f"{table} has no {key} {lost[0][key]!r}")
         merged = upsert(old, rows, key, {c: F.col(f"o.{c}") for c in on_insert if c in df.columns})

@@ -121,3 +121,16 @@ def test_sessions_move_through_their_states(spark, store):
     assert pairs(v.read("sessions"), "session_id", "status", "payload", "config_snapshot") == [("s1", "READY", "done", "first"), ("s3", "RENDERING", "p", "c")]
     v, refused = records.save_sessions(store, asked(("s1", "RENDERING", "again", "third")))
     assert refused.count() == 1 and pairs(records.session(v, asked(("s1", "", "", ""))), "status") == [("READY",)]
+
+
+def test_keys_of_a_wide_table_are_not_broadcast(spark, store):
+    """A wide, mostly empty table has small files: by their size alone its keys would go through the driver."""
+    executions = spark._jsparkSession.sharedState().statusStore()
+    before = executions.executionsCount()
+    ids = spark.range(2000).select(F.col("id").cast("string").alias("transition_id"), F.lit("RENDERED").alias("status"))
+    records.save_transitions(store.change(), ids.where("transition_id < '5'")).commit()
+    records.save_transitions(store.change(), ids.where("transition_id >= '5'")).commit()
+    version = records.attach_metrics(store.change(), ids.select("transition_id", F.lit("D").alias("strategy"))).commit()
+    assert records.transitions(version).where("strategy = 'D'").count() == 2000
+    after = [executions.executionsList().apply(i) for i in range(before, executions.executionsCount())]
+    assert after and not any("BroadcastExchange" in e.physicalPlanDescription() for e in after)
