@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Settings
 from tessera.functions import frames as A
+from tessera.operators import nearest
 from tessera.operators.select import in_window, select_next
 from tessera.sources.scratch import checkpointed
 
@@ -42,6 +43,9 @@ def chain(library: DataFrame, regions: DataFrame, tracks: DataFrame, cfg: Settin
     steps = [state]
     rules = replace(cfg, retrieval=replace(cfg.retrieval, require_region=True, allow_repeats=False))
     outgoing_regions = in_window(regions, library, cfg.transition.outgoing)
+    # the candidates are the same at every step
+    pool = library.join(regions.select("track_id").distinct(), "track_id", "left_semi")
+    grids = nearest.prepared(pool, in_window(regions, library, cfg.transition.incoming).select("track_id").distinct(), length + 2, cfg.ranking, cfg.tempo)
     played = state.select("seed_id", "track_id")
     for step in range(2, length + 1):
         ratio = F.col("session_bpm") / F.col("native_bpm")
@@ -52,7 +56,7 @@ def chain(library: DataFrame, regions: DataFrame, tracks: DataFrame, cfg: Settin
         free = now.join(outgoing_regions.drop("duration_seconds"), "track_id").withColumn("exit", at).where((F.col("exit") >= F.col("earliest")) & (F.col("exit") + F.col("fade") <= F.col("mixed")))
         outgoing = free.select(F.col("seed_id").alias("track_id"), "start_beat", "end_beat", "score", "mean_energy", "deviation")
         asking = now.select("seed_id", "session_bpm", F.col("energy").alias("seed_energy"))
-        plan = select_next(asking, library, regions, rules, played, outgoing).select("seed_id", F.col("track_id").alias("next_id"), "out_start_beat", "out_end_beat", "in_start_beat", "in_end_beat")
+        plan = select_next(asking, library, regions, rules, played, outgoing, ranks=False, grids=grids).select("seed_id", F.col("track_id").alias("next_id"), "out_start_beat", "out_end_beat", "in_start_beat", "in_end_beat")
         nxt = facts.select(F.col("track_id").alias("next_id"), F.col("native_bpm").alias("next_bpm"), F.col("energy").alias("next_energy"), F.col("duration_seconds").alias("next_seconds"))
         found = now.join(plan, "seed_id").join(nxt, "next_id")
         next_ratio = F.col("session_bpm") / F.col("next_bpm")
