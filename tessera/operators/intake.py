@@ -79,7 +79,8 @@ def judged(rows: DataFrame, want: dict | None = None, source: str = "record") ->
         raise ValueError(f"columns {sorted(clash)} are taken")
     parsed = F.try_parse_json(F.col(f"`{source}`"))
     both = let(parsed, lambda v: F.struct(v.alias("v"), F.when(v.isNull(), _one(F.lit(""), "NOT_JSON")).otherwise(_problems(v, want, F.lit(""))).alias("p")))
-    found = rows.withColumn("problems", both)
+    # a generator of one row: what is parsed and judged here is not done again by a filter above
+    found = rows.select("*", F.explode(F.array(both)).alias("problems"))
     typed = F.when(F.size("problems.p") == 0, F.try_variant_get("problems.v", "$", sql_type(want)))
     return found.withColumn("typed", typed).withColumn("problems", F.col("problems.p"))
 
@@ -97,6 +98,6 @@ def parted(rows: DataFrame, want: dict | None = None, source: str = "record") ->
 
 def problem_report(quarantine: DataFrame) -> DataFrame:
     """field, code, found and how many problems and rows, list places left out of the field's path."""
-    each = quarantine.select(F.monotonically_increasing_id().alias("__r"), F.explode("problems").alias("p"))
-    counted = each.groupBy("__r", F.regexp_replace("p.field", r"\[\d+\]", "[]").alias("field"), F.col("p.code").alias("code"), F.col("p.found").alias("found")).agg(F.count("*").alias("n"))
-    return counted.groupBy("field", "code", "found").agg(F.sum("n").alias("n_problems"), F.count("*").alias("n_rows"))
+    keys = F.transform("problems", lambda p: F.struct(F.regexp_replace(p["field"], r"\[\d+\]", "[]").alias("field"), p["code"].alias("code"), p["found"].alias("found")))
+    each = quarantine.select(F.explode(let(keys, lambda k: F.transform(k, lambda x, i: F.struct(x.alias("k"), (F.array_position(k, x) == i + 1).cast("bigint").alias("first"))))).alias("p"))
+    return each.groupBy("p.k.field", "p.k.code", "p.k.found").agg(F.count("*").alias("n_problems"), F.sum("p.first").alias("n_rows"))
