@@ -17,14 +17,18 @@ words within one bit of it, and fingerprints that meet at such a word are at
 most two bits apart: the same links up to reachability, linear in the bucket,
 and no group has more than 65 rows.
 
-Near copies by Jaccard similarity (``similar``) are too far apart for such
-keys: at 0.8 the 64 bits differ in up to about eleven.  Candidates there share
-one of BANDS groups of ROWS least hashes (a pair at 0.8 is missed with a chance
-of 7e-6, a closer one with less), and each is verified on the shingles.  A
-bucket of up to SMALL shingle sets is compared pair by pair; in a larger one
-all are compared with HUBS of them (the same ones in all buckets that they are
-in, so that a pair is met once), and then what is not in the bucket's
-largest component with all that are not in its own component.
+Near copies by Jaccard similarity (``similar``) are further apart: at 0.8 a bit
+of the fingerprint differs with a chance of 0.15, so a segment is never sure to
+be equal as a whole, but two segments of 23 bits share a Golay key with one of
+0.60.  There a fingerprint has WORDS segments of 23 bits, and in place of an equal
+segment stands an equal group of ROWS least hashes, of which there are BANDS:
+candidates join on (group, codeword index of the group's segment), and each is
+verified on the shingles.  A pair at 0.8 is missed with a chance of 6e-6, a
+closer one with less.  A group of up to SMALL shingle sets is met by these keys;
+in a larger one all are compared with HUBS of them (the same ones in all groups
+that they are in, so that a pair is met once), and then what is not in the
+group's largest component with all that are not in its own component, whatever
+their keys.
 
 Very long texts are hashed whole, in spans; ties (equal fingerprints, equal
 shingle sets) fall together, and the smallest key names a component.
@@ -44,8 +48,8 @@ from tessera.llm.common import ODD, map_batches, mixed, packed, raw_texts, retur
 
 SEED, SHINGLE, BITS = 42, 3, 2
 SMALL = 32
-#: Of ``similar``: words of a shingle, least similarity, groups of least hashes, hashes in a group, sets that a large bucket is compared with first.
-WIDTH, SIMILARITY, BANDS, ROWS, HUBS = 5, 0.8, 30, 5, 2
+#: Of ``similar``: words of a shingle, least similarity, groups of least hashes, hashes in a group, segments of a fingerprint, sets that a large bucket is compared with first.
+WIDTH, SIMILARITY, BANDS, ROWS, WORDS, HUBS = 5, 0.8, 48, 4, 24, 2
 #: Counters of shingles, by which the rare ones are known.
 COUNTERS = 1 << 20
 #: Generator polynomial of the binary Golay code, its length, its dimension.
@@ -148,6 +152,27 @@ def golay_keys(distinct: DataFrame) -> DataFrame:
     return map_batches(distinct.select("fp"), "fp bigint, key bigint", make)
 
 
+def coded(rows: DataFrame) -> DataFrame:
+    """``rows`` (sid, n, band, word), each once for every Golay key of its word, ``code`` in place of the word."""
+
+    def make():
+        golay = Golay()
+
+        def handle(batch: pa.RecordBatch):
+            for at in range(0, batch.num_rows, 1 << 13):
+                part = batch.slice(at, 1 << 13)
+                keys = golay.keys(part.column("word").to_numpy())
+                keys.sort(axis=1)
+                first = np.ones(keys.shape, bool)
+                first[:, 1:] = keys[:, 1:] != keys[:, :-1]
+                taken = part.select(["sid", "n", "band"]).take(pa.array(np.repeat(np.arange(part.num_rows), first.sum(1))))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(keys[first].astype(np.int32))], ["sid", "n", "band", "code"])
+
+        return handle
+
+    return map_batches(rows.select("sid", "n", "band", "word"), "sid bigint, n bigint, band bigint, code int", make)
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Verified links a < b between fingerprints, enough of them that what is reachable over all links is over these."""
     keyed = golay_keys(distinct)
@@ -224,8 +249,21 @@ def bands(h: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64)
 
 
+_MIXES = np.random.default_rng(LENGTH).integers(1, 1 << 63, (2, WORDS // 2, 1), dtype=np.uint64)
+
+
+def segments(h: np.ndarray) -> np.ndarray:
+    """Words of LENGTH bits of the fingerprint of a set of hashes: a bit is set in over half of what it has of the hashes, mixed anew for every two words."""
+    total = np.zeros((WORDS // 2, 64), np.int64)
+    for i in range(0, len(h), 512):
+        m = mixed((h[None, i : i + 512] ^ _MIXES[0]) * (_MIXES[1] | np.uint64(1)))
+        total += np.unpackbits(m.view(np.uint8).reshape(*m.shape, 8), axis=2).sum(axis=1, dtype=np.uint16)
+    bits = (2 * total > len(h))[:, : 2 * LENGTH].reshape(WORDS, LENGTH)
+    return (bits @ (1 << np.arange(LENGTH))).astype(np.int32)
+
+
 def sketches(docs: DataFrame, key: str, width: int) -> DataFrame:
-    """key, and of the row's shingle set: sid (a hash of it), n (its size), bands (none for the empty set)."""
+    """key, and of the row's shingle set: sid (a hash of it), n (its size), bands and words of its fingerprint (none for the empty set)."""
     small = docs.select(F.col(key), F.col("text"))
 
     def make():
@@ -233,11 +271,12 @@ def sketches(docs: DataFrame, key: str, width: int) -> DataFrame:
             sets = [shingle_set(t, width) for t in raw_texts(batch.column("text"))]
             sid = pa.array(np.array([set_id(h) for h in sets], np.uint64).view(np.int64))
             keys = pa.array([bands(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(key), sid, pa.array([len(h) for h in sets], pa.int64()), keys], [key, "sid", "n", "bands"])
+            words = pa.array([segments(h) if len(h) else np.zeros(0, np.int32) for h in sets], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), sid, pa.array([len(h) for h in sets], pa.int64()), keys, words], [key, "sid", "n", "bands", "words"])
 
         return handle
 
-    return map_batches(small, returned(small, [key], "sid bigint, n bigint, bands array<bigint>"), make)
+    return map_batches(small, returned(small, [key], "sid bigint, n bigint, bands array<bigint>, words array<int>"), make)
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -329,13 +368,14 @@ def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: flo
     Words are those of the fingerprint; a text of fewer than ``width`` words has
     them as its one shingle, and texts without words are alike.
 
-    Of the sets of a large bucket that are still apart, only those are compared
+    Of the sets of a large group that are still apart, only those are compared
     that share one of their rarest shingles, as all do that are similar enough:
     texts that have a template in common, but less than the similarity, don't meet.
     """
     rows = written(sketches(docs, key, width), "sketches")
-    by_sid = rows.groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    keyed = by_sid.select("sid", "n", F.explode("bands").alias("band"))
+    by_sid = rows.groupBy("sid").agg(*[F.any_value(c).alias(c) for c in ("n", "bands", "words")])
+    keyed = by_sid.select("sid", "n", "words", F.posexplode("bands").alias("place", "band"))
+    keyed = keyed.select("sid", "n", "band", F.get("words", (F.col("place") * WORDS / BANDS).cast("int")).alias("word"))
     more = written(keyed.join(keyed.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band"), "bucketed")
 
     def pairs(one: DataFrame, other: DataFrame, *more: str) -> DataFrame:
@@ -351,12 +391,12 @@ def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: flo
         sids = found.select(F.col("a").alias("sid")).union(found.select("b")).distinct()
         return verified(found, written(shingle_sets(docs, rows, sids, key, width), "sets"), least)
 
-    few, many = more.where(F.col("m") <= SMALL).drop("m"), more.where(F.col("m") > SMALL).drop("m")
+    few, many = coded(more.where(F.col("m") <= SMALL)), more.where(F.col("m") > SMALL).drop("m", "word")
     own = F.struct("sid", "n")
     hubs = many.groupBy("band").agg(F.array_distinct(F.array(*[F.min_by(own, F.xxhash64("sid", F.lit(i))) for i in range(HUBS)])).alias("hubs"))
     hubs = hubs.select("band", F.explode("hubs").alias("hub")).select("band", "hub.sid", "hub.n")
-    # in a small bucket each pair once
-    first = ends(pairs(few, few).where("sid_1 < sid_2")).unionByName(ends(pairs(many, hubs))).distinct()
+    # in a small bucket each pair that shares a Golay key
+    first = ends(pairs(few, few, "band", "code").where("sid_1 < sid_2")).unionByName(ends(pairs(many, hubs))).distinct()
     first = written(first, "pairs")
     links = written(verify(first), "links")
     if not many.isEmpty():
