@@ -27,8 +27,9 @@ verified on the shingles.  A pair at 0.8 is missed with a chance of 6e-6, a
 closer one with less.  A group of up to SMALL shingle sets is met by these keys;
 in a larger one all are compared with HUBS of them (the same ones in all groups
 that they are in, so that a pair is met once), and then what is not in the
-group's largest component with all that are not in its own component, whatever
-their keys.
+group's largest component with all that are not in its own component and may be
+similar by rare shingles, places and bitmaps (none of which loses a pair),
+whatever their keys.
 
 Very long texts are hashed whole, in spans; ties (equal fingerprints, equal
 shingle sets) fall together, and the smallest key names a component.
@@ -37,11 +38,12 @@ shingle sets) fall together, and the smallest key names a component.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ODD, map_batches, mixed, packed, raw_texts, returned, unpacked, word_hashes, written
@@ -52,6 +54,9 @@ SMALL = 32
 WIDTH, SIMILARITY, BANDS, ROWS, WORDS, HUBS = 5, 0.8, 48, 4, 24, 2
 #: Counters of shingles, by which the rare ones are known.
 COUNTERS = 1 << 20
+#: Longs of a shingle set's bitmap, and the columns that they are in.
+LONGS = 8
+BITMAP = [f"bits{i}" for i in range(LONGS)]
 #: Generator polynomial of the binary Golay code, its length, its dimension.
 GENERATOR, LENGTH, DIMENSION = 0b101011100011, 23, 12
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -347,19 +352,33 @@ def frequencies(sets: DataFrame) -> np.ndarray:
     return counts
 
 
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """LONGS longs, whose bits are the parities of how many of the hashes fall on each: two sets differ in as many hashes as their bitmaps do in bits, or more."""
+    odd = np.bincount((h >> np.uint64(32)).astype(np.int64) % (64 * LONGS), minlength=64 * LONGS) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefixes(sets: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
-    """sid and, in a row each, its rarest shingles and their places (from 0): two sets as similar as ``least`` have one of these in common, in any fixed order of shingles."""
+    """Rarest shingles of each set (sid, hashes, root, apart) and their places (from 0), a row each, with what is known of the set, its size n and its bitmap: two sets as similar as ``least`` have one of these shingles in common, in any fixed order of shingles."""
 
     def make():
         def handle(batch: pa.RecordBatch):
-            for sid, h in zip(batch.column("sid").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+            kept, maps = [], []
+            for h in batch.column("hashes").to_pylist():
                 h = np.frombuffer(h, "<u8")
-                kept = h[np.lexsort((h, counts[h % COUNTERS]))[: len(h) - math.ceil(least * len(h) - 1e-9) + 1]]
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(sid, pa.int64()), len(kept)), pa.array(kept.view(np.int64)), pa.array(range(len(kept)), pa.int64())], ["sid", "shingle", "place"])
+                kept.append(h[np.lexsort((h, counts[h % COUNTERS]))[: len(h) - math.ceil(least * len(h) - 1e-9) + 1]].view(np.int64))
+                maps.append([len(h), *bitmap(h)])
+            if not kept:
+                return
+            times = [len(k) for k in kept]
+            own = batch.select(["sid", "root", "apart"]).take(pa.array(np.repeat(np.arange(len(kept)), times)))
+            more = np.repeat(np.array(maps, np.int64), times, axis=0)
+            places = np.concatenate([np.arange(t, dtype=np.int64) for t in times])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept)), pa.array(places), *own.columns, *map(pa.array, np.ascontiguousarray(more.T))], ["shingle", "place", "sid", "root", "apart", "n", *BITMAP])
 
         return handle
 
-    return map_batches(sets, "sid bigint, shingle bigint, place bigint", make)
+    return map_batches(sets, f"shingle bigint, place bigint, sid bigint, root bigint, apart boolean, n bigint, {', '.join(f'{c} bigint' for c in BITMAP)}", make)
 
 
 def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
@@ -369,8 +388,9 @@ def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: flo
     them as its one shingle, and texts without words are alike.
 
     Of the sets of a large group that are still apart, only those are compared
-    that share one of their rarest shingles, as all do that are similar enough:
-    texts that have a template in common, but less than the similarity, don't meet.
+    that share one of their rarest shingles, as all do that are similar enough,
+    and whose bitmaps are no further apart than similar sets' can be: texts that
+    have a template in common, but less than the similarity, don't meet.
     """
     rows = written(sketches(docs, key, width), "sketches")
     by_sid = rows.groupBy("sid").agg(*[F.any_value(c).alias(c) for c in ("n", "bands", "words")])
@@ -400,19 +420,21 @@ def similar(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, least: flo
     first = written(first, "pairs")
     links = written(verify(first), "links")
     if not many.isEmpty():
+        sets = written(shingle_sets(docs, rows, many.select("sid").distinct(), key, width), "sets")
+        counts = frequencies(sets)
+
         linked = written(components(links), "components")
-        rooted = many.join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("band", "sid", "n", F.coalesce("root", "sid").alias("root"))
+        rooted = many.join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("band", "sid", F.coalesce("root", "sid").alias("root"))
         rooted = written(rooted, "rooted")
         largest = rooted.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
-        apart = rooted.join(largest, "band").where("root <> largest").drop("largest")
-        sets = written(shingle_sets(docs, rows, rooted.select("sid").distinct(), key, width), "sets")
-        rare = written(prefixes(sets, frequencies(sets), least), "prefixes")
+        # a set once, in however many large groups it is
+        known = rooted.join(largest, "band").groupBy("sid").agg(F.any_value("root").alias("root"), F.bool_or(F.col("root") != F.col("largest")).alias("apart"))
+        rare = prefixes(sets.join(known, "sid"), counts, least)
         # of the first shingle that two sets share, neither has more after it than they can have in common
         shared = F.ceil((F.col("n_1") + F.col("n_2")) * F.lit(least / (1 + least)) - F.lit(1e-6))
         reach = (F.col("n_1") - F.col("place_1") >= shared) & (F.col("n_2") - F.col("place_2") >= shared)
-        # a set once, in however many large buckets it is
-        once = lambda df: df.select("sid", "n", "root").distinct().join(rare, "sid")
-        met = pairs(once(apart), once(rooted), "shingle").where((F.col("root_1") != F.col("root_2")) & reach)
+        unlike = reduce(Column.__add__, [F.bit_count(F.col(f"{c}_1").bitwiseXOR(F.col(f"{c}_2"))) for c in BITMAP])
+        met = pairs(rare, rare, "shingle").where("(apart_1 or apart_2) and sid_1 < sid_2 and root_1 <> root_2").where(reach & (unlike <= F.col("n_1") + F.col("n_2") - 2 * shared))
         second = ends(met).distinct().join(first, ["a", "b"], "left_anti")
         links = written(links.unionByName(verified(written(second, "pairs"), sets, least)), "links")
     linked = written(components(links), "components")
